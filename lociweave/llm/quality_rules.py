@@ -44,7 +44,6 @@ RULES = (
     Rule("symbols", "n_symbols", "word_chars", high=3),
     Rule("stop_words", "n_stop_words", "n_words", low=2),
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=40),
-    Rule("line_ends", "n_ended_lines", "n_lines", low=20),
 )
 
 
@@ -88,7 +87,6 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": repeated_window_words(F.col("_windows")),
         "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
-        "n_ended_lines": F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"[.!?…:;\"»”)]$"))),
     }
     return base.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_lines", "_windows")
 
@@ -145,8 +143,7 @@ stats AS (
          len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(words, lambda x: lower(x) IN ({_STOP_SQL})))::BIGINT AS n_stop_words,
-         len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;"»”)] *$')))::BIGINT AS n_ended_lines
+         len(list_filter(words, lambda x: lower(x) IN ({_STOP_SQL})))::BIGINT AS n_stop_words
   FROM parts p LEFT JOIN repeats r ON r.doc_id = p.doc_id),
 judged AS (
   SELECT *, base_failed IS FALSE AND NOT ({" OR ".join(map(_rule_sql, RULES))}) AS kept
