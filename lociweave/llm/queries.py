@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules
+from . import chat_format, hyperminhash, quality_rules
 from .work import read
 
 
@@ -16,5 +16,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.query(spark, read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_chat_format)}
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_chat_format, op10_hyperminhash)}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL}
