@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, hyperminhash, quality_rules
+from . import chat_format, hyperminhash, packing, quality_rules, token_files
 from .work import read
 
 
@@ -20,5 +20,13 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_chat_format, op10_hyperminhash)}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.query(read(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_packing, op7_chat_format, op10_hyperminhash)}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL}
