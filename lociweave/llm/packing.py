@@ -33,8 +33,9 @@ from .tokens import encoder
 from .work import Workspace, text_slices
 
 LENGTH, STEP = 2048, 8
-#: The program ends when its bound says that no solution is better by more than this share.
-GAP = 1e-4
+#: The program ends when no solution can be better by more than this share (or half a sequence), or after so many
+#: steps for each class; what it has then is a whole solution too.
+GAP, STEPS = 5e-4, 8
 
 PIECES = "part int, doc_id long, start long, length int, size int, place long, doc_tokens long, ids_crc32 long, ids binary"
 
@@ -72,12 +73,14 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[int
     np.fill_diagonal(patterns, capacity // (have + 1))
     inverse = np.diag(1.0 / np.diag(patterns))
     x = inverse @ need
-    for step in range(200 * m + 1000):
+    bound = float(demand @ np.arange(1, len(demand) + 1)) / capacity
+    for step in range(STEPS * m):
         prices = inverse.sum(axis=0)
         values = np.zeros(len(demand))
         values[have] = np.maximum(prices, 0)
         worth, counts = best_pattern(values, capacity)
-        if worth <= 1 + 1e-9 or x.sum() * (1 - 1 / worth) < gap * x.sum():
+        bound = max(bound, float(values[have] @ need) / max(worth, 1.0))
+        if worth <= 1 + 1e-9 or x.sum() - bound < max(gap * bound, 0.5):
             break
         column = counts[have].astype(float)
         direction = inverse @ column
