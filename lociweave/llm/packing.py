@@ -74,7 +74,7 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[int
     inverse = np.diag(1.0 / np.diag(patterns))
     x = inverse @ need
     bound = float(demand @ np.arange(1, len(demand) + 1)) / capacity
-    for step in range(STEPS * m):
+    for _ in range(STEPS * m):
         prices = inverse.sum(axis=0)
         values = np.zeros(len(demand))
         values[have] = np.maximum(prices, 0)
@@ -83,19 +83,17 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[int
         if worth <= 1 + 1e-9 or x.sum() - bound < max(gap * bound, 0.5):
             break
         column = counts[have].astype(float)
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
         patterns[:, out] = column
-        if step % 200 == 199:
-            inverse = np.linalg.inv(patterns)
-        else:
-            row = inverse[out] / direction[out]
-            inverse -= np.outer(direction, row)
-            inverse[out] = row
-        x = np.maximum(inverse @ need, 0)
+        row = inverse[out] / direction[out]
+        inverse -= direction[:, None] * row
+        inverse[out] = row
+        x = np.maximum((inverse * need).sum(axis=1), 0)
+    x = np.linalg.solve(patterns, need)
     found, left = [], demand.astype(np.int64).copy()
     for k in range(m):
         counts = np.zeros(len(demand), np.int64)
