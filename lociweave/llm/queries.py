@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, hyperminhash, packing, quality_rules, token_files
+from . import chat_format, decontaminate, hyperminhash, packing, quality_rules, secret_scan, token_files
 from .work import read
 
 
@@ -32,5 +32,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_packing, op6_decontaminate, op7_chat_format, op10_hyperminhash)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_packing, op6_decontaminate, op7_chat_format, op9_secret_scan, op10_hyperminhash)}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL}
