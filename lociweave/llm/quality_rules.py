@@ -69,8 +69,8 @@ def repeated_window_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(indexed, lambda s: let(positions(s), covered)))
 
 
-def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the long columns that rules name: words, lines, symbols and repetitions of the whole text."""
+def text_statistics(docs: DataFrame, text: str = "text", more: bool = False) -> DataFrame:
+    """``docs`` with the long columns that rules name: words, lines, symbols and repetitions of the whole text. ``more``: kinds of characters too."""
     whole = F.coalesce(F.col(text), F.lit(""))
     has_word = lambda line: F.length(F.regexp_replace(line, SPACE, "")) > 0
     base = docs.withColumns({"_words": F.array_remove(F.split(whole, SPACE), ""), "_lines": F.filter(F.split(whole, "\n"), has_word)})
@@ -88,6 +88,15 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": repeated_window_words(F.col("_windows")),
         "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
     }
+    if more:
+        without = lambda chars: F.length(whole) - F.length(F.translate(whole, chars, ""))
+        counts |= {
+            "n_distinct_words": F.size(F.array_distinct("_words")),
+            "n_upper": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            "n_digits": without("0123456789"),
+            "n_marks": without("!?|"),
+            "n_stops": without(".,"),
+        }
     return base.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_lines", "_windows")
 
 
