@@ -18,7 +18,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Pieces that a worker keeps; then it begins anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 700_000
 #: Longer pieces are encoded but not kept.
 KEPT_CHARS = 40
 #: Characters of texts whose missing pieces are encoded in one call.
@@ -43,12 +43,14 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Bytes of pieces that aren't kept; those with an end are put together of the word and the end."""
-        ended = {p: m.groups() for p in missing if (m := _ENDED.match(p))}
-        plain = {x for p in missing for x in ended.get(p, (p,))}
-        found = {x: self.kept[x] for x in plain if x in self.kept}
-        todo = sorted(plain - found.keys())
-        found.update(zip(todo, self._encode(todo), strict=True))
-        found.update((p, found[a] + found[b]) for p, (a, b) in ended.items())
+        kept = self.kept
+        ended = {p: m.groups() for p in missing if p[-1] in ".," and (m := _ENDED.match(p))}
+        plain = missing - ended.keys()
+        plain.update(x for pair in ended.values() for x in pair)
+        todo = [x for x in plain if x not in kept]
+        found = dict(zip(todo, self._encode(todo), strict=True))
+        for p, (a, b) in ended.items():
+            found[p] = (found.get(a) or kept[a]) + (found.get(b) or kept[b])
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -65,20 +67,30 @@ class Encoder:
         return out
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        whole = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        words = set().union(*[p for p in pieces if p is not None])
         if len(self.kept) > KEPT_PIECES:
             self.kept = {}
-        if missing := words - self.kept.keys():
-            found = self._learn(missing)
-            self.kept.update(found)
-        look = self.kept.__getitem__
-        out = [next(whole) if p is None else b"".join(map(look, p)) for p in pieces]
-        for p in missing:
-            if len(p) > KEPT_CHARS:
-                self.kept.pop(p, None)
-        return out
+        look = self.kept.get
+        out, odd, holes, missing = [], [], [], set()
+        for t in texts:
+            if _ODD.search(t):
+                odd.append(len(out))
+                out.append(t)
+                continue
+            pieces = _PIECE.findall(t)
+            parts = list(map(look, pieces))
+            if None in parts:
+                mine = [(i, pieces[i]) for i, x in enumerate(parts) if x is None]
+                missing.update([p for _, p in mine])
+                holes.append((parts, mine))
+            out.append(parts)
+        found = self._learn(missing)
+        for parts, mine in holes:
+            for i, p in mine:
+                parts[i] = found[p]
+        for i, ids in zip(odd, self._encode([out[i] for i in odd]), strict=True):
+            out[i] = [ids]
+        self.kept.update((p, b) for p, b in found.items() if len(p) <= KEPT_CHARS)
+        return [b"".join(parts) for parts in out]
 
 
 @lru_cache(maxsize=2)
