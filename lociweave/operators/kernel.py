@@ -61,18 +61,19 @@ def mean_spacing(coords: DataFrame, first_radius: float) -> DataFrame:
         radius *= 4
 
 
-def nearest_by_cosine(vectors: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """(i, j, rank, similarity): the ``k`` most similar other rows of (id, v ARRAY<DOUBLE>), ties by id.
+def nearest_by_cosine(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 16) -> DataFrame:
+    """(i, j, rank, similarity): the ``k`` most similar other rows of (id, v ARRAY<DOUBLE>), ties by id. ``queries``: only theirs.
 
     Rows meet in blocks: every row goes to one block as a query and to all as a candidate. Each block
     keeps its own best k before the blocks' are merged, so what is shuffled is k rows a block.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.withColumn("n", norm).select("id", F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("v"))
-    queries = unit.select(F.col("id").alias("i"), F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    unit_of = lambda df: df.withColumn("n", norm).select("id", F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("v"))
+    unit = unit_of(vectors)
+    asked = (unit if queries is None else unit_of(queries)).select(F.col("id").alias("i"), F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     against = unit.select(F.col("id").alias("j"), F.col("v").alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = queries.join(against, "block").where("i <> j").select("block", "i", "j", dot.alias("similarity"))
+    scored = asked.join(against, "block").where("i <> j").select("block", "i", "j", F.round(dot, 9).alias("similarity"))
     best = lambda *by: F.row_number().over(W.partitionBy(*by, "i").orderBy(F.desc("similarity"), "j"))
     part = scored.withColumn("rank", best("block")).where(F.col("rank") <= k)
     return part.withColumn("rank", best()).where(F.col("rank") <= k).select("i", "j", "rank", "similarity")

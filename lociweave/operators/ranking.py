@@ -109,25 +109,3 @@ def spectral_comparison(pairs: DataFrame, eigen_a: DataFrame, eigen_b: DataFrame
     a = eigen_a.select(F.col("mode").alias("mode_a"), F.col("eigenvalue").alias("eigenvalue_a"), share(eigen_a).alias("spectral_fraction_a"))
     b = eigen_b.select(F.col("mode").alias("best_b"), share(eigen_b).alias("spectral_fraction_b"))
     return sums.join(a, "mode_a").join(b, "best_b")
-
-
-def ranked_list(scores: DataFrame) -> DataFrame:
-    """(mode, gene_id, score): means of repeated genes, without mitochondrial and ribosomal ones; null scores drop out."""
-    drop = F.col("gene_id").startswith("MT-") | F.col("gene_id").startswith("RPL") | F.col("gene_id").startswith("RPS")
-    return scores.where(F.col("score").isNotNull() & ~drop).groupBy("mode", "gene_id").agg(F.avg("score").alias("score"))
-
-
-def running_enrichment(ranked: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500) -> DataFrame:
-    """(mode, set_name, size, enrichment): the largest deviation of the weighted running sum along each ranking."""
-    inside = ranked.join(sets, "gene_id")
-    sizes = inside.groupBy("mode", "set_name").agg(F.count("*").alias("size"), F.sum(F.abs("score")).alias("weight")).where(F.col("size").between(min_size, max_size))
-    totals = ranked.groupBy("mode").agg(F.count("*").alias("n"))
-    # ranks once for each mode; hits only are enough, as the sum falls by equal steps between them
-    order = W.partitionBy("mode").orderBy(F.desc("score"), "gene_id")
-    hits = ranked.withColumn("rank", F.row_number().over(order)).join(sets, "gene_id").join(sizes, ["mode", "set_name"]).join(totals, "mode")
-    along = W.partitionBy("mode", "set_name").orderBy("rank")
-    hits = hits.withColumns({"k": F.row_number().over(along), "hit": F.sum(F.abs("score")).over(along.rowsBetween(W.unboundedPreceding, 0)) / F.col("weight")})
-    miss = (F.col("rank") - F.col("k")) / (F.col("n") - F.col("size"))
-    before: Column = F.col("hit") - F.abs("score") / F.col("weight") - miss
-    ends = hits.groupBy("mode", "set_name", "size").agg(F.max(F.col("hit") - miss).alias("top"), F.min(before).alias("bottom"))
-    return ends.select("mode", "set_name", "size", F.when(F.col("top") >= -F.col("bottom"), F.col("top")).otherwise(F.col("bottom")).alias("enrichment"))

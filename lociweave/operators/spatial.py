@@ -106,8 +106,13 @@ def _centred_kq(p: Prepared) -> DataFrame:
     return every.select("part", "i", "ix", (F.coalesce("kq", F.lit(0.0)) - F.col("m")).alias("z"))
 
 
+def group_means(p: Prepared) -> DataFrame:
+    """(part, c, g, m): means over all spots of a group, those without a count included."""
+    return p.w.join(p.groups, ["part", "i"]).groupBy("part", "c", "g").agg((F.sum("value") / F.first("n_c")).alias("m"))
+
+
 def _group_sums(p: Prepared, kw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = p.w.join(p.groups, ["part", "i"]).groupBy("part", "c", "g").agg((F.sum("value") / F.first("n_c")).alias("m"))
+    m = group_means(p)
     c = kw.join(p.groups, ["part", "i"]).groupBy("part", "c", "g").agg(F.sum("kw").alias("cc"))
     gi, gj = p.groups.select("part", "i", F.col("c").alias("c1")), p.groups.select("part", F.col("i").alias("j"), F.col("c").alias("c2"))
     a = p.k.join(gi, ["part", "i"]).join(gj, ["part", "j"]).groupBy("part", "c1", "c2").agg(F.sum("k").alias("a"))
