@@ -28,14 +28,14 @@ class Programs:
 
 def scaled(p: spatial.Prepared, alpha: float = 1.0, gene_center: bool = False, scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The scaled Gram of each part, its variances and the scale."""
-    g = spatial.gram(p)
+    g = spatial.gram(p).persist()  # genes by genes: read by the variances, the scaling and each result table
     variance = g.where("g = h").select("part", "g", F.col("v").alias("variance"))
     scale = spatial.gene_scale(variance, alpha) if scale is None else scale
     return spatial.scaled_gram(g, scale, p.genes if gene_center else None), variance, scale
 
 
 def _finish(p: spatial.Prepared, g: DataFrame, scores: DataFrame, scale: DataFrame, k: int, signed: bool, scope: str, gene_center: bool) -> Programs:
-    modes = programs.leading_modes(g, k, signed, scope)
+    modes = programs.leading_modes(g, k, signed, scope).persist()  # genes by modes
     loadings = programs.gene_loadings(modes, scale, gene_center)
     found = modes.select("scope", "mode", "eigenvalue", "mode_sign").distinct()
     genes = modes.join(loadings, ["scope", "g", "mode"]).drop("eigenvalue", "mode_sign")
@@ -65,7 +65,7 @@ def label_programs(bundle: Bundle, radius: float, labels: list | None = None, **
 def _combined(bundle: Bundle, radius: float, coefficients: DataFrame | None, weighting: str, pooled: bool, k: int, center: str, alpha: float, gene_center: bool, scope: str) -> Programs:
     """Sum of the samples' Grams: weights times coefficients (one each by default)."""
     p = spatial.prepare(bundle, radius, center, per_sample=True)
-    g = spatial.gram(p)
+    g = spatial.gram(p).persist()  # genes by genes: read by the variances, the scaling and each result table
     variance = g.where("g = h").select("part", "g", F.col("v").alias("variance"))
     weights = spatial.sample_weights(variance, bundle.spots, weighting)
     signed = coefficients is not None

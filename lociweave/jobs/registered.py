@@ -311,7 +311,7 @@ register("gene_loading_mass", f"WITH {_LOAD} SELECT gene_id, round(sum(v * v), 6
     lambda spark, d: ranking.gene_loading_mass(_loadings(spark, d)).withColumn("mass", _r(F.col("mass")))
 )
 _RUN = "run AS (SELECT mode, sum(eigenvalue) OVER (ORDER BY mode) / sum(eigenvalue) OVER () AS s FROM ordered)"
-_BEND = "bend AS (SELECT mode, ln(greatest(lead(eigenvalue, 2) OVER (ORDER BY mode), 1e-30)) - 2 * ln(greatest(lead(eigenvalue, 1) OVER (ORDER BY mode), 1e-30)) + ln(greatest(eigenvalue, 1e-30)) AS b FROM ordered WHERE mode < 50)"
+_BEND = "logs AS (SELECT mode, ln(greatest(eigenvalue, 1e-30)) AS l FROM ordered WHERE mode < 50), bend AS (SELECT mode, lead(l, 2) OVER (ORDER BY mode) - 2 * lead(l, 1) OVER (ORDER BY mode) + l AS b FROM logs)"
 _K1, _K2 = "(SELECT min(mode) + 1 FROM run WHERE s >= 0.9)", "(SELECT greatest(2, least(50, mode + 2)) FROM bend WHERE b IS NOT NULL ORDER BY b, mode LIMIT 1)"
 register("choose_k_energy", f"WITH {_EIGEN}, {_RUN} SELECT {_K1}::BIGINT AS k")(lambda spark, d: ranking.choose_k_energy(_eigenvalues(spark, d)))
 register("choose_k_elbow", f"WITH {_EIGEN}, {_BEND} SELECT {_K2}::BIGINT AS k")(lambda spark, d: ranking.choose_k_elbow(_eigenvalues(spark, d)))

@@ -66,8 +66,9 @@ def orthonormal(p: Prepared, covariates: DataFrame, tol: float = 1e-10) -> DataF
     The cross products, a few numbers for each part, go to the driver; a column that the earlier ones
     explain, or that centring leaves nothing of, is dropped.
     """
-    names = [c for c in covariates.columns if c not in ("part", "i")]
-    rows = covariates
+    given = [c for c in covariates.columns if c not in ("part", "i")]
+    names = [f"cov{x}" for x in range(len(given))]  # a given name may be one of ours
+    rows = covariates = covariates.select("part", "i", *[F.col(f"`{c}`").alias(n) for c, n in zip(given, names, strict=True)])
     if p.groups is not None:
         means = covariates.join(p.groups, ["part", "i"]).groupBy("part", "c").agg(*[F.avg(n).alias(f"_{n}") for n in names])
         rows = covariates.join(p.groups, ["part", "i"]).join(means, ["part", "c"])
