@@ -37,6 +37,12 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        alone = self._encode(["a", " \n", " a", "\na"])
+        #: Blanks have no ids of their own and change none: pieces are then the words between them.
+        self.drops_blanks = not alone[1] and alone[0] == alone[2] == alone[3]
+        cases = self._encode(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"])
+        #: Case makes no difference: an ASCII text's pieces are kept in lower case.
+        self.folds_case = cases[0] == cases[1]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,7 +82,9 @@ class Encoder:
                 odd.append(len(out))
                 out.append(t)
                 continue
-            pieces = _PIECE.findall(t)
+            if self.folds_case and t.isascii() and "<|" not in t:  # a special token's text keeps its case
+                t = t.lower()
+            pieces = t.split() if self.drops_blanks else _PIECE.findall(t)
             parts = list(map(look, pieces))
             if None in parts:
                 mine = [(i, pieces[i]) for i, x in enumerate(parts) if x is None]
