@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_blocks, hyperminhash, packing, quality_rules, rule_ensemble, secret_scan, token_files
+from . import chat_format, decontaminate, html_blocks, hyperminhash, packing, quality_rules, rule_ensemble, secret_scan, token_counts, token_files
 from .work import read
 
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(read(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.query(read(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -44,5 +48,5 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.query(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_packing, op4_html_blocks, op6_decontaminate, op7_chat_format, op8_rule_ensemble, op9_secret_scan, op10_hyperminhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_packing, op4_html_blocks, op5_token_counts, op6_decontaminate, op7_chat_format, op8_rule_ensemble, op9_secret_scan, op10_hyperminhash)}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL, "op7_chat_format": chat_format.ORACLE_SQL}

@@ -47,6 +47,10 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pair(self, a: bytes, b: bytes, at: int) -> bytes:
+        """What a piece has of its word and its end, which begins at character ``at``."""
+        return a + b
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Bytes of pieces that aren't kept; those with an end are put together of the word and the end."""
         kept = self.kept
@@ -56,12 +60,16 @@ class Encoder:
         todo = [x for x in plain if x not in kept]
         found = dict(zip(todo, self._encode(todo), strict=True))
         for p, (a, b) in ended.items():
-            found[p] = (found.get(a) or kept[a]) + (found.get(b) or kept[b])
+            found[p] = self._pair(found.get(a) or kept[a], found.get(b) or kept[b], len(a))
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids' bytes."""
-        out: list[bytes] = []
+        return [b"".join(parts) for _, parts in self._parts(texts)]
+
+    def _parts(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
+        """For each text its pieces and what they encode to."""
+        out: list[tuple[list[str], list[bytes]]] = []
         at = 0
         while at < len(texts):
             end, chars = at, 0
@@ -72,7 +80,7 @@ class Encoder:
             at = end
         return out
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
+    def _batch(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
         if len(self.kept) > KEPT_PIECES:
             self.kept = {}
         look = self.kept.get
@@ -80,7 +88,7 @@ class Encoder:
         for t in texts:
             if _ODD.search(t):
                 odd.append(len(out))
-                out.append(t)
+                out.append(([t], []))
                 continue
             if self.folds_case and t.isascii() and "<|" not in t:  # a special token's text keeps its case
                 t = t.lower()
@@ -90,15 +98,15 @@ class Encoder:
                 mine = [(i, pieces[i]) for i, x in enumerate(parts) if x is None]
                 missing.update([p for _, p in mine])
                 holes.append((parts, mine))
-            out.append(parts)
+            out.append((pieces, parts))
         found = self._learn(missing)
         for parts, mine in holes:
             for i, p in mine:
                 parts[i] = found[p]
-        for i, ids in zip(odd, self._encode([out[i] for i in odd]), strict=True):
-            out[i] = [ids]
+        for i, ids in zip(odd, self._encode([out[i][0][0] for i in odd]), strict=True):
+            out[i][1].append(ids)
         self.kept.update((p, b) for p, b in found.items() if len(p) <= KEPT_CHARS)
-        return [b"".join(parts) for parts in out]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lociweave.llm import chat_format, decontaminate, html_blocks, hyperminhash, packing, quality_rules, rule_ensemble, secret_scan, token_files, tokens
+from lociweave.llm import chat_format, decontaminate, html_blocks, hyperminhash, packing, quality_rules, rule_ensemble, secret_scan, token_counts, token_files, tokens
 from lociweave.llm.work import Workspace
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -61,6 +61,29 @@ def test_pieces_have_the_ids_of_whole_texts(name):
     assert encoder.ids(texts) == want and encoder.ids(texts) == want
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(spark, rule):
+    texts = [*ODD, prose(8, 40).replace("7 ", "7.\n\n"), "x\n", "\n\n\ny", "é\n中文\n\n  z"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = {}
+    for r in token_counts.count_tokens(frame(spark, texts), path, rule=rule).collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = (r["start"], r["end"], r["n_tokens"], r["n_crossing"])
+    plain = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        text = text or ""
+        spans = plain.encode(text, add_special_tokens=False).offsets
+        edges = [0, *[k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text)], len(text)]
+        want = [[a, b, 0, 0] for a, b in zip(edges, edges[1:])]
+        for a, b in spans:
+            share = [max(0, min(b, y) - max(a, x)) for x, y, _, _ in want]
+            inside = [k for k, v in enumerate(share) if v]
+            owner = {"first": inside[0], "last": inside[-1], "most": share.index(max(share))}[rule]
+            want[owner][2] += 1
+            want[inside[0]][3] += len(inside) > 1
+        assert [list(got[i][k]) for k in sorted(got[i])] == want
+    assert token_counts.query(frame(spark, [])).count() == 0
+
+
 def test_token_files(spark):
     texts = [*ODD, prose(3, 60)]
     path = public_tokenizers.path("byte_bpe_50k.json")
