@@ -118,6 +118,16 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    Spark would push the filter below the statistics and write out each of them wherever the verdict
+    names it; a row number in the same projection holds the filter above, so each is computed once.
+    """
+    judged = judge(docs).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+
+
 def query(docs: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
