@@ -10,6 +10,10 @@ blocks are labelled by construction; it is the same for the same code. Weights g
 tasks, and each page is read alone: nothing is shuffled. Pages of a batch run together,
 sorted by their number of blocks; a longer sequence only takes more steps.
 
+What scripts and other raw text elements hold is no markup: they end at their own end tag, or
+with the page. Other skipped elements nest and end at their matching end tag; one that has none
+hides what follows up to the next border of a block that is no option, and nothing beyond.
+
 Defined results: null or empty html, and pages without article blocks, give an empty text.
 Repeated rows give repeated results; page_id and url pass as they are, nulls too. Other
 columns are ignored. An empty table gives an empty table.
@@ -38,13 +42,16 @@ BLOCK = frozenset(
     "section article aside header footer nav main figure figcaption address details summary option select button label dialog center".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg iframe textarea select object canvas".split())
+RAW = frozenset("script style noscript iframe textarea".split())
+SKIPPED = RAW | frozenset("template svg select object canvas".split())
 #: Elements that the start of a block ends, where they are open.
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.IGNORECASE)
 
 PATHS, WORDS, VECTOR, NUMBERS, HIDDEN = 1024, 2048, 12, 8, 16
 PAGES, EPOCHS = 700, 5
@@ -56,13 +63,68 @@ class Block(NamedTuple):
     link_chars: int
 
 
+class Token(NamedTuple):
+    """A tag or comment, with the raw text that follows a tag of ``RAW``. Comments have no name."""
+
+    start: int
+    end: int
+    closing: bool
+    name: str
+    rest: str
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the raw text from ``at`` ends: at its end tag, or with the page. A script's comment may hold scripts of its own."""
+    if name != "script":
+        return m.start() if (m := _RAW_ENDS[name].search(page, at)) else len(page)
+    comment = inner = False
+    while m := _SCRIPT.search(page, at):
+        at = m.end()
+        if m[0] == "<!--":
+            comment, at = True, at if comment else m.start() + 2  # "<!-->" is a comment already
+        elif m[0] == "-->":
+            comment = inner = False
+        elif not m[1]:
+            inner = comment
+        elif not inner:
+            return m.start()
+        else:
+            inner = False
+    return len(page)
+
+
+def _tokens(page: str) -> tuple[list[Token], dict[int, int]]:
+    """The page's tokens in order, and for each skipped element that nests and is closed the places of its tags among them."""
+    out: list[Token] = []
+    pairs: dict[int, int] = {}
+    open_: dict[str, list[int]] = {name: [] for name in SKIPPED - RAW}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        closing, name, rest = bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        if name in SKIPPED:
+            empty = rest.rstrip().endswith("/")
+            if name in RAW:
+                if not closing and not (empty and open_["svg"]):
+                    at = _raw_end(page, name, at)
+            elif closing:
+                if open_[name]:
+                    pairs[open_[name].pop()] = len(out)
+            elif not (empty and name == "svg"):
+                if name == "select":  # selects do not nest
+                    open_[name].clear()
+                open_[name].append(len(out))
+        out.append(Token(m.start(), at, closing, name, rest))
+    return out, pairs
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; white space in a block is one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     links = in_link = 0
-    at, skip = 0, ""
+    at, k, unclosed = 0, 0, False  # unclosed: in a skipped element without an end
 
     def flush() -> None:
         nonlocal held, links
@@ -78,23 +140,27 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links += len(text)
 
-    for m in _TOKEN.finditer(page):
-        if not skip:
-            add(page[at : m.start()])
-        at = m.end()
-        closing, name, rest = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
-        if skip:
-            if closing and name == skip:
-                skip = ""
-            continue
+    tokens, pairs = _tokens(page)
+    while k < len(tokens):
+        start, end, closing, name, rest = tokens[k]
+        if not unclosed:
+            add(page[at:start])
+        at, k = end, k + 1
         if not name:
             continue
         if name in BLOCK or name in SKIPPED:
             flush()
+        if unclosed and name in BLOCK:
+            if name == "option":
+                continue
+            unclosed = False
         if name == "br":
             held.append(" ")
         if name in SKIPPED and not closing:
-            skip = "" if rest.rstrip().endswith("/") and name == "svg" else name
+            if (last := pairs.get(k - 1)) is not None:
+                at, k = tokens[last].end, last + 1
+            elif name not in RAW and not (rest.rstrip().endswith("/") and name == "svg"):
+                unclosed = True
         elif closing:
             if any(tag == name for tag, _ in stack):
                 while stack.pop()[0] != name:
@@ -109,7 +175,7 @@ def blocks(page: str) -> list[Block]:
             names = tuple(f".{x}" for g in _NAMES.findall(rest) for x in _SPLIT.split("".join(g).lower()) if x) if "=" in rest else ()
             stack.append((name, names))
             in_link = sum(tag == "a" for tag, _ in stack)
-    if not skip:
+    if not unclosed:
         add(page[at:])
     flush()
     return out
@@ -142,8 +208,8 @@ def describe(pages: list[list[Block]]) -> Inputs:
     for page in pages:
         total = len(page)
         for k, b in enumerate(page):
-            tail = b.path[-16:]
-            paths += [_hash(x, PATHS) for x in tail] + [_hash(f"leaf {b.path[-1] if b.path else ''}", PATHS)]
+            distinct = dict.fromkeys(b.path)  # of wrappers as deep as they come, each kind once
+            paths += [_hash(x, PATHS) for x in distinct] + [_hash(f"leaf {b.path[-1] if b.path else ''}", PATHS)]
             path_ends.append(len(paths))
             split = b.text.lower().split()
             words += [_hash(w.strip(".,:;!?()\"'"), WORDS) for w in split]
@@ -264,7 +330,7 @@ class Labeller:
 
 def generated_pages(n: int = PAGES, seed: int = 1) -> tuple[list[list[Block]], list[list[int]]]:
     """Pages of random layouts and their blocks' labels. Blocks are marked in the text by a last word that is taken off again."""
-    r = random.Random(seed)
+    r, d = random.Random(seed), random.Random(-seed - 1)
     syllables = "th er an re on in at nd st es ou ion ent che ein der ung les eau que ado ción ier au el la is to of die und et y os".split()
     word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
     junk = "".join
@@ -300,6 +366,14 @@ def generated_pages(n: int = PAGES, seed: int = 1) -> tuple[list[list[Block]], l
         tag, attrs = named(tags, names)
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
+    def deep(inner: str) -> str:
+        """Wrappers of no meaning around ``inner``, on some pages many."""
+        if d.random() < 0.8:
+            return inner
+        kinds = [d.choice(["", "", f' class="{" ".join(d.sample("wrapper container outer inner row col grid layout".split(), d.randint(1, 3)))}"', f' class="{d.choice(syllables)}{d.choice(syllables)}"']) for _ in range(d.randint(1, 3))]
+        k = d.choice([1, 2, 4, 20])
+        return junk(f"<div{d.choice(kinds)}>" for _ in range(k)) + inner + "</div>" * k
+
     links = lambda k: "<ul>" + junk(block("li", 0, f'<a href="/{word()}">{word()}</a>') for _ in range(k)) + "</ul>"
     bare = lambda k: junk(f'<a href="/{word()}">{word()}</a> ' for _ in range(k)) + "\x010 "
     paragraphs = lambda k, y: junk(block("p", y, prose()) for _ in range(k))
@@ -337,6 +411,7 @@ def generated_pages(n: int = PAGES, seed: int = 1) -> tuple[list[list[Block]], l
         body = junk(parts) or block("p", 1, prose(5, 40))
         if r.random() < 0.3:
             body = f"<div>{body}</div>"
+        body = deep(body)
         return wrap("article article main div div section td", "content main post story entry article article-body text post-content", body)
 
     pages, labels = [], []
@@ -349,6 +424,7 @@ def generated_pages(n: int = PAGES, seed: int = 1) -> tuple[list[list[Block]], l
         main = junk(before) + (article() if r.random() < 0.97 else "") + junk(after)
         if r.random() < 0.3:
             main = f'<div{r.choice(["", " id=page", " class=wrapper", " class=container"])}>{main}</div>'
+        main = deep(main)
         page = f"<html><head>{title}<script>var t='<p>';</script></head><body>{main}</body></html>"
         found = [(b, re.search("\x01(\\d)", b.text)) for b in blocks(page)]
         found = [(Block(b.path, text, b.link_chars), int(m[1])) for b, m in found if m and (text := " ".join(re.sub("\x01\\d", " ", b.text).split()))]

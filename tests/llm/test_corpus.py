@@ -142,6 +142,42 @@ def test_html(spark):
     assert [got[k]["text"] for k in (2, 3, 4)] == ["", "", ""]
 
 
+def test_html_raw_text_and_unclosed_elements():
+    def texts(body):
+        return [b.text for b in html_blocks.blocks(f"<html><body>{body}</body></html>")]
+
+    kept = "<article><p>Kept.</p></article>"
+    hidden = [
+        "<script>for(i=0;i<n;i++){f()}</script>", "<SCRIPT>if(a<b&&c)x='\"'</Script >", "<style>a<b{}</style>", "<textarea>1 <b or</textarea>", "<noscript>x <y </noscript>", "<iframe>i<n</iframe>",
+        "<script><!-- d.write('<script>a</script>'); x<y --></script>", "<script><!--></script>", "<script src=a />x</script>",
+        "<svg><svg><text>in</text></svg><text>out</text></svg>", "<svg><style/><text>in</text></svg>", "<object><object>in</object>out</object>", "<object><script>'</object>'</script>in</object>", "<canvas>a<canvas>b</canvas>c</canvas>",
+        "<template><p>in<template>x</template>out</p></template>", "<select><option>a<option>b</select>",
+        "<select><option>a<option>b", "<form><select><option>a</form>", "<object>o", "<canvas>c", "<svg><text>s</text>", "<select><option>a<p></p><select><option>b</select>",
+    ]
+    for x in hidden:
+        assert texts(x + kept) == ["Kept."], x
+        assert texts("<p>Before.</p>" + x + kept + "<p>After.</p>") == ["Before.", "Kept.", "After."], x
+    for x in hidden[:16]:
+        assert texts(f"<p>a{x}b</p>") == ["a", "b"], x
+    assert texts("<p>a</p><script>i<n") == ["a"]
+    assert [b.path for b in html_blocks.blocks("<select><option>a<article>x")] == [("article",)]
+
+
+def test_html_deep_wrappers(spark):
+    def page(outer, inner):
+        text = "".join(f"<p>Sentence {k} of the text, which is long enough to be one.</p>" for k in range(4))
+        return (
+            "<html><head><title>T</title><script>for(i=0;i<n;i++){f()}</script></head><body>" + outer * 20 + "<nav class='menu'><ul><li><a href='/a'>Home</a></li></ul></nav>"
+            "<article class='content'>" + inner * 20 + text + "</div>" * 20 * bool(inner) + "</article><div class='comments'>" + inner * 20 + "<p>A reader says so.</p>" + "</div>" * 20 * bool(inner) + "</div>"
+            "<footer><p>&copy; someone</p></footer></body></html>"
+        )
+
+    wrappers = ["", "<div>", "<div class='outer container row'>"]
+    rows = [(i, "u", page(a, b)) for i, (a, b) in enumerate((a, b) for a in wrappers for b in wrappers)]
+    want = "\n".join(f"Sentence {k} of the text, which is long enough to be one." for k in range(4))
+    assert [r["text"] for r in html_blocks.query(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()] == [want] * len(rows)
+
+
 def test_labeller_on_pages_it_has_not_seen():
     pages, labels = html_blocks.generated_pages(150, seed=123)
     found = html_blocks.trained().label(pages)
