@@ -11,7 +11,8 @@ they were read. The benchmark is sent to the tasks in blocks of at most ``BLOCK_
 text, each block a pass over the documents; one block is what a usual benchmark has.
 
 Defined results: null or empty texts have no words and no hits. Rows are judged one by one,
-repeated ones too. Null item texts have no windows. Other columns are kept by ``clean`` and
+repeated ones too. Null item texts have no windows. Items without an id hit as others do; among
+``items`` they are one null, last, which counts and has no place in the list's digest. Other columns are kept by ``clean`` and
 ignored by ``matches``. An empty table on either side gives no matches.
 """
 
@@ -100,18 +101,18 @@ def search(order: np.ndarray, words: np.ndarray, ends: np.ndarray, queries: np.n
 class Benchmark:
     """Words of a block of items, and their distinct windows with the items that have them."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         raw = [t.encode() for _, t in items]
         data = np.frombuffer(b"".join(raw), np.uint8)
         words, first = word_hashes(data, np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]), ALPHANUMERIC)
         self.depth = max(window, int(np.diff(first).max(initial=0)))
-        found: dict[bytes, set[str]] = {}
+        found: dict[bytes, set[str | None]] = {}
         suffixes: set[bytes] = set()
         for (item, _), a, b in zip(items, first[:-1], first[1:], strict=True):
             for s in range(a, max(a + 1, b - window + 1) if b > a else a):
                 found.setdefault(words[s : min(s + window, b)].tobytes(), set()).add(item)
             suffixes.update(words[s:b].tobytes() for s in range(a, b))
-        self.items = [sorted(v) for v in found.values()]
+        self.items = list(found.values())
         self.windows, self.lengths = _rows(list(found))
         self.suffixes, self.suffix_lengths = _rows(list(suffixes))
 
@@ -147,7 +148,7 @@ def _find(bench: Benchmark, rows: int, data: np.ndarray, offsets: np.ndarray) ->
     words, first = word_hashes(data, offsets, ALPHANUMERIC)
     counts = np.diff(first)
     hits: list[list[dict]] = [[] for _ in range(rows)]
-    items: list[list[str]] = [[] for _ in range(rows)]
+    items: list[list[str | None]] = [[] for _ in range(rows)]
     longest = [0] * rows
     if not len(words) or not len(bench.windows):
         return counts, hits, items, longest
@@ -176,14 +177,19 @@ def _find(bench: Benchmark, rows: int, data: np.ndarray, offsets: np.ndarray) ->
     for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(stops).tolist(), strict=True):
         doc = int(owner[a])
         hits[doc].append({"start": a - int(first[doc]), "length": b - a + 1})
-    sets: dict[int, set[str]] = {}
+    sets: dict[int, set[str | None]] = {}
     for doc, w in np.unique(np.stack([owner[at], which]), axis=1).T.tolist():
         sets.setdefault(doc, set()).update(bench.items[w])
     for doc, found_items in sets.items():
-        items[doc] = sorted(found_items)
+        items[doc] = _ids(found_items)
     return counts, hits, items, longest
 
 
+def _ids(items: set[str | None]) -> list[str | None]:
+    """Item ids in order, the missing one last."""
+    return sorted(items - {None}) + [None] * (None in items)
+
+
 def _merge(runs: list[dict]) -> list[dict]:
     """Runs of words as disjoint runs in order."""
     out: list[dict] = []
@@ -203,7 +209,7 @@ def _run(sent, window: int, keep: list[str]):
                 counts, hits, items, longest = _find(bench, rows.num_rows, data, offsets)
                 if "hits" in rows.schema.names:  # an earlier block's
                     hits = [_merge((a or []) + b) for a, b in zip(rows.column("hits").to_pylist(), hits, strict=True)]
-                    items = [sorted({*(a or []), *b}) for a, b in zip(rows.column("items").to_pylist(), items, strict=True)]
+                    items = [_ids({*(a or []), *b}) for a, b in zip(rows.column("items").to_pylist(), items, strict=True)]
                     longest = np.maximum(rows.column("longest").to_numpy(), longest)
                 kept = [rows.column(c) for c in keep]
                 run_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -214,9 +220,9 @@ def _run(sent, window: int, keep: list[str]):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs``, with n_words, hits (runs of hit words), items (sorted ids with occurring windows) and longest (words of the longest verbatim match)."""
+    """The columns ``keep`` of ``docs``, with n_words, hits (runs of hit words), items (sorted ids with occurring windows, a null for items without one) and longest (words of the longest verbatim match)."""
     spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     work = Workspace(spark, "decontaminate") if blocks > 1 else None

@@ -5,6 +5,7 @@ import random
 import zlib
 from array import array
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -200,6 +201,22 @@ def test_decontamination(spark):
     assert decontaminate.query(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 100])
+def test_decontamination_by_items_without_id(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    a, b = prose(5, 14), prose(6, 14)
+    docs, bench = [(0, "x " + a), (1, b), (2, a + " " + b), (3, "none of it"), (4, "four words only here")], [(None, a), (None, "four words only here"), ("b", b), ("c", a + " more")]
+    items = spark.createDataFrame(bench, "item_id string, text string")
+    got = decontaminate.query(frame(spark, [t for _, t in docs]), items).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in got] == [(14, 2, True), (14, 1, True), (28, 3, True), (0, 0, False), (4, 1, True)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", bench)
+    assert sorted(con.sql(decontaminate.ORACLE_SQL).fetchall()) == [tuple(r) for r in got]
+    assert [r["doc_id"] for r in decontaminate.clean(frame(spark, [t for _, t in docs]), items).collect()] == [3]
+
+
 def test_suffix_array_orders_suffixes():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, 300).astype(np.uint64)
