@@ -2,7 +2,8 @@
 
 Each task builds suffix arrays over shards of its documents' words and binary-searches
 every suffix of the benchmark in them: the range of training suffixes that begin with the
-suffix's window, and its longest verbatim match. Words are 64-bit hashes; a shard's suffixes
+suffix's window, and the ranges of all its beginnings, which give every training position its
+longest verbatim match. Words are 64-bit hashes; a shard's suffixes
 are sorted to the depth of the longest benchmark item, which no comparison goes beyond.
 
 A window is ``WINDOW`` consecutive item words; an item of fewer words, but not none, is one
@@ -125,22 +126,46 @@ def _rows(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def _longest(order: np.ndarray, words: np.ndarray, ends: np.ndarray, bench: Benchmark, low: np.ndarray) -> dict[int, int]:
-    """Longest verbatim match, by position, of the neighbours of each suffix's place in the array."""
-    best: dict[int, int] = {}
-    for near in (low - 1, low):
-        ok = (near >= 0) & (near < len(order))
-        at = order[np.clip(near, 0, len(order) - 1)]
-        length, live = np.zeros(len(at), np.int64), ok
-        for j in range(bench.suffixes.shape[1]):
+def longest_matches(order: np.ndarray, words: np.ndarray, ends: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """For each position the words of its longest match with any suffix of the benchmark.
+
+    All suffixes of the benchmark go down the array together, a word at a time. The ranges of distinct beginnings of
+    one length are disjoint and those of longer ones lie inside, so as many ranges cover a position as words match.
+    """
+    n, rows = len(order), np.arange(len(bench.suffixes))
+    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), n, np.int64)
+    change = np.zeros(n + 1, np.int64)
+    for j in range(bench.suffixes.shape[1]):
+        keep = bench.suffix_lengths[rows] > j
+        rows, low, high = rows[keep], low[keep], high[keep]
+        low, high = _narrow(order, words, ends, bench.suffixes[rows, j], j, low, high)
+        keep = high > low
+        rows, low, high = rows[keep], low[keep], high[keep]
+        if not len(rows):
+            break
+        begin, one = np.unique(low, return_index=True)
+        change[begin] += 1
+        np.add.at(change, high[one], -1)
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(change[:-1])
+    return out
+
+
+def _narrow(order: np.ndarray, words: np.ndarray, ends: np.ndarray, wanted: np.ndarray, j: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each range of suffixes with the same first ``j`` words the part whose next word is the wanted one."""
+
+    def first(after: bool) -> np.ndarray:
+        a, b = low.copy(), high.copy()
+        while (open_ := a < b).any():
+            middle = (a + b) // 2
+            at = order[np.minimum(middle, len(order) - 1)]
             here = at + j
-            live = live & (bench.suffix_lengths > j) & (here < ends[at]) & (words[np.minimum(here, len(words) - 1)] == bench.suffixes[:, j])
-            if not live.any():
-                break
-            length += live
-        for p, n in zip(at[length > 0].tolist(), length[length > 0].tolist(), strict=True):
-            best[p] = max(best.get(p, 0), n)
-    return best
+            word = words[np.minimum(here, len(words) - 1)]
+            right = (here >= ends[at]) | (word < wanted) | ((word == wanted) & after)
+            a, b = np.where(open_ & right, middle + 1, a), np.where(open_ & ~right, middle, b)
+        return a
+
+    return first(False), first(True)
 
 
 def _find(bench: Benchmark, rows: int, data: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -149,15 +174,13 @@ def _find(bench: Benchmark, rows: int, data: np.ndarray, offsets: np.ndarray) ->
     counts = np.diff(first)
     hits: list[list[dict]] = [[] for _ in range(rows)]
     items: list[list[str | None]] = [[] for _ in range(rows)]
-    longest = [0] * rows
+    longest = np.zeros(rows, np.int64)
     if not len(words) or not len(bench.windows):
         return counts, hits, items, longest
     ends = np.repeat(first[1:], counts)
     owner = np.repeat(np.arange(rows), counts)
     order, _ = suffix_array(words, ends, bench.depth)
-    low, _ = search(order, words, ends, bench.suffixes, bench.suffix_lengths)
-    for p, n in _longest(order, words, ends, bench, low).items():
-        longest[owner[p]] = max(longest[owner[p]], n)
+    longest[counts > 0] = np.maximum.reduceat(longest_matches(order, words, ends, bench), first[:-1][counts > 0])
     low, high = search(order, words, ends, bench.windows, bench.lengths)
     found = np.flatnonzero(high > low)
     if not len(found):

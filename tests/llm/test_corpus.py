@@ -217,6 +217,24 @@ def test_decontamination_by_items_without_id(spark, monkeypatch, block_bytes):
     assert [r["doc_id"] for r in decontaminate.clean(frame(spark, [t for _, t in docs]), items).collect()] == [3]
 
 
+def test_longest_matches_by_brute_force(spark):
+    r = random.Random(7)
+    few = lambda n: " ".join(r.choice("a b c".split()) for _ in range(n))
+    item = prose(5, 30)
+    bench = [("i", item), ("j", few(12)), ("k", few(5)), ("l", "one"), (None, prose(9, 20))]
+    long, short = " ".join(item.split()[:30]), " ".join(item.split()[4:24])
+    texts = [None, "", long, long, "x " + short, short + " y", "x " + long + " " + short, prose(9, 20), prose(9, 20) + " z", *[few(n) for n in (1, 3, 8, 40, 40)], *[few(25)] * 3, "none"]
+
+    def longest(words):
+        have = {tuple(words[i : i + n]) for n in range(1, 31) for i in range(len(words) - n + 1)}
+        return max((n for _, t in bench for w in [t.split()] for n in range(1, len(w) + 1) for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in have), default=0)
+
+    docs, items = frame(spark, texts).coalesce(1), spark.createDataFrame(bench, "item_id string, text string")
+    got = {x["doc_id"]: x["longest"] for x in decontaminate.matches(docs, items).collect()}
+    assert [got[i] for i in range(len(texts))] == [longest((t or "").split()) for t in texts]
+    assert (got[2], got[3], got[4], got[5]) == (30, 30, 20, 20)
+
+
 def test_suffix_array_orders_suffixes():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 3, 300).astype(np.uint64)
