@@ -2,7 +2,11 @@
 
 The fingerprint of a layout is the SHA-256 of its sorted nested field paths. A table
 whose layout is known has one of the ``MAPPINGS``; rows of JSON text may each have
-another layout, and theirs is taken from the row's own variant schema. Canonical turns
+another layout, and theirs is taken from the paths of the row's own variant schema: a
+mapping's fingerprint, or else the mapping with the most paths whose paths (but for optional
+ones) the row has all of. Rows of no mapping keep their fingerprint and have null turns. Of an
+empty or null list no path is missing; list items with none of a mapping's names keep a row
+from it, as their text would be lost. Canonical turns
 are ``array<struct<turn, role, text>>``; a template marks them, with control strings
 inside roles and texts escaped so that every text can be read back.
 
@@ -44,13 +48,17 @@ def fingerprint(paths: list[str]) -> str:
 
 
 class Mapping(NamedTuple):
-    """How a layout of these ``paths`` becomes turns. ``rows``: a row is one turn of conversation ``key``; else ``turns`` is SQL over the row."""
+    """How a layout of these ``paths`` becomes turns. ``rows``: a row is one turn of conversation ``key``; else ``turns`` is SQL over the row. Of the paths ``optional`` may be missing."""
 
     name: str
     paths: tuple[str, ...]
     key: str
     turns: str
     rows: bool = False
+    optional: tuple[str, ...] = ()
+
+    def required(self) -> set[str]:
+        return set(self.paths) - set(self.optional)
 
 
 def _turn(i: int, role: str, text: str) -> str:
@@ -65,7 +73,7 @@ MAPPINGS = (
     Mapping("messages", ("id", "messages[].content", "messages[].role"), "id", "transform(messages, (m, i) -> named_struct('turn', i, 'role', m.role, 'text', m.content))"),
     Mapping("shares", ("conversations[].from", "conversations[].value", "id"), "id", "transform(conversations, (m, i) -> named_struct('turn', i, 'role', CASE m.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.from END, 'text', m.value))"),
     Mapping("prompt", ("completion", "id", "prompt"), "id", f"array({_turn(0, 'user', 'prompt')}, {_turn(1, 'assistant', 'completion')})"),
-    Mapping("instruction", ("id", "input", "instruction", "output"), "id", f"array({_turn(0, 'user', INSTRUCTION)}, {_turn(1, 'assistant', 'output')})"),
+    Mapping("instruction", ("id", "input", "instruction", "output"), "id", f"array({_turn(0, 'user', INSTRUCTION)}, {_turn(1, 'assistant', 'output')})", optional=("input",)),
 )
 BY_FINGERPRINT = {fingerprint(list(m.paths)): m for m in MAPPINGS}
 
@@ -79,12 +87,12 @@ JSON_DDL = {
 
 
 def select_mapping(df: DataFrame) -> Mapping:
-    """The mapping of the table's layout; a wider table falls to the mapping whose paths it all has, the longest first."""
+    """The mapping of the table's layout; a wider table falls to the mapping whose paths, but for optional ones, it all has, the longest first."""
     paths = set(field_paths(df.schema))
     if found := BY_FINGERPRINT.get(fingerprint(list(paths))):
         return found
     for m in sorted(MAPPINGS, key=lambda m: -len(m.paths)):
-        if set(m.paths) <= paths:
+        if m.required() <= paths:
             return m
     raise ValueError(f"no mapping for a layout with the paths {sorted(paths)}")
 
@@ -95,26 +103,63 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     if m.rows:
         grouped = df.groupBy(F.col(m.key).alias("conv_id")).agg(F.sort_array(F.collect_list(F.expr(m.turns))).alias("turns"))
         return grouped.withColumn("turns", F.col("turns").cast(TURNS))
+    df = df.withColumns({c: F.lit(None).cast("string") for c in m.optional if c not in df.columns})
     return df.select(F.col(m.key).alias("conv_id"), F.coalesce(F.expr(m.turns), F.array()).cast(TURNS).alias("turns"))
 
 
-def json_fingerprint(json: Column) -> Column:
-    """The fingerprint of a row of JSON text, from its variant schema; null where it is no JSON."""
+#: Of a variant schema the names with ": ", brackets and types.
+_SCHEMA = r"(`(?:[^`]++|``)*+`: |\w+: |OBJECT<|ARRAY<|>|[A-Z]+(?:\([0-9, ]+\))?)"
+
+
+def json_paths(json: Column) -> Column:
+    """struct<paths, empty> of a row of JSON text: its nested paths as of ``field_paths``, sorted, and those that are null or an empty list; null where it is no JSON."""
     schema = F.schema_of_variant(F.try_parse_json(json))
-    return F.when(schema.isNotNull(), F.sha2(schema, 256))
+    strings = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    start = F.struct(strings("").alias("stack"), F.lit("").alias("at"), strings().alias("paths"), strings().alias("empty"))
+
+    def step(s: Column, t: Column) -> Column:
+        is_name, opens, array = t.endswith(": "), t.isin("OBJECT<", "ARRAY<"), t == "ARRAY<"
+        name = F.substr(t, F.lit(1), F.length(t) - 2)
+        name = F.when(name.startswith("`"), F.replace(F.substr(name, F.lit(2), F.length(name) - 2), F.lit("``"), F.lit("`"))).otherwise(name)
+        top = F.element_at(s["stack"], -1)
+        at = F.when(is_name, F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name))).when(array, F.concat(s["at"], F.lit("[]"))).otherwise(s["at"])
+        leaf = ~is_name & ~opens & (t != ">")
+        stack = F.when(opens, F.array_append(s["stack"], at)).when(t == ">", F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1)).otherwise(s["stack"])
+        return F.struct(
+            stack.alias("stack"), at.alias("at"), F.when(leaf, F.array_append(s["paths"], at)).otherwise(s["paths"]).alias("paths"),
+            F.when(leaf & (t == "VOID"), F.array_append(s["empty"], at)).otherwise(s["empty"]).alias("empty"),
+        )
+
+    done = lambda s: F.struct(F.array_sort(F.array_distinct(s["paths"])).alias("paths"), s["empty"].alias("empty"))
+    return F.when(schema.isNotNull(), F.aggregate(F.regexp_extract_all(schema, F.lit(_SCHEMA), F.lit(1)), start, step, done))
+
+
+def json_fingerprint(paths: Column) -> Column:
+    """The fingerprint of a row's ``json_paths``."""
+    return F.when(paths.isNotNull(), F.sha2(F.concat_ws("\n", paths["paths"]), 256))
+
+
+def _has(paths: Column, m: Mapping, json: Column) -> Column:
+    """Whether a row has the mapping's paths, and in each item of its list one of them."""
+    out = F.lit(True)
+    for p in sorted(m.required()):
+        above = [p[:k] for k in range(1, len(p)) if p[k] in ".["]
+        out &= F.array_contains(paths["paths"], p) | (F.arrays_overlap(paths["empty"], F.array(*[F.lit(x) for x in above])) if above else F.lit(False))
+    for top in {p.split("[]")[0] for p in m.paths if "[]" in p}:
+        names = F.array(*[F.lit(p.removeprefix(f"{top}[].")) for p in m.paths if p.startswith(f"{top}[].")])
+        items = F.from_json(json, f"{top} array<string>")[top]
+        keys = F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))
+        out &= F.coalesce(F.forall(keys, lambda x: (F.size(x) == 0) | F.arrays_overlap(x, names)), F.lit(True))
+    return out
 
 
 def canonical_json_turns(df: DataFrame, json: str = "json") -> DataFrame:
-    """(conv_id, layout, turns) of rows of JSON text, each in a layout of its own; rows of none have null turns.
-
-    The row's variant schema has types too (a missing list item makes it differ), so it is first
-    reduced to its names: the sorted top-level fields are what tells the layouts apart.
-    """
-    names = F.array_sort(F.json_object_keys(F.col(json)))
-    key = F.sha2(F.concat_ws("\n", names), 256)
-    tops = {m.name: hashlib.sha256("\n".join(sorted({p.split(".")[0].removesuffix("[]") for p in m.paths})).encode()).hexdigest() for m in MAPPINGS if not m.rows}
-    layout = F.coalesce(*[F.when(key == F.lit(h), F.lit(name)) for name, h in tops.items()])
-    out = df.withColumns({"_layout": layout, "_schema": json_fingerprint(F.col(json))})
+    """(conv_id, layout, fingerprint, turns) of rows of JSON text, each in a layout of its own; rows of none have null turns."""
+    out = df.withColumn("_paths", json_paths(F.col(json))).withColumn("_schema", json_fingerprint(F.col("_paths")))
+    known = sorted((m for m in MAPPINGS if not m.rows), key=lambda m: -len(m.paths))
+    fits = {m.name: F.coalesce(_has(F.col("_paths"), m, F.col(json)), F.lit(False)) for m in known}
+    exact = [F.when((F.col("_schema") == fingerprint(list(m.paths))) & fits[m.name], F.lit(m.name)) for m in known]
+    out = out.withColumn("_layout", F.coalesce(*exact, *[F.when(fits[m.name], F.lit(m.name)) for m in known]))
     branches = []
     for m in MAPPINGS:
         if not m.rows:

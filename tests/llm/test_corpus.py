@@ -270,6 +270,32 @@ def test_layouts(spark):
             assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", "hi"), ("assistant", "yo")]
 
 
+def test_layouts_by_nested_paths(spark):
+    both, user = [("user", "hi"), ("assistant", "yo")], [("user", "hi")]
+    rows = [
+        ('{"id":"1","messages":[{"speaker":"user","text":"hi"}]}', None, None),
+        ('{"id":"2","source":{"x":[1]},"messages":[{"role":"user","content":"hi","t":null},{"content":"yo","role":"assistant"}]}', "messages", both),
+        ('{"id":"3","instruction":"hi","output":"yo"}', "instruction", both),
+        ('{"id":"4","instruction":"hi","output":"yo","input":null,"n":1.5}', "instruction", both),
+        ('{"id":"5","prompt":"hi"}', None, None),
+        ('{"id":"6","messages":[]}', "messages", []),
+        ('{"id":"7","messages":null}', "messages", []),
+        ('{"id":"8","messages":[{"role":"user","content":"hi"},{"speaker":"x","text":"lost"}]}', None, None),
+        ('{"id":"9","messages":["hi"]}', None, None),
+        ('{"id":"10","conversations":[{"from":"human","value":"hi"}],"a b: `>":{"OBJECT<":[[{"x":1}]]}}', "shares", user),
+        ('{"id":"11","conversations":[{"speaker":"human","value":"hi"}]}', None, None),
+        ('{"messages":{"role":"user","content":"hi"},"id":"12"}', None, None),
+        ("[1]", None, None), ("null", None, None),
+    ]
+    got = chat_format.canonical_json_turns(spark.createDataFrame([(i, j) for i, (j, _, _) in enumerate(rows)], "n int, json string").orderBy("n").coalesce(1)).collect()
+    assert [(r["layout"], r["turns"] and [(t["role"], t["text"]) for t in r["turns"]]) for r in got] == [(layout, turns) for _, layout, turns in rows]
+    assert [r["conv_id"] for r in got if r["layout"]] == ["2", "3", "4", "6", "7", "10"]
+    assert got[0]["fingerprint"] == chat_format.fingerprint(["id", "messages[].speaker", "messages[].text"])
+    assert got[9]["fingerprint"] == chat_format.fingerprint(["id", "conversations[].from", "conversations[].value", "a b: `>.OBJECT<[][].x"])
+    table = spark.createDataFrame([("3", "hi", "yo", 1)], "id string, instruction string, output string, more int")
+    assert [(t["role"], t["text"]) for t in chat_format.canonical_turns(table).first()["turns"]] == both
+
+
 def test_rule_ensemble_on_held_out_rows():
     rng = np.random.default_rng(2)
     x = rng.random((3000, len(rule_ensemble.NAMES)))
