@@ -54,12 +54,16 @@ def spatial_programs(bundle: Bundle, radius: float, k: int = 8, center: str = "s
     return _finish(p, g.drop("part"), variance.select("part", "g", F.col("variance").alias("score")), _all(scale), k, False, scope, gene_center)
 
 
-def label_programs(bundle: Bundle, radius: float, labels: list | None = None, **options) -> dict[str, Programs]:
-    """Programs of the spots of each label by themselves, all labels by default."""
+def _labels(bundle: Bundle, labels: list | None) -> list:
     known = [r["label"] for r in bundle.spots.select("label").where("label IS NOT NULL").distinct().orderBy("label").collect()]  # labels are categories
     if missing := set(labels or []) - set(known):
         raise ValueError(f"labels not in the data: {sorted(missing)}")
-    return {x: spatial_programs(preprocess.subset_by_labels(bundle, [x]), radius, scope=str(x), **options) for x in labels or known}
+    return labels or known
+
+
+def label_programs(bundle: Bundle, radius: float, labels: list | None = None, **options) -> dict[str, Programs]:
+    """Programs of the spots of each label by themselves, all labels by default."""
+    return {x: spatial_programs(preprocess.subset_by_labels(bundle, [x]), radius, scope=str(x), **options) for x in _labels(bundle, labels)}
 
 
 def _combined(bundle: Bundle, radius: float, coefficients: DataFrame | None, weighting: str, pooled: bool, k: int, center: str, alpha: float, gene_center: bool, scope: str) -> Programs:
@@ -109,6 +113,11 @@ def differential_label_programs(bundle: Bundle, label: str, radius: float, **opt
     return differential_sample_programs(split, ["label"], ["rest"], radius, scope=str(label), **options)
 
 
+def differential_programs_by_label(bundle: Bundle, radius: float, labels: list | None = None, **options) -> dict[str, Programs]:
+    """Programs of each label's spots against all others, all labels by default."""
+    return {x: differential_label_programs(bundle, x, radius, **options) for x in _labels(bundle, labels)}
+
+
 def marker_programs(bundle: Bundle, radius: float, k: int = 8, alpha: float = 1.0, gene_center: bool = False, scope: str = "all") -> Programs:
     """What centring by sample keeps and centring by label removes: the difference of both Grams under the first one's scale."""
     left, right = spatial.prepare(bundle, radius, "sample"), spatial.prepare(bundle, radius, "label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -330,6 +331,19 @@ def compare_components(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("cosine", _r(F.col("cosine")))
 
 
+@register(
+    "compare_components_halves",
+    f"""WITH {_LOAD}, a AS (SELECT gene_id, mode AS mode_a, v AS x FROM load WHERE mode < 32), b AS (SELECT gene_id, mode - 32 AS mode_b, v AS y FROM load WHERE mode >= 32),
+    c AS (SELECT mode_a, mode_b, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS cosine FROM a JOIN b USING (gene_id) GROUP BY 1, 2)
+    SELECT mode_a, mode_b, round(cosine, 6) + 0.0 AS cosine, row_number() OVER (PARTITION BY mode_a ORDER BY abs(cosine) DESC, mode_b) = 1 AS best FROM c""",
+)
+def compare_components_halves(spark: SparkSession, d: str) -> DataFrame:
+    """All stored dimensions: the first half against the second."""
+    rows = _loadings(spark, d).select("gene_id", "mode", "v")
+    found = ranking.compare_components(rows.where("mode < 32"), rows.where("mode >= 32").withColumn("mode", F.col("mode") - 32))
+    return found.withColumn("cosine", _r(F.col("cosine")))
+
+
 @register(
     "label_reference_match",
     f"""WITH {EMB}, n AS (SELECT label, sample_id AS reference, count(*) AS n FROM spots GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, reference) AS r FROM n)
@@ -383,7 +397,7 @@ register("spatial_programs")(lambda spark, d: commands.spatial_programs(embeddin
 register("spot_modes")(lambda spark, d: commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS).spot_modes)
 register("shared_programs")(lambda spark, d: commands.shared_programs(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
 register("differential_sample_programs")(lambda spark, d: commands.differential_sample_programs(embeddings_bundle(spark, d), ["S0"], ["S1", "S2"], EMB_RADIUS).gene_programs)
-register("differential_label_programs")(lambda spark, d: commands.differential_label_programs(embeddings_bundle(spark, d), "L1", EMB_RADIUS).gene_programs)
+register("differential_label_programs")(lambda spark, d: reduce(DataFrame.unionByName, [x.gene_programs for x in commands.differential_programs_by_label(embeddings_bundle(spark, d), EMB_RADIUS).values()]))
 register("marker_programs")(lambda spark, d: commands.marker_programs(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
 register("gene_scores")(lambda spark, d: commands.gene_scores(embeddings_bundle(spark, d), EMB_RADIUS))
 register("cluster_genes")(lambda spark, d: commands.cluster_genes(commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS)))

@@ -86,6 +86,17 @@ def test_contrasts_have_both_signs(data):
         commands.differential_label_programs(bundle, "no such label", RADIUS)
 
 
+def test_every_label_against_the_rest(data):
+    bundle = data[0]
+    labels = {r["label"] for r in bundle.spots.where("label IS NOT NULL").select("label").distinct().collect()}
+    found = commands.differential_programs_by_label(bundle, RADIUS, k=2)
+    assert set(found) == labels and len(labels) > 1
+    for label, mine in found.items():
+        assert {r["scope"] for r in mine.gene_programs.select("scope").distinct().collect()} == {str(label)}
+    with pytest.raises(ValueError):
+        commands.differential_programs_by_label(bundle, RADIUS, ["no such label"])
+
+
 def test_kernel_edges(spark):
     coords = spark.createDataFrame([("S", i, float(i), 0.0) for i in range(4)] + [("S", 4, 3.0, 0.0)], "sample_id string, spot_id long, x double, y double")
     at_one = kernel.wendland_kernel(coords, 1.0)
