@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tokens import encoder
+from .tokens import BATCH_BYTES, encoder
+from .words import ragged_arange
 from .work import Workspace, text_slices
 
 LENGTH, STEP = 2048, 8
@@ -120,29 +121,37 @@ def fill(left: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
 
 
 def _cut(path: str, end_id: int, length: int, step: int):
-    end = np.uint32(end_id).tobytes()
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        seen = [0] * (length // step + 1)
+        seen = np.zeros(length // step + 1, np.int64)
         for batch in batches:
-            for rows, _, _ in text_slices(batch):
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                out: list[tuple] = []
-                for doc, ids in zip(rows.column(0).to_pylist(), encoder(path).ids(texts), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, length):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        size = -(-(len(piece) // 4) // step)
-                        out.append((part, doc, start, len(piece) // 4, size, seen[size], total, zlib.crc32(piece), piece))
-                        seen[size] += 1
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                names = [x.split()[0] for x in PIECES.split(", ")]
-                *narrow, ids = zip(*out, strict=True)
+            for rows, data, offsets in text_slices(batch, "text", BATCH_BYTES):
+                ids, at = encoder(path).ids(rows.column(1), data, offsets, end_id)
+                totals = np.diff(at)
+                pieces = -(-totals // length)
+                doc = np.repeat(np.arange(len(totals)), pieces)
+                start = ragged_arange(pieces) * length
+                n = np.minimum(length, totals[doc] - start)
+                size = -(-n // step)
+                order = np.argsort(size, kind="stable")
+                classes = np.bincount(size, minlength=len(seen))
+                place = np.empty(len(size), np.int64)  # among the task's pieces of a class
+                place[order] = ragged_arange(classes) + np.repeat(seen, classes)
+                seen += classes
+                borders = np.append(at[doc] + start, at[-1])
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
                 # ids that fit are stored in 16 bits; the width follows from the piece's length
-                ids = [v.astype("<u2").tobytes() if (v := np.frombuffer(p, "<u4")).max() < 1 << 16 else p for p in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*narrow, ids], kinds, strict=True)], names=names)
+                kind = "<u2" if ids.max() < 1 << 16 else "<u4"
+                ends = (borders * np.dtype(kind).itemsize).astype(np.int64)
+                body = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                columns = [
+                    pa.array(np.full(len(n), part, np.int32)), rows.column(0).take(pa.array(doc)), pa.array(start), pa.array(n, pa.int32()), pa.array(size, pa.int32()),
+                    pa.array(place), pa.array(totals[doc]), pa.array(crcs, pa.int64()), body,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

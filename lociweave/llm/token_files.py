@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tokens import encoder
+from .tokens import BATCH_BYTES, encoder
 from .work import Workspace, text_slices
 
 #: Tokens of a shard; the document that reaches this many ends it.
 SHARD_TOKENS = 500_000
+#: Bytes of texts in a range of doc_ids, about, where there are more than the session's number of partitions holds.
+RANGE_BYTES = 128_000_000
 #: Bits that one entry of a rank directory covers.
 RANK_BITS = 512
 _HEAD = struct.Struct("<4sQI")
@@ -93,25 +95,30 @@ class Codes:
 
 
 def _write(path: str, end_id: int, shard_tokens: int):
-    end = np.uint32(end_id).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        docs, counts, held, total = [], [], [], 0
+        docs: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        total = 0
 
         def shard() -> pa.RecordBatch:
-            row = {"part": part, "seq": seq, "n_tokens": total, "doc_ids": docs, "doc_tokens": counts, "codes": encode(np.frombuffer(b"".join(held), "<u4"))}
+            row = {"part": part, "seq": seq, "n_tokens": total, "doc_ids": pa.concat_arrays(docs), "doc_tokens": np.concatenate(counts), "codes": encode(np.concatenate(held))}
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            for rows, _, _ in text_slices(batch):
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                for doc, ids in zip(rows.column(0).to_pylist(), encoder(path).ids(texts), strict=True):
-                    docs.append(doc)
-                    held.append(ids + end)
-                    counts.append(len(held[-1]) // 4)
-                    total += counts[-1]
+            for rows, data, offsets in text_slices(batch, "text", BATCH_BYTES):
+                ids, at = encoder(path).ids(rows.column(1), data, offsets, end_id)
+                begin = 0
+                while begin < rows.num_rows:  # a step for each shard that the batch touches
+                    end = int(np.searchsorted(at, at[begin] + shard_tokens - total))
+                    end = min(max(end, begin + 1), rows.num_rows)
+                    docs.append(rows.column(0).slice(begin, end - begin))
+                    counts.append(np.diff(at[begin : end + 1]))
+                    held.append(ids[at[begin] : at[end]])
+                    total += int(at[end] - at[begin])
+                    begin = end
                     if total >= shard_tokens:
                         yield shard()
                         seq += 1
@@ -126,7 +133,8 @@ def write_tokens(docs: DataFrame, work: Workspace, path: str, end_id: int = 0, s
     """Token files of ``docs`` in ascending doc_id order, as the table ``tokens`` of ``work``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return work.table(rows.mapInArrow(_write(path, end_id, shard_tokens), SHARDS), "tokens")
 

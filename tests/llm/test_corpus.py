@@ -8,6 +8,7 @@ from array import array
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -59,7 +60,35 @@ def test_pieces_have_the_ids_of_whole_texts(name):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
     want = [array("I", plain.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
     encoder = tokens.Encoder(public_tokenizers.path(name))
-    assert encoder.ids(texts) == want and encoder.ids(texts) == want
+    assert encoder.layout == {"byte_bpe_50k.json": "kept", "word_bpe_49k.json": "dropped"}[name]
+    for _ in range(2):
+        assert encode(encoder, texts) == want
+    unknown = tokens.Encoder(public_tokenizers.path(name))
+    unknown.odd = None  # a tokenizer of other rules: all texts are encoded whole
+    assert encode(unknown, texts) == want
+
+
+def encode(encoder, texts):
+    """Each text's ids as bytes."""
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    ids, at = encoder.ids(pa.array(texts, pa.string()), np.frombuffer(b"".join(raw), np.uint8), offsets)
+    return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts_have_the_ids_of_whole_texts(name):
+    r = random.Random(5)
+    parts = ["a", "B", "é", "Σ", "ﬁ", "'", "'s", ".", ",", "1", "²", "½", "-", "_", "\u0301", "\u0338", "=", "中", "\u1100", "\u1161", "\0", "\x1c", "\t", "\u2009", "<|", "|>", "end", "don", "word", "x" * 30, "\N{GRINNING FACE}"]
+    texts = ["".join(r.choice([*parts, " ", " ", "\n"]) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [array("I", e.ids).tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    assert encode(encoder, texts) == want
+    spans = token_counts.SpanEncoder(public_tokenizers.path(name))
+    raw = [t.encode() for t in texts]
+    rows, counts = spans.rows(pa.array(texts), np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert list(map(tuple, rows.tolist())) == [s for e in plain.encode_batch(texts, add_special_tokens=False) for s in e.offsets]
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
@@ -85,6 +114,38 @@ def test_token_counts(spark, rule):
     assert token_counts.query(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_of_given_sections_and_fields(spark, rule):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, r = Tokenizer.from_file(path), random.Random(3)
+    texts = [None, "", "one two three", prose(4, 30), prose(4, 30), "intercontinental  ballistic\n\n misunderstanding " * 4]
+    sections = [(2, "all", 0, 13), (2, "none", 5, 5), (5, "x", 3, 40), (5, "y", 20, 33), (9, "lost", 0, 5)]
+    for i in (3, 4):
+        cuts = sorted(r.sample(range(len(texts[i])), 9))
+        sections += [(i, f"s{k}", a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if k % 3]
+    table = spark.createDataFrame(sections, "doc_id long, name string, start long, end long")
+    got = {}
+    for x in token_counts.count_tokens(token_counts.with_sections(frame(spark, texts), table), path, rule, sections="sections").collect():
+        got.setdefault(x["doc_id"], {})[x["name"]] = (x["n_tokens"], x["n_crossing"])
+    for i, text in enumerate(texts):
+        own = sorted((a, b, n) for d, n, a, b in sections if d == i)
+        own = [(a, min(b, own[k + 1][0]) if k + 1 < len(own) else b, n) for k, (a, b, n) in enumerate(own)]
+        want = {n: [0, 0] for _, _, n in own} | {None: [0, 0]}
+        for a, b in plain.encode(text or "", add_special_tokens=False).offsets:
+            share = [max(0, min(b, y) - max(a, x)) for x, y, _ in own]
+            inside = [k for k, v in enumerate(share) if v]
+            if not inside:
+                want[None][0] += 1
+                continue
+            owner = {"first": inside[0], "last": inside[-1], "most": share.index(max(share))}[rule]
+            want[own[owner][2]][0] += 1
+            want[own[inside[0]][2]][1] += len(inside) > 1
+        assert got.get(i, {}) == {n: tuple(v) for n, v in want.items() if n is not None or v[0]}
+    fields = spark.createDataFrame([(1, "A title", None, "The body of it."), (1, "A title", None, "The body of it.")], "doc_id long, title string, `a.b` string, text string")
+    rows = token_counts.count_tokens(token_counts.with_fields(fields, ["title", "a.b", "text"]), path, rule, sections="sections").collect()
+    assert sorted((x["name"] or "", x["n_tokens"]) for x in rows) == [("", 3)] * 2 + [("a.b", 0)] * 2 + [("text", 5)] * 2 + [("title", 2)] * 2
+
+
 def test_token_files(spark):
     texts = [*ODD, prose(3, 60)]
     path = public_tokenizers.path("byte_bpe_50k.json")
