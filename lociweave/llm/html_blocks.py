@@ -8,7 +8,8 @@ every block as article or not. The article's blocks, in page order, are the text
 The network is trained on the driver on ``PAGES`` generated pages of many layouts, whose
 blocks are labelled by construction; it is the same for the same code. Weights go to the
 tasks, and each page is read alone: nothing is shuffled. Pages of a batch run together,
-sorted by their number of blocks; a longer sequence only takes more steps.
+sorted by their number of blocks; a longer sequence only takes more steps. Time and memory
+grow in proportion to a page's length, whatever its markup.
 
 What scripts and other raw text elements hold is no markup: they end at their own end tag, or
 with the page. Other skipped elements nest and end at their matching end tag; one that has none
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -47,7 +49,8 @@ SKIPPED = RAW | frozenset("template svg select object canvas".split())
 #: Elements that the start of a block ends, where they are open.
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
+#: A quote opens a value only right after an equals sign, and only where another one ends it.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
@@ -55,10 +58,15 @@ _SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.IGNORECASE)
 
 PATHS, WORDS, VECTOR, NUMBERS, HIDDEN = 1024, 2048, 12, 8, 16
 PAGES, EPOCHS = 700, 5
+#: Blocks, padding included, that are labelled together, unless one page has more; blocks that are described at once.
+CELLS, PART = 40_000, 5_000
 
 
 class Block(NamedTuple):
+    """``path``: each tag and name above the block once; ``leaf``: the last of them."""
+
     path: tuple[str, ...]
+    leaf: str
     text: str
     link_chars: int
 
@@ -101,7 +109,7 @@ def _tokens(page: str) -> tuple[list[Token], dict[int, int]]:
     at = 0
     while m := _TOKEN.search(page, at):
         at = m.end()
-        closing, name, rest = bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        closing, name, rest = bool(m[1]), (m[2] or "").lower(), m[3] or ""
         if name in SKIPPED:
             empty = rest.rstrip().endswith("/")
             if name in RAW:
@@ -118,18 +126,56 @@ def _tokens(page: str) -> tuple[list[Token], dict[int, int]]:
     return out, pairs
 
 
+class _Stack:
+    """Open elements, and how often each tag, and each tag or name of the path, is among them: no step looks at the whole path."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.tags: Counter[str] = Counter()
+        self.entries: dict[str, int] = {}
+        self.known: tuple[str, ...] | None = ()
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.open.append((tag, names))
+        self.tags[tag] += 1
+        for x in (tag, *names):
+            n = self.entries.get(x, 0)
+            self.entries[x] = n + 1
+            if not n:
+                self.known = None
+
+    def pop(self) -> str:
+        tag, names = self.open.pop()
+        self.tags[tag] -= 1
+        for x in (tag, *names):
+            if self.entries[x] == 1:
+                del self.entries[x]
+                self.known = None
+            else:
+                self.entries[x] -= 1
+        return tag
+
+    def path(self) -> tuple[str, ...]:
+        if self.known is None:
+            self.known = tuple(self.entries)
+        return self.known
+
+    def leaf(self) -> str:
+        return (self.open[-1][1] or self.open[-1][:1])[-1] if self.open else ""
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; white space in a block is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     held: list[str] = []
-    links = in_link = 0
+    links = 0
     at, k, unclosed = 0, 0, False  # unclosed: in a skipped element without an end
 
     def flush() -> None:
         nonlocal held, links
         if held and (text := " ".join("".join(held).split())):
-            out.append(Block(tuple(x for tag, names in stack for x in (tag, *names)), text, links))
+            out.append(Block(stack.path(), stack.leaf(), text, links))
         held, links = [], 0
 
     def add(raw: str) -> None:
@@ -137,7 +183,7 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
-            if in_link:
+            if stack.tags["a"]:
                 links += len(text)
 
     tokens, pairs = _tokens(page)
@@ -162,19 +208,18 @@ def blocks(page: str) -> list[Block]:
             elif name not in RAW and not (rest.rstrip().endswith("/") and name == "svg"):
                 unclosed = True
         elif closing:
-            if any(tag == name for tag, _ in stack):
-                while stack.pop()[0] != name:
+            if stack.tags[name]:
+                while stack.pop() != name:
                     pass
-                in_link = sum(tag == "a" for tag, _ in stack)
         elif name not in VOID and name not in SKIPPED:
             if name in BLOCK:
                 ends = _CLOSED_BY.get(name, ()) or ("p",)
-                open_ = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ends), -1)
-                if open_ >= 0 and (ends == ("p",) or not any(t in ("ul", "ol", "dl", "table") for t, _ in stack[open_:])):
-                    del stack[open_:]
-            names = tuple(f".{x}" for g in _NAMES.findall(rest) for x in _SPLIT.split("".join(g).lower()) if x) if "=" in rest else ()
-            stack.append((name, names))
-            in_link = sum(tag == "a" for tag, _ in stack)
+                if any(stack.tags[x] for x in ends):
+                    open_ = next(k for k in range(len(stack.open) - 1, -1, -1) if stack.open[k][0] in ends)
+                    if ends == ("p",) or not any(t in ("ul", "ol", "dl", "table") for t, _ in stack.open[open_:]):
+                        while len(stack.open) > open_:
+                            stack.pop()
+            stack.push(name, tuple(f".{x}" for g in _NAMES.findall(rest) for x in _SPLIT.split("".join(g).lower()) if x) if "=" in rest else ())
     if not unclosed:
         add(page[at:])
     flush()
@@ -203,13 +248,13 @@ class Inputs(NamedTuple):
     numbers: np.ndarray
 
 
-def describe(pages: list[list[Block]]) -> Inputs:
+def describe(pages: list[list[Block]], first: int = 0, last: int | None = None) -> Inputs:
+    """Of the pages' blocks, or of those with places ``first`` to ``last`` in each page."""
     paths, path_ends, words, word_ends, numbers = [], [0], [], [0], []
     for page in pages:
         total = len(page)
-        for k, b in enumerate(page):
-            distinct = dict.fromkeys(b.path)  # of wrappers as deep as they come, each kind once
-            paths += [_hash(x, PATHS) for x in distinct] + [_hash(f"leaf {b.path[-1] if b.path else ''}", PATHS)]
+        for k, b in enumerate(page[first:last], first):
+            paths += [_hash(x, PATHS) for x in b.path] + [_hash(f"leaf {b.leaf}", PATHS)]  # of wrappers as deep as they come, each kind once
             path_ends.append(len(paths))
             split = b.text.lower().split()
             words += [_hash(w.strip(".,:;!?()\"'"), WORDS) for w in split]
@@ -280,7 +325,7 @@ class Labeller:
         return dz_all @ self.w[f"{d}x"].T
 
     def _forward(self, inputs: Inputs, counts: np.ndarray):
-        rows = np.concatenate([_bag(self.w["p"], inputs.paths, inputs.path_ends), _bag(self.w["v"], inputs.words, inputs.word_ends), inputs.numbers], axis=1)
+        rows = self._rows(inputs)
         steps, pages = int(counts.max()), np.repeat(np.arange(len(counts)), counts)
         step = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
         x, live = np.zeros((steps, len(counts), rows.shape[1])), np.zeros((steps, len(counts)))
@@ -289,6 +334,9 @@ class Labeller:
         top = np.concatenate([hf[step, pages], hb[step, pages], rows], axis=1)
         return x, step, pages, kf, kb, top, top @ self.w["o"] + self.w["ob"]
 
+    def _rows(self, inputs: Inputs) -> np.ndarray:
+        return np.concatenate([_bag(self.w["p"], inputs.paths, inputs.path_ends), _bag(self.w["v"], inputs.words, inputs.word_ends), inputs.numbers], axis=1)
+
     def train(self, pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCHS, seed: int = 5) -> None:
         rng, count = np.random.default_rng(seed), 0
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
@@ -315,16 +363,47 @@ class Labeller:
                     v += 0.001 * (g * g - v)
                     self.w[name] -= rate * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-8)
 
-    def label(self, pages: list[list[Block]], batch: int = 128) -> list[np.ndarray]:
-        """For each page the blocks' probabilities of being article text."""
+    def _states(self, d: str, x: np.ndarray, live: np.ndarray, out: np.ndarray) -> None:
+        """``_pass`` without what going back needs; states are written into ``out``."""
+        n = x.shape[1]
+        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            z = x[t] @ self.w[f"{d}x"] + self.w[f"{d}c"] + h @ self.w[f"{d}h"]
+            gates = _sigmoid(z[:, : 3 * HIDDEN])
+            m = live[t][:, None]
+            c = (gates[:, :HIDDEN] * c + gates[:, HIDDEN : 2 * HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])) * m
+            h = out[t] = gates[:, 2 * HIDDEN :] * np.tanh(c) * m
+
+    def _together(self, own: list[list[Block]]) -> list[np.ndarray]:
+        """Probabilities of pages that run as one padded batch."""
+        counts = np.array([len(p) for p in own])
+        if len(own) == 1:  # a long page is described in parts
+            rows = np.concatenate([self._rows(describe(own, k, k + PART)) for k in range(0, len(own[0]), PART)])
+        else:
+            rows = self._rows(describe(own))
+        pages = np.repeat(np.arange(len(counts)), counts)
+        step = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        x, live = np.zeros((int(counts.max()), len(counts), rows.shape[1])), np.zeros((int(counts.max()), len(counts)))
+        x[step, pages], live[step, pages] = rows, 1
+        z = rows @ self.w["o"][2 * HIDDEN :] + self.w["ob"]
+        states = np.zeros((*live.shape, HIDDEN))
+        for d, weights in (("f", self.w["o"][:HIDDEN]), ("b", self.w["o"][HIDDEN : 2 * HIDDEN])):
+            self._states(d, x, live, states)
+            z += (states @ weights)[step, pages]
+        return np.split(_sigmoid(z), np.cumsum(counts)[:-1])
+
+    def label(self, pages: list[list[Block]], cells: int = CELLS) -> list[np.ndarray]:
+        """For each page the blocks' probabilities of being article text. A batch has ``cells`` steps times pages at most, or one page."""
         out = [np.zeros(0)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            counts = np.array([len(pages[i]) for i in own])
-            p = _sigmoid(self._forward(describe([pages[i] for i in own]), counts)[-1])
-            for i, part in zip(own, np.split(p, np.cumsum(counts)[:-1]), strict=True):
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and end - at < 128 and (end - at + 1) * len(pages[order[end]]) <= cells:
+                end += 1
+            for i, part in zip(order[at:end], self._together([pages[i] for i in order[at:end]]), strict=True):
                 out[i] = part
+            at = end
         return out
 
 
@@ -427,7 +506,7 @@ def generated_pages(n: int = PAGES, seed: int = 1) -> tuple[list[list[Block]], l
         main = deep(main)
         page = f"<html><head>{title}<script>var t='<p>';</script></head><body>{main}</body></html>"
         found = [(b, re.search("\x01(\\d)", b.text)) for b in blocks(page)]
-        found = [(Block(b.path, text, b.link_chars), int(m[1])) for b, m in found if m and (text := " ".join(re.sub("\x01\\d", " ", b.text).split()))]
+        found = [(b._replace(text=text), int(m[1])) for b, m in found if m and (text := " ".join(re.sub("\x01\\d", " ", b.text).split()))]
         if found:
             pages.append([b for b, _ in found])
             labels.append([y for _, y in found])

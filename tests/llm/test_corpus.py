@@ -225,6 +225,43 @@ def test_html_raw_text_and_unclosed_elements():
     assert [b.path for b in html_blocks.blocks("<select><option>a<article>x")] == [("article",)]
 
 
+def test_html_quotes_and_odd_markup():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<article><p title=it's>Hello world</p><p>we don't stop</p><p>last</p></article>") == ["Hello world", "we don't stop", "last"]
+    assert texts("""<body><script>x='<a b="';</script><p>Text "q" here</p><p>more</p></body>""") == ['Text "q" here', "more"]
+    assert texts("""<body><script>if(a<b && s=='"'){f()}</script><p>Text one</p><p>more</p></body>""") == ["Text one", "more"]
+    assert texts("""<p a = "x > y" b='>' c=d"e>one</p><p a=">two</p>three""") == ["one", "two", "three"]
+    assert texts("""<p data-x="it's" "stray" 'one>a</p><img alt="5 > 3">b""") == ["a", "b"]
+
+
+def test_html_long_pages_take_linear_time_and_bounded_memory():
+    import time
+    import tracemalloc
+
+    labeller = html_blocks.trained()
+    began = time.time()
+    deep = html_blocks.blocks("<div class='a b'>x " * 100_000)
+    nested = html_blocks.blocks("<ul><li><a href=x><b>" * 20_000 + "</a>y" * 20_000)
+    assert len(deep) == 100_000 and len(deep[-1].path) == 3 and nested
+    assert time.time() - began < 30
+    tracemalloc.start()
+    own = [html_blocks.blocks("<p>one two three</p>" * 30_000), *[html_blocks.blocks("<p>a</p>" * 3)] * 127]
+    probabilities = labeller.label(own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(p) for p in probabilities] == [len(p) for p in own] and peak < 250e6
+
+
+def test_labels_do_not_depend_on_the_batch():
+    pages, _ = html_blocks.generated_pages(40, seed=77)
+    labeller = html_blocks.trained()
+    together, alone = labeller.label(pages), [labeller.label([p])[0] for p in pages]
+    assert all(np.allclose(a, b) for a, b in zip(together, alone, strict=True))
+    counts = np.array([len(p) for p in pages])
+    z = labeller._forward(html_blocks.describe(pages), counts)[-1]  # as in training
+    assert np.allclose(np.concatenate(together), 1 / (1 + np.exp(-z)))
+
+
 def test_html_deep_wrappers(spark):
     def page(outer, inner):
         text = "".join(f"<p>Sentence {k} of the text, which is long enough to be one.</p>" for k in range(4))
