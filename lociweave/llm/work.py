@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +17,29 @@ SLICE_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; a new temporary one where that is unset and all runs on this machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 class Workspace:
-    """Tables that cut lineage, as Parquet in the shared folder: a lost executor costs the running stage only."""
+    """Tables that cut lineage, as Parquet in the shared folder: a lost executor costs the running stage only.
+
+    An operator drops tables that nothing reads any more. Those that its result reads stay until the caller, who knows
+    when the result is written, calls ``remove`` or leaves a ``scratch`` block.
+    """
+
+    opened: ClassVar[list[Workspace]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.opened.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what was written; the schema is known, so nothing is inferred."""
@@ -38,8 +49,33 @@ class Workspace:
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.path}/{name}")
+
+    def remove(self) -> None:
+        """Delete all tables."""
+        self._delete(self.path)
+        if self in self.opened:
+            self.opened.remove(self)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes, at its end, the workspaces that were opened inside."""
+    before = list(Workspace.opened)
+    try:
+        yield
+    finally:
+        for w in [w for w in Workspace.opened if w not in before]:
+            w.remove()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., so that none clashes with an operator's own; ``toDF`` names them back."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
