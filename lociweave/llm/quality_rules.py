@@ -5,8 +5,8 @@ built-in expression on the row's own text, so the job is one map over the scan:
 shuffle, no Python, and any key may hold any share of the rows.
 
 Defined results: a null or empty text has no words and fails the base rule. Repeated
-rows are judged alike. Columns of the input that clash with the statistics' names are
-replaced; all others are kept. An empty table gives an empty table.
+rows are judged alike. ``judge`` replaces columns of the input that clash with the
+statistics' names, ``keep`` changes no column. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -119,13 +119,14 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept.
+    """The rows of ``docs`` that are kept, with all their columns as they are, whatever their names.
 
     Spark would push the filter below the statistics and write out each of them wherever the verdict
     names it; a row number in the same projection holds the filter above, so each is computed once.
     """
-    judged = judge(docs).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    judged = judge(rows).withColumn("_id", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_id") >= 0)).select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

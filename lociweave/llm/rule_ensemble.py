@@ -11,7 +11,8 @@ Labels, language, source and id are never inputs of a score.
 Defined results: null and empty texts have zero statistics and a score as others do. Rows
 are scored one by one, repeated ones too. A label that is null or whose document is missing
 is not used; with labels of one kind only, or none, the score is their share (0.5 without
-any). Other columns are ignored. An empty table gives an empty table.
+any). A null doc_id is never held out and never taught. Columns beside doc_id and text are ignored. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -159,13 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ensembl
 
 
 def score(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
-    """``docs`` with ``score``."""
+    """``docs`` with ``score``; all other columns as they are, whatever their names."""
     names = [c for c in docs.columns if c != "score"]
-    return features(docs.select(*names)).withColumn("score", ensemble.score()).select(*names, "score")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
+    return features(rows).withColumn("score", ensemble.score()).select("_row.*", "score")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
