@@ -13,8 +13,8 @@ text, each block a pass over the documents; one block is what a usual benchmark
 
 Defined results: null or empty texts have no words and no hits. Rows are judged one by one,
 repeated ones too. Null item texts have no windows. Items without an id hit as others do; among
-``items`` they are one null, last, which counts and has no place in the list's digest. Other columns are kept by ``clean`` and
-ignored by ``matches``. An empty table on either side gives no matches.
+``items`` they are one null, last, which counts and has no place in the list's digest. ``clean`` keeps all columns as they are;
+``matches`` returns those of ``keep``, which its own names may not clash with. An empty table on either side gives no matches.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALPHANUMERIC, ragged_arange, word_hashes
-from .work import Workspace, text_slices
+from .words import ALPHANUMERIC, mix, ragged_arange, word_hashes
+from .work import Workspace, numbered, text_slices
 
 WINDOW = 10
 #: Benchmark text that is broadcast at once.
@@ -73,24 +73,24 @@ def suffix_array(words: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.nd
     return order, rank
 
 
-def search(order: np.ndarray, words: np.ndarray, ends: np.ndarray, queries: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each query (a row of words) the range [low, high) of suffixes that begin with its first ``lengths`` words."""
+def search(order: np.ndarray, words: np.ndarray, ends: np.ndarray, asked: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query, ``lengths`` words of ``asked`` from ``starts``, the range [low, high) of suffixes that begin with it."""
 
     def first(after: bool) -> np.ndarray:
-        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), len(order), np.int64)
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
         while (open_ := low < high).any():
             middle = (low + high) // 2
             at = order[np.minimum(middle, len(order) - 1)]
-            below, equal = np.zeros(len(queries), bool), open_.copy()  # the suffix is below the query; equal so far
-            for j in range(queries.shape[1]):
+            below, equal = np.zeros(len(starts), bool), open_.copy()  # the suffix is below the query; equal so far
+            for j in range(int(lengths.max(initial=0))):
                 if not (live := equal & (lengths > j)).any():
                     break
                 here = at + j
                 has = here < ends[at]
                 word = words[np.minimum(here, len(words) - 1)]
-                less = live & (~has | (word < queries[:, j]))
-                below |= less
-                equal &= ~live | (has & (word == queries[:, j]))
+                wanted = asked[np.minimum(starts + j, len(asked) - 1)]
+                below |= live & (~has | (word < wanted))
+                equal &= ~live | (has & (word == wanted))
             go_right = below | (equal & after)
             low = np.where(open_ & go_right, middle + 1, low)
             high = np.where(open_ & ~go_right, middle, high)
@@ -100,30 +100,37 @@ def search(order: np.ndarray, words: np.ndarray, ends: np.ndarray, queries: np.n
 
 
 class Benchmark:
-    """Words of a block of items, and their distinct windows with the items that have them."""
+    """Words of a block of items one after another; its distinct windows as places in them, with the items that have them; its suffixes.
+
+    All of it grows in proportion to the items' words.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         raw = [t.encode() for _, t in items]
         data = np.frombuffer(b"".join(raw), np.uint8)
-        words, first = word_hashes(data, np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]), ALPHANUMERIC)
-        self.depth = max(window, int(np.diff(first).max(initial=0)))
-        found: dict[bytes, set[str | None]] = {}
-        suffixes: set[bytes] = set()
-        for (item, _), a, b in zip(items, first[:-1], first[1:], strict=True):
-            for s in range(a, max(a + 1, b - window + 1) if b > a else a):
-                found.setdefault(words[s : min(s + window, b)].tobytes(), set()).add(item)
-            suffixes.update(words[s:b].tobytes() for s in range(a, b))
-        self.items = list(found.values())
-        self.windows, self.lengths = _rows(list(found))
-        self.suffixes, self.suffix_lengths = _rows(list(suffixes))
-
-
-def _rows(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(k) // 8 for k in keys], np.int64)
-    out = np.zeros((len(keys), max(lengths, default=0)), np.uint64)
-    for i, k in enumerate(keys):
-        out[i, : lengths[i]] = np.frombuffer(k, np.uint64)
-    return out, lengths
+        self.words, first = word_hashes(data, np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]), ALPHANUMERIC)
+        counts = np.diff(first)
+        self.depth = max(window, int(counts.max(initial=0)))
+        self.ids = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))  # the missing one last
+        number = {i: k for k, i in enumerate(self.ids)}
+        owner = np.array([number[i] for i, _ in items], np.int64)
+        n_windows = np.where(counts >= window, counts - window + 1, np.minimum(counts, 1))
+        starts = np.repeat(first[:-1], n_windows) + ragged_arange(n_windows)
+        lengths = np.repeat(np.minimum(counts, window), n_windows)
+        key = lengths.astype(np.uint64)
+        for j in range(window):
+            inside = lengths > j
+            key[inside] = mix(key[inside] * np.uint64(3) + self.words[starts[inside] + j])
+        _, one, group = np.unique(key, return_index=True, return_inverse=True)
+        self.starts, self.lengths = starts[one], lengths[one]
+        pairs = np.unique(np.stack([group, np.repeat(owner, n_windows)]), axis=1) if len(group) else np.zeros((2, 0), np.int64)
+        self.items, self.items_from = pairs[1], np.searchsorted(pairs[0], np.arange(len(one) + 1))
+        # a suffix begins at each word of the distinct item texts
+        texts = {self.words[p:q].tobytes(): (p, q) for p, q in zip(first[:-1], first[1:], strict=True)}
+        spans = np.array(list(texts.values()), np.int64).reshape(-1, 2)
+        sizes = spans[:, 1] - spans[:, 0]
+        self.suffixes = np.repeat(spans[:, 0], sizes) + ragged_arange(sizes)
+        self.suffix_lengths = np.repeat(spans[:, 1], sizes) - self.suffixes
 
 
 def longest_matches(order: np.ndarray, words: np.ndarray, ends: np.ndarray, bench: Benchmark) -> np.ndarray:
@@ -135,10 +142,10 @@ def longest_matches(order: np.ndarray, words: np.ndarray, ends: np.ndarray, benc
     n, rows = len(order), np.arange(len(bench.suffixes))
     low, high = np.zeros(len(rows), np.int64), np.full(len(rows), n, np.int64)
     change = np.zeros(n + 1, np.int64)
-    for j in range(bench.suffixes.shape[1]):
+    for j in range(bench.depth):
         keep = bench.suffix_lengths[rows] > j
         rows, low, high = rows[keep], low[keep], high[keep]
-        low, high = _narrow(order, words, ends, bench.suffixes[rows, j], j, low, high)
+        low, high = _narrow(order, words, ends, bench.words[bench.suffixes[rows] + j], j, low, high)
         keep = high > low
         rows, low, high = rows[keep], low[keep], high[keep]
         if not len(rows):
@@ -175,13 +182,13 @@ def _find(bench: Benchmark, rows: int, data: np.ndarray, offsets: np.ndarray) ->
     hits: list[list[dict]] = [[] for _ in range(rows)]
     items: list[list[str | None]] = [[] for _ in range(rows)]
     longest = np.zeros(rows, np.int64)
-    if not len(words) or not len(bench.windows):
+    if not len(words) or not len(bench.starts):
         return counts, hits, items, longest
     ends = np.repeat(first[1:], counts)
     owner = np.repeat(np.arange(rows), counts)
     order, _ = suffix_array(words, ends, bench.depth)
     longest[counts > 0] = np.maximum.reduceat(longest_matches(order, words, ends, bench), first[:-1][counts > 0])
-    low, high = search(order, words, ends, bench.windows, bench.lengths)
+    low, high = search(order, words, ends, bench.words, bench.starts, bench.lengths)
     found = np.flatnonzero(high > low)
     if not len(found):
         return counts, hits, items, longest
@@ -200,11 +207,11 @@ def _find(bench: Benchmark, rows: int, data: np.ndarray, offsets: np.ndarray) ->
     for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(stops).tolist(), strict=True):
         doc = int(owner[a])
         hits[doc].append({"start": a - int(first[doc]), "length": b - a + 1})
-    sets: dict[int, set[str | None]] = {}
-    for doc, w in np.unique(np.stack([owner[at], which]), axis=1).T.tolist():
-        sets.setdefault(doc, set()).update(bench.items[w])
-    for doc, found_items in sets.items():
-        items[doc] = _ids(found_items)
+    pairs = np.unique(np.stack([owner[at], which]), axis=1)  # documents and windows
+    n_items = np.diff(bench.items_from)[pairs[1]]
+    own = bench.items[np.repeat(bench.items_from[pairs[1]], n_items) + ragged_arange(n_items)]
+    for doc, item in np.unique(np.stack([np.repeat(pairs[0], n_items), own]), axis=1).T.tolist():
+        items[doc].append(bench.ids[item])  # in the order of the ids
     return counts, hits, items, longest
 
 
@@ -224,11 +231,11 @@ def _merge(runs: list[dict]) -> list[dict]:
     return out
 
 
-def _run(sent, window: int, keep: list[str]):
+def _run(sent, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(sent.value, window)
+        bench: Benchmark = sent.value  # kept by the worker
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text", SHARD_BYTES):
+            for rows, data, offsets in text_slices(batch, text, SHARD_BYTES):
                 counts, hits, items, longest = _find(bench, rows.num_rows, data, offsets)
                 if "hits" in rows.schema.names:  # an earlier block's
                     hits = [_merge((a or []) + b) for a, b in zip(rows.column("hits").to_pylist(), hits, strict=True)]
@@ -249,23 +256,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: t
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     work = Workspace(spark, "decontaminate") if blocks > 1 else None
-    out = docs.select(*keep, *([F.col(text).alias("text")] if text not in keep or text != "text" else []))
+    out = docs.select(*keep, *([text] if text not in keep else []))
     for k in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])  # of BLOCK_BYTES or so, whatever the benchmark's size
-        columns = [*keep] if k == blocks - 1 or "text" in keep else [*keep, "text"]
+        sent = spark.sparkContext.broadcast(Benchmark([tuple(r) for r in block.collect()], window))  # of BLOCK_BYTES or so, whatever the benchmark's size
+        columns = [*keep] if k == blocks - 1 or text in keep else [*keep, text]
         kept = out.select(*columns)
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-        out = out.mapInArrow(_run(sent, window, columns), f"{ddl}, {MATCHES}")
+        out = out.mapInArrow(_run(sent, columns, text), f"{ddl}, {MATCHES}")
         if k < blocks - 1:
             out = work.table(out, f"block-{k}")
+            work.drop(f"block-{k - 1}")
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that have a hit."""
-    names = [c for c in docs.columns if c not in {"n_words", "hits", "items", "longest"}]
-    return matches(docs.select(*names), benchmark, window, tuple(names)).where(F.size("hits") == 0).select(*names)
+    """``docs`` without the documents that have a hit, with all their columns as they are, whatever their names."""
+    rows = numbered(docs)
+    names = rows.columns
+    return matches(rows, benchmark, window, tuple(names), names[docs.columns.index("text")]).where(F.size("hits") == 0).select(*names).toDF(*docs.columns)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
