@@ -12,7 +12,7 @@ scores are calibrated by Platt's method, and the threshold is the highest that s
 ``RECALL`` of the secrets. Weights go to the tasks; nothing is shuffled.
 
 Defined results: null or empty texts have no spans. Rows are scanned one by one, repeated
-ones too. ``redact`` keeps all columns; ``scan`` ignores others. Empty tables stay empty.
+ones too. ``redact`` keeps all columns, whatever their names; ``scan`` returns those of ``keep``. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import text_slices
+from .work import numbered, text_slices
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -44,6 +44,8 @@ _ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[A-Za-z0-9+
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
 FINDINGS, EPOCHS, RECALL = 6000, 6, 0.97
+#: Characters of a secret that a window has to show to be taught as one.
+SHOWN = 12
 _D, _K, _FILTERS = 10, 5, 24
 
 
@@ -59,22 +61,49 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters with a digit or mixed case that no span of ``taken`` touches."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of token characters with a digit or mixed case."""
     out = []
     for m in _CANDIDATE.finditer(text):
         run = m[0]
         if not any(c.isdigit() for c in run) and (run[1:].islower() or run.isupper() or not re.search("[a-z][A-Z]", run)):
             continue
-        if all(m.end() <= a or m.start() >= b for _, a, b in taken):
-            out.append(m.span())
+        out.append(m.span())
     return out
 
 
+def merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The spans' union as disjoint intervals in order; intervals that touch are one."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in spans:  # by start
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def uncovered(found: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The candidates that no interval of the union of ``base`` holds whole; one pass over both, as both are sorted."""
+    union, at, out = merged(base), 0, []
+    for a, b in found:
+        while at < len(union) and union[at][1] <= a:
+            at += 1
+        if at == len(union) or union[at][0] > a or union[at][1] < b:
+            out.append((a, b))
+    return out
+
+
+def window_starts(start: int, end: int) -> list[int]:
+    """Where a candidate's windows begin: half a window apart, the last one ends with the candidate."""
+    last = end - INSIDE
+    return [start] if last <= start else [*range(start, last, INSIDE // 2), last]
+
+
 def windows(text: str, start: int, end: int) -> np.ndarray:
     """Characters (7 bits, others 127) and whether they are inside, for each window of a candidate: (n, WIDTH, 2)."""
     out = []
-    for at in range(start, end, INSIDE):
+    for at in window_starts(start, end):
         stop = min(end, at + INSIDE)
         left = text[max(0, at - BEFORE) : at].rjust(BEFORE, "\0")
         body = text[at:stop].ljust(INSIDE, "\0")
@@ -136,8 +165,8 @@ class Network:
                     v += 0.001 * (grad * grad - v)
                     self.w[name] -= 0.005 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt's scale and shift by Newton steps, then the highest threshold that keeps ``recall``."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, finding: np.ndarray, recall: float = RECALL) -> None:
+        """Platt's scale and shift by Newton steps, then the highest threshold that keeps ``recall`` of the secrets, each by its best window."""
         z, w = self.logits(x), np.array([1.0, 0.0])
         design = np.stack([z, np.ones_like(z)], axis=1)
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -146,8 +175,11 @@ class Network:
             hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
             w = w - np.linalg.solve(hessian, design.T @ (p - target))
         self.scale, self.shift = w
-        found = np.sort(self.scores(x)[y > 0])
-        self.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+        best: dict[int, float] = {}
+        for f, score in zip(finding[y > 0].tolist(), self.scores(x[y > 0]).tolist(), strict=True):
+            best[f] = max(best.get(f, 0.0), score)
+        found = np.sort(list(best.values()))
+        self.threshold = float(found[int((1 - recall) * len(found))])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 256])[-1] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0)
@@ -156,8 +188,11 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """``n`` windows around secrets (1) and look-alikes (0), half of each."""
+def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ``n`` secrets and look-alikes, half of each: windows, whether they show a secret, and each one's finding.
+
+    Some secrets hang on a path or name; windows of such a candidate with less than ``SHOWN`` characters of the secret are not used.
+    """
     r = random.Random(seed)
     pick = lambda chars, a, b: "".join(r.choices(chars, k=r.randint(a, b)))
     low, up, digit = string.ascii_lowercase, string.ascii_uppercase, string.digits
@@ -177,47 +212,52 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np
         lambda: word() + word() + pick(digit, 2, 4) + "/" + word() + word() + "-" + word() + pick(digit, 1, 2), lambda: "".join(word().upper() for _ in range(6)) + pick(digit, 1, 2),
     ]
     leads = ["", "", "", "key: ", "Bearer ", "auth=", "pwd ", "id ", "see ", "at ", "(", '"', "https://x.example/", "ref ", "no. ", "is "]
-    rows, marks = [], []
-    while len(rows) < n:
-        secret = len(rows) % 2
+    glued = lambda: "/".join(word() for _ in range(r.randint(1, 4))) + r.choice("/=_-") + "".join(r.choice([word(), pick(up + digit, 4, 9)]) + "/" for _ in range(r.randint(0, 3)))
+    rows, marks, findings = [], [], []
+    for k in range(n):
+        secret = k % 2
         body = r.choice(secrets if secret else others)()
         text = " ".join(word() for _ in range(r.randint(0, 9))) + r.choice([" ", ". ", "\n", ", "]) + r.choice(leads)
         start = len(text)
-        text += body + r.choice([" ", ". ", "\n", '" ', ") ", ", "]) + " ".join(word() for _ in range(r.randint(0, 4)))
-        for w in windows(text, start, start + len(body))[:1]:
-            rows.append(w)
-            marks.append(secret)
-    return np.array(rows), np.array(marks, float)
+        lead = glued() if secret and r.random() < 0.15 else ""
+        text += lead + body + r.choice([" ", ". ", "\n", '" ', ") ", ", "]) + " ".join(word() for _ in range(r.randint(0, 4)))
+        begin, end = start + len(lead), start + len(lead) + len(body)
+        for at, w in zip(window_starts(start, end), windows(text, start, end), strict=True):
+            if min(end, at + INSIDE) - max(begin, at) >= min(SHOWN, len(body)):
+                rows.append(w)
+                marks.append(secret)
+                findings.append(k)
+    return np.array(rows), np.array(marks, float), np.array(findings)
 
 
 @lru_cache(maxsize=1)
 def trained() -> Network:
     """The network: the same for the same code, trained on the driver in seconds. A fifth of the findings calibrates it."""
-    x, y = labelled_findings()
-    held = np.arange(len(x)) % 10 >= 8
+    x, y, finding = labelled_findings()
+    held = finding % 10 >= 8
     network = Network()
     network.train(x[~held], y[~held])
-    network.calibrate(x[held], y[held])
+    network.calibrate(x[held], y[held], finding[held])
     return network
 
 
 _SPANS = "spans array<struct<kind:string,start:long,end:long>>"
 
 
-def _scan(sent, keep: list[str]):
+def _scan(sent, keep: list[str], text_column: str):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network: Network = sent.value
         for batch in batches:
-            for rows, _, _ in text_slices(batch):
-                texts = rows.column("text")
+            for rows, _, _ in text_slices(batch, text_column):
+                texts = rows.column(text_column)
                 found: list[list[tuple[str, int, int]]] = [[] for _ in range(rows.num_rows)]
                 held, where = [], []
                 for i in np.flatnonzero(pc.match_substring_regex(texts, _ANY).fill_null(False).to_numpy(zero_copy_only=False)).tolist():
                     text = texts[i].as_py()
                     found[i] = base_spans(text)
-                    for a, b in candidates(text, found[i]):
+                    for a, b in uncovered(candidates(text), found[i]):
                         w = windows(text, a, b)
                         held.append(w)
                         where += [(i, a, b)] * len(w)
@@ -237,28 +277,29 @@ def _scan(sent, keep: list[str]):
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``spans``: kind, start, end (code points, end exclusive), by start and kind."""
     sent = docs.sparkSession.sparkContext.broadcast(trained())  # some ten thousand numbers, whatever the data
-    kept = docs.select(*keep)
-    source = docs.select(*[c for c in keep if c != "text"], F.col(text).alias("text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return source.mapInArrow(_scan(sent, list(keep)), f"{ddl}, {_SPANS}")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    return docs.select(*keep, *([text] if text not in keep else [])).mapInArrow(_scan(sent, list(keep), text), f"{ddl}, {_SPANS}")
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``, spans that touch or overlap as one; ``n_chars`` follows where there is one."""
-    names = [c for c in docs.columns if c != "spans"]
-    found = scan(docs.select(*names), tuple(names))
+    """``docs`` with every span replaced by ``mask``, spans that touch or overlap as one; ``n_chars`` follows where there is one. All other columns stay as they are."""
+    rows = numbered(docs)
+    names, at = rows.columns, docs.columns.index("text")
+    text = F.col(names[at])
+    found = scan(rows, tuple(names), names[at])
     # left to right: what lies between the spans, and a mask where a span begins past the last end
     step = lambda a, s: F.struct(
-        F.when(s["start"] > a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(mask)))
+        F.when(s["start"] > a["at"], F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(mask)))
         .otherwise(F.when((s["start"] == 0) & (a["out"] == ""), F.lit(mask)).otherwise(a["out"])).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at"),
     )
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"].cast("int") + 1)))
-    out = found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(done))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"].cast("int") + 1)))
+    out = found.withColumn(names[at], F.when(F.size("spans") == 0, text).otherwise(done))
+    if "n_chars" in docs.columns:
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(F.size("spans") == 0, F.col(n)).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names).toDF(*docs.columns)
 
 
 def _joined(spans: Column) -> Column:
