@@ -20,8 +20,9 @@ Each link is confirmed on full sets of 64-bit hashes; no group is capped or samp
 The tables between the steps lie in the shared folder as Parquet. Nothing is collected.
 
 Defined results: null or empty texts have an empty set, link with nothing and are kept.
-Rows with the same doc_id and text count as one document; a null doc_id is in no component
-(null ids) and kept. Other columns are ignored. An empty table gives an empty table.
+Rows of one set of shingles are one class, named by its smallest doc_id; where rows with that
+id name several classes, these are one, and the row with the smallest hash of its text is
+compared for it. ``n_shingles`` and the class are each row's own. A null doc_id is in no component (null ids) and kept. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Bits of a register: leading zeros of the smallest hash, then the bits that follow.
 ZERO_BITS, MANTISSA_BITS = 4, 4
-#: Members of a group that meet in one task in step 4, as one side of a block.
-BLOCK_MEMBERS = 4096
+#: Members of a group, and bytes of their sets, that meet in one task in step 4, as one side of a block.
+BLOCK_MEMBERS, BLOCK_SETS = 1024, 32_000_000
 #: Standard errors of an estimate that a pair may lie under the threshold and still be confirmed on sets.
 SLACK = 6.0
 
@@ -160,12 +161,13 @@ def _signatures(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
+                        rows.column(2),
                         pa.array(counts.astype(np.int64)),
                         pa.array(mix(sums[0]).view(np.int64), mask=np.asarray(empty)),
                         pa.array(mix(sums[1]).view(np.int64), mask=np.asarray(empty)),
                         pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * BANDS, keys.ravel()),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
@@ -290,30 +292,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     spark = docs.sparkSession
     work = Workspace(spark, "hyperminhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     signed = work.table(
-        texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures"
+        hashed.mapInArrow(_signatures(words), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures"
     )
     same = ["set_a", "set_b", "n_shingles"]
     # 1. classes of equal sets
-    classes = work.table(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("members")).where("doc IS NOT NULL"), "classes")
-    heads = signed.where("n_shingles > 0").join(classes.select(*same, "doc"), same).where("doc_id = doc").dropDuplicates(["doc"])
-    bands = heads.select("doc", F.explode("bands").alias("key"))
+    some = signed.where("n_shingles > 0")
+    classes = work.table(some.groupBy(*same).agg(F.min("doc_id").alias("doc")).where("doc IS NOT NULL"), "classes")
+    heads = some.join(classes, same).where("doc_id = doc").groupBy("doc").agg(F.min(F.struct("text_hash", "n_shingles", "bands")).alias("head"))
+    bands = heads.select("doc", "head.text_hash", F.col("head.n_shingles").alias("size"), F.explode("head.bands").alias("key"))
     # 2. stars
-    groups = work.table(bands.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n")).where("n > 1"), "groups")
-    members = work.table(bands.join(groups, "key"), "members")
-    wanted = members.select("doc").distinct().withColumnRenamed("doc", "doc_id")
-    sets = work.table(
-        texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, regs binary, hashes binary"), "sets"
-    )
+    groups = work.table(bands.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1"), "groups")
+    members = work.table(bands.drop("size").join(groups, "key"), "members")
+    wanted = members.select(F.col("doc").alias("doc_id"), "text_hash").distinct()
+    chosen = hashed.join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    sets = work.table(chosen.mapInArrow(_sets(words), "doc_id long, regs binary, hashes binary"), "sets")
     pairs = members.where("doc <> center").select("doc", "center").distinct()
     stars = work.table(_confirmed(pairs, sets, percent), "stars")
     # 3. groups that lie in more than one component
     first = components(work, stars, "first")
     of = members.where("n > 2").join(first, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    of = work.table(of.select("key", "n", "doc", "component"), "parts")
+    of = work.table(of.select("key", "n", "total", "doc", "component"), "parts")
     mixed = work.table(of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "mixed")
     # 4. blocks of those groups
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(8 * F.col("total") / BLOCK_SETS)).cast("int")
     cut = of.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
     places = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.array(F.struct(F.least("part", k).alias("l"), F.greatest("part", k).alias("r"))))))
     cut = cut.withColumn("place", F.explode(places)).select("key", F.col("place.l").alias("left"), F.col("place.r").alias("right"), "doc", "component", "part")
@@ -321,6 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     more = work.table(full.mapInArrow(_confirm_blocks(percent), "u long, v long"), "more")
     # 5. all links
     final = components(work, stars.union(more), "final")
+    work.drop("groups", "members", "sets", "stars", "parts", "mixed", "more")
     ids = classes.join(final, "doc", "left").select(*same, F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc_id", *same).join(ids, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -486,3 +486,150 @@ def test_pipeline(spark, tmp_path):
     assert kept["decontamination"] == {*range(12), 15} - {2}
     assert docs.where(F.col("text").contains("abcdef123456")).count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["secret_scan"]
+
+
+CLASHES = "n_words kept _words _row hits items longest spans score at text doc_id n_chars".split()
+
+
+def clashing(spark, texts):
+    """Documents whose other columns have the names that operators use inside."""
+    rows = [tuple({"text": t, "doc_id": i, "n_chars": len(t or "")}.get(c, 999 + i) for c in CLASHES) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in CLASHES))
+
+
+def test_filtering_operators_keep_every_column_as_it_is(spark):
+    good = f"The {prose(1, 30)} and of the {prose(2, 30)} is in the end."
+    docs = clashing(spark, [good, None, "password = 'abcdef12345' " + good])
+    bench = spark.createDataFrame([("a", "nothing of the kind is in there")], "item_id string, text string")
+    for out in (quality_rules.keep(docs), decontaminate.clean(docs, bench), secret_scan.redact(docs)):
+        assert out.columns == CLASHES
+        for r in out.collect():
+            i = r["doc_id"]
+            assert all(r[c] == 999 + i for c in CLASHES if c not in ("text", "doc_id", "n_chars"))
+            assert r["n_chars"] == len(r["text"] or "")
+        assert out.limit(0).count() == 0
+    scored = rule_ensemble.score(docs, rule_ensemble.fit(np.zeros((0, 12)), np.zeros(0)))
+    assert [r["n_words"] for r in scored.orderBy("doc_id").collect()] == [999, 1000, 1001]
+
+
+def test_secrets_touching_base_spans_and_long_candidates(spark):
+    inner = "0123456789abcdef" * 2
+    long = "/".join(["services", "alerting", "T024BE7LD", "B0X4K2Q9Z"]) + "/a8Fk20xLq93mZp10TyRw77eB"
+    texts = [f"key sk-live-{inner}XYZTail9QwErTy77 end", f"see {long} ok", " ".join(f"token=abcdef{i:08d} k{i:015d}Ab" for i in range(4000))]
+    began = __import__("time").time()
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame(spark, texts)).collect()}
+    assert __import__("time").time() - began < 60
+    assert clean[0] == "key [SECRET] end" and "a8Fk20xLq93mZp10TyRw77eB" not in clean[1]
+    assert secret_scan.window_starts(0, 48) == [0] and secret_scan.window_starts(0, 100) == [0, 24, 48, 52]
+    assert secret_scan.uncovered([(0, 5), (6, 9), (20, 30)], [("hex", 0, 3), ("hex", 3, 5), ("hex", 7, 9), ("hex", 19, 31)]) == [(6, 9)]
+
+
+def test_secret_network_on_findings_it_has_not_seen():
+    network = secret_scan.trained()
+    x, y, finding = secret_scan.labelled_findings(1500, seed=5)
+    scores, best = network.scores(x), {}
+    for f, mark, s in zip(finding, y, scores):
+        best[f] = (mark, max(s, best.get(f, (0, 0))[1]))
+    found = np.array([s >= network.threshold for m, s in best.values() if m])
+    wrong = np.array([s >= network.threshold for m, s in best.values() if not m])
+    assert found.mean() > 0.94 and wrong.mean() < 0.06
+
+
+def test_base_spans_by_brute_force(spark):
+    r, parts = random.Random(8), ["password", "Api_key", "apikey", "TOKEN", '"', "'", " ", "=", ":", "AKIA", "ABCDEFGH12345678", "0a1b2c3d4e5f", "deadbeef" * 3, "é", "\n", "x-y/z+=", "secret"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(300)]
+
+    def one(pattern, text, least, group=0, fold=False):
+        """Matches from the left, none overlapping, tried at each place."""
+        import re
+
+        rule, at, out = re.compile(pattern, re.ASCII | (re.IGNORECASE if fold else 0)), 0, []
+        while at < len(text):
+            if m := rule.match(text, at):
+                if len(m[group]) >= least:
+                    out.append((at, m.end()))
+                at = m.end()
+            else:
+                at += 1
+        return out
+
+    got = {x["doc_id"]: x for x in secret_scan.query(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        kinds = {
+            "assign": one(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, 6, 2, True),
+            "access": one("AKIA[A-Z0-9]+", t, 20), "hex": one("[0-9a-f]+", t, 24),
+        }
+        want = sorted((a, k, b) for k, (name, v) in enumerate(kinds.items()) for a, b in v)
+        joined = ",".join(f"{list(kinds)[k]}:{a}:{b}" for a, k, b in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and [got[i][f"n_{k}"] for k in kinds] == [len(v) for v in kinds.values()]
+
+
+def test_long_benchmark_items_take_memory_in_proportion():
+    import tracemalloc
+
+    item = prose(1, 40_000)
+    tracemalloc.start()
+    bench = decontaminate.Benchmark([("a", item), ("b", item), (None, "")], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(bench.suffixes) == 40_000 and bench.depth == 40_000
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 200])
+def test_hits_by_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    r = random.Random(2)
+    few = lambda n: " ".join(r.choice("a b c".split()) for _ in range(n))
+    bench = [("i", prose(5, 14)), ("j", few(11)), ("k", few(4)), ("l", few(10)), ("i", few(12)), ("m", None)]
+    texts = [None, "", few(30), few(200), few(200), prose(5, 14) + " " + few(9), few(3), prose(6, 30)]
+    windows = {}
+    for item, t in bench:
+        w = (t or "").split()
+        for s in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[s : s + 10]), set()).add(item)
+    got = {x["doc_id"]: x for x in decontaminate.matches(frame(spark, texts), spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, hit, items = (t or "").split(), set(), set()
+        for s in range(len(w)):
+            for g, own in windows.items():
+                if tuple(w[s : s + len(g)]) == g:
+                    hit |= set(range(s, s + len(g)))
+                    items |= own
+        assert {p for h in got[i]["hits"] for p in range(h["start"], h["start"] + h["length"])} == hit
+        assert got[i]["items"] == sorted(items) and got[i]["n_words"] == len(w)
+
+
+def test_rule_ensemble_scores_as_numpy_and_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    ensemble = rule_ensemble.train(docs, labels)
+    rows = rule_ensemble.features(docs.select("doc_id", "text")).select("doc_id", *rule_ensemble.NAMES, ensemble.score().alias("score")).toPandas()
+    m = rule_ensemble._matrix(rows[list(rule_ensemble.NAMES)].to_numpy(float), list(ensemble.rules)) @ np.array(ensemble.weights) + ensemble.intercept
+    assert np.allclose(1 / (1 + np.exp(-m)), rows["score"])
+    assert all(any(c.feature < len(rule_ensemble.NAMES) for c in rule) for rule in ensemble.rules)
+    got = rule_ensemble.query(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert len(got) > 20 and (got["predicted"] == got["quality"]).mean() > 0.9
+    none = rule_ensemble.query(spark.createDataFrame([(None, "x")], "doc_id long, text string"), labels.limit(0)).first()
+    assert none["held_out"] is False and none["score"] == 0.5
+
+
+def test_work_tables_are_removed(spark):
+    import os
+
+    from lociweave.llm import work
+
+    with work.scratch():
+        w = work.Workspace(spark, "gone")
+        assert w.table(spark.range(3), "t").count() == 3 and os.path.isdir(w.path)
+    assert not os.path.exists(w.path)
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(hyperminhash, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(hyperminhash, "BLOCK_SETS", 2000)
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = [" ".join([*a.split()[:-1], f"w{i}"]) for i in range(9)]
+    rows = [(1, a), (1, a), (2, a + " more"), (3, b), (4, b), (4, c), (None, a), (None, None), (5, None), *[(10 + i, t) for i, t in enumerate(near)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (df, df.orderBy(F.desc("doc_id")).repartition(7)):
+        got = sorted(((r["doc_id"], r["component_id"]) for r in hyperminhash.near_duplicates(order).collect()), key=str)
+        assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (4, 4), (None, None), (None, None), (5, 5), *[(10 + i, 1) for i in range(9)]], key=str)
