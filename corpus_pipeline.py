@@ -3,7 +3,9 @@
 ``STAGES`` are (name, function); each function takes (spark, docs, sf_dir) and works on all
 that the stage before it kept. ``run`` writes each stage's rows as Parquet in the shared
 folder and reads them again as the next one's documents, so a lost executor costs the
-running stage only. All stages but the last return the columns of ``documents``.
+running stage only. All stages but the last return the columns of ``documents``, in any number
+and under any names beside doc_id and text; null texts and ids are as the operators define, and
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.llm import decontaminate, hyperminhash, packing, quality_rules, secret_scan
-from lociweave.llm.work import Workspace, read
+from lociweave.llm.work import Workspace, read, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     work = Workspace(spark, "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with scratch():  # what a stage works with goes when its rows are written
+            docs = work.table(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
