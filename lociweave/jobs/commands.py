@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clustering, enrichment, kernel, preprocess, programs, ranking, spatial
+from ..operators import clustering, enrichment, kernel, krylov, preprocess, programs, ranking, spatial
 from ..sources.bundle import Bundle
+from ..sources.lineage import cut
+
+TABLES = ("programs", "gene_programs", "scores", "spot_modes")
 
 
 @dataclass(frozen=True)
@@ -20,38 +24,125 @@ class Programs:
     scores: DataFrame
     spot_modes: DataFrame
 
-    def write(self, path: str, experiment: str) -> None:
-        """Append the result tables under an experiment's name."""
-        for name in ("programs", "gene_programs", "scores", "spot_modes"):
-            getattr(self, name).withColumn("experiment_id", F.lit(experiment)).write.mode("append").partitionBy("experiment_id").parquet(f"{path}/{name}")
+    def write(self, path: str, experiment: str, settings: dict | None = None, spots: DataFrame | None = None) -> None:
+        """Append the result tables under an experiment's name, with its settings. ``spots``: all spots, for a null mode where one is out of scope."""
+        modes = programs.full_modes(self.spot_modes, spots) if spots is not None else self.spot_modes
+        for name, df in zip(TABLES, (self.programs, self.gene_programs, self.scores, modes), strict=True):
+            df.withColumn("experiment_id", F.lit(experiment)).write.mode("append").partitionBy("experiment_id").parquet(f"{path}/{name}")
+        row = [(experiment, json.dumps(settings or {}, sort_keys=True, default=str))]
+        self.programs.sparkSession.createDataFrame(row, "experiment_id string, settings string").write.mode("append").parquet(f"{path}/experiments")
+
+
+def read_programs(spark: SparkSession, path: str, experiment: str, first: int | None = None, scope: str | None = None) -> Programs:
+    """The stored tables of an experiment: its partition only, and of its modes the ``first`` ones."""
+
+    def table(name: str) -> DataFrame:
+        df = spark.read.parquet(f"{path}/{name}").where(F.col("experiment_id") == experiment).drop("experiment_id")
+        if scope is not None and "scope" in df.columns:
+            df = df.where(F.col("scope") == scope)
+        return df.where(F.col("mode") < first) if first is not None and "mode" in df.columns else df
+
+    return Programs(*map(table, TABLES))
+
+
+def read_settings(spark: SparkSession, path: str, experiment: str) -> dict:
+    """The settings that an experiment was stored with."""
+    row = spark.read.parquet(f"{path}/experiments").where(F.col("experiment_id") == experiment).first()
+    if row is None:
+        raise ValueError(f"no experiment {experiment!r}")
+    return json.loads(row["settings"])
+
+
+def mode_slice(text: str, count: int) -> list[int]:
+    """Modes of ``count`` by a selection such as ``3``, ``1,4`` or ``first:end:step``."""
+    try:
+        if ":" in text:
+            return list(range(count))[slice(*[int(x) if x.strip() else None for x in text.split(":")])]
+        chosen = [int(x) for x in text.split(",")]
+    except ValueError as e:
+        raise ValueError(f"no selection of modes: {text!r}") from e
+    if outside := [m for m in chosen if not -count <= m < count]:
+        raise ValueError(f"there are {count} modes, not {outside}")
+    return [m % count for m in chosen]
 
 
 def scaled(p: spatial.Prepared, alpha: float = 1.0, gene_center: bool = False, scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The scaled Gram of each part, its variances and the scale."""
-    g = spatial.gram(p).persist()  # genes by genes: read by the variances, the scaling and each result table
+    g = cut(spatial.gram(p))  # genes by genes: read by the variances, the scaling and each result table
     variance = g.where("g = h").select("part", "g", F.col("v").alias("variance"))
     scale = spatial.gene_scale(variance, alpha) if scale is None else scale
     return spatial.scaled_gram(g, scale, p.genes if gene_center else None), variance, scale
 
 
-def _finish(p: spatial.Prepared, g: DataFrame, scores: DataFrame, scale: DataFrame, k: int, signed: bool, scope: str, gene_center: bool) -> Programs:
-    modes = programs.leading_modes(g, k, signed, scope).persist()  # genes by modes
-    loadings = programs.gene_loadings(modes, scale, gene_center)
-    found = modes.select("scope", "mode", "eigenvalue", "mode_sign").distinct()
-    genes = modes.join(loadings, ["scope", "g", "mode"]).drop("eigenvalue", "mode_sign")
-    return Programs(found, genes, scores, programs.spot_modes(p, loadings))
-
-
 def _all(scale: DataFrame) -> DataFrame:
     return scale.drop("part")
 
 
-def spatial_programs(bundle: Bundle, radius: float, k: int = 8, center: str = "sample", alpha: float = 1.0, gene_center: bool = False, covariates: list[str] | None = None, layer: str | None = None, scope: str = "all") -> Programs:
-    """Programs of all samples of a bundle taken together."""
+def _solve(
+    bundle: Bundle, radius: float, sides: list[tuple[str, float]], per_sample: bool = False, k: int = 8, alpha: float = 1.0, gene_center: bool = False,
+    covariates: list[str] | None = None, layer: str | None = None, scope: str = "all", weighting: str = "none", coefficients: DataFrame | None = None,
+    normalise_by: str = "sample", solver: str = "auto", tolerance: float = krylov.TOLERANCE,
+) -> Programs:
+    """Modes of the weighted sum over ``sides`` (centring, sign) and parts.
+
+    Scales come from each part's own variances, from all parts' (``normalise_by="pooled"``), or, with two sides, from the
+    first or, ``"right"``, the second. Up to ``programs.DENSE_GENES`` genes the table of genes by genes is made and solved in one
+    task; for more, or with ``solver="free"``, it is never made.
+    """
+    if solver not in ("auto", "dense", "free"):
+        raise ValueError(f"unknown solver {solver!r}")
     found = preprocess.covariates(bundle, covariates, layer) if covariates else None
-    p = spatial.prepare(bundle, radius, center, layer=layer, covariates=found)
-    g, variance, scale = scaled(p, alpha, gene_center)
-    return _finish(p, g.drop("part"), variance.select("part", "g", F.col("variance").alias("score")), _all(scale), k, False, scope, gene_center)
+    prepared = [spatial.prepare(bundle, radius, center, per_sample, layer, found) for center, _ in sides]
+    genes = prepared[0].genes
+    free = solver == "free" or (solver == "auto" and genes.count() > programs.DENSE_GENES)
+    grams = [] if free else [cut(spatial.gram(p)) for p in prepared]
+    variances = [cut(spatial.spatial_variance(p)) for p in prepared] if free else [g.where("g = h").select("part", "g", F.col("v").alias("variance")) for g in grams]
+    spark = bundle.spots.sparkSession
+    weights = spatial.sample_weights(variances[0], bundle.spots, weighting) if per_sample else spark.createDataFrame([("all", 1.0)], "part string, weight double")
+    if coefficients is not None:
+        weights = weights.join(coefficients, "part").select("part", (F.col("weight") * F.col("coefficient")).alias("weight"))
+    weights = cut(weights)
+    scale = spatial.gene_scale(variances[-1 if normalise_by == "right" else 0], alpha)
+    if normalise_by == "pooled":
+        each = coefficients if coefficients is not None else weights.select("part", F.lit(1.0).alias("coefficient"))
+        scale = spatial.gene_scale(spatial.pooled_variance(variances[0], each).withColumn("part", F.lit("all")), alpha)
+    if normalise_by == "pooled" or not per_sample:
+        scale = _all(scale)
+    scale = cut(scale)
+    signed = coefficients is not None or len(sides) > 1
+    of = [weights.withColumn("weight", F.col("weight") * sign) for _, sign in sides]
+    center = genes if gene_center else None
+    if free:
+        terms = [krylov.Term(p, scale, w) for p, w in zip(prepared, of, strict=True)]
+        present = genes if gene_center else scale.select("g").distinct()
+        modes = krylov.leading_modes(terms, cut(present), k, signed, scope, gene_center, tolerance)
+    else:
+        total = None
+        for g, w in zip(grams, of, strict=True):
+            one = spatial.weighted_sum(spatial.scaled_gram(g, scale, center), w)
+            total = one if total is None else total.unionByName(one)
+        modes = programs.leading_modes(total.groupBy("g", "h").agg(F.sum("v").alias("v")), k, signed, scope)
+    modes = cut(modes)  # genes by modes
+    loadings = cut(programs.gene_loadings(modes, scale, center))
+    rows = None
+    for v, w in zip(variances, of, strict=True):
+        one = v.join(w, "part").select("part", "g", (F.col("weight") * F.col("variance")).alias("score"))
+        rows = one if rows is None else rows.unionByName(one)
+    scores = rows.groupBy(*([] if per_sample else ["part"]), "g").agg(F.sum("score").alias("score"))
+    if per_sample:
+        scores = scores.select(F.lit("weighted").alias("part"), "g", "score")
+    if len(sides) > 1 or per_sample:  # beside the sum, what it is made of
+        names = ["left", "right"] if len(sides) > 1 else [None]
+        for name, v in zip(names, variances, strict=True):
+            scores = scores.unionByName(v.select(F.lit(name).alias("part") if name else F.col("part"), "g", F.col("variance").alias("score")))
+    kinds = modes.select("scope", "mode", "eigenvalue", "mode_sign").distinct()
+    table = modes.join(loadings, ["scope", "g", "mode"]).drop("eigenvalue", "mode_sign")
+    return Programs(kinds, table, scores, programs.spot_modes(prepared[0], loadings))
+
+
+def spatial_programs(bundle: Bundle, radius: float, center: str = "sample", **options) -> Programs:
+    """Programs of all samples of a bundle taken together. ``options`` of this and the other commands: see ``_solve``."""
+    return _solve(bundle, radius, [(center, 1.0)], **options)
 
 
 def _labels(bundle: Bundle, labels: list | None) -> list:
@@ -66,38 +157,31 @@ def label_programs(bundle: Bundle, radius: float, labels: list | None = None, **
     return {x: spatial_programs(preprocess.subset_by_labels(bundle, [x]), radius, scope=str(x), **options) for x in _labels(bundle, labels)}
 
 
-def _combined(bundle: Bundle, radius: float, coefficients: DataFrame | None, weighting: str, pooled: bool, k: int, center: str, alpha: float, gene_center: bool, scope: str) -> Programs:
-    """Sum of the samples' Grams: weights times coefficients (one each by default)."""
-    p = spatial.prepare(bundle, radius, center, per_sample=True)
-    g = spatial.gram(p).persist()  # genes by genes: read by the variances, the scaling and each result table
-    variance = g.where("g = h").select("part", "g", F.col("v").alias("variance"))
-    weights = spatial.sample_weights(variance, bundle.spots, weighting)
-    signed = coefficients is not None
-    if signed:
-        weights = weights.join(coefficients, "part").select("part", (F.col("weight") * F.col("coefficient")).alias("weight"))
-    scale = spatial.gene_scale(variance, alpha)
-    if pooled:
-        pool = spatial.pooled_variance(variance, coefficients if signed else weights.select("part", F.lit(1.0).alias("coefficient")))
-        scale = _all(spatial.gene_scale(pool.withColumn("part", F.lit("all")), alpha))
-    total = spatial.weighted_sum(spatial.scaled_gram(g, scale, p.genes if gene_center else None), weights)
-    scores = variance.join(weights, "part").groupBy("g").agg(F.sum(F.col("weight") * F.col("variance")).alias("score")).select(F.lit("weighted").alias("part"), "g", "score")
-    return _finish(p, total, scores, scale, k, signed, scope, gene_center)
-
-
-def shared_programs(bundle: Bundle, radius: float, k: int = 8, center: str = "sample", weighting: str = "trace", pooled: bool = False, alpha: float = 1.0, gene_center: bool = False, scope: str = "all") -> Programs:
+def shared_programs(bundle: Bundle, radius: float, center: str = "sample", weighting: str = "trace", **options) -> Programs:
     """Programs that two or more samples share."""
     if bundle.spots.select("sample_id").distinct().limit(2).count() < 2:
         raise ValueError("more than one sample is needed")
-    return _combined(bundle, radius, None, weighting, pooled, k, center, alpha, gene_center, scope)
+    return _solve(bundle, radius, [(center, 1.0)], per_sample=True, weighting=weighting, **options)
 
 
-def differential_sample_programs(bundle: Bundle, a: list[str], b: list[str], radius: float, k: int = 8, center: str = "sample", weighting: str = "trace", pooled: bool = False, alpha: float = 1.0, gene_center: bool = False, scope: str = "all") -> Programs:
+def differential_sample_programs(bundle: Bundle, a: list[str], b: list[str], radius: float, center: str = "sample", weighting: str = "trace", **options) -> Programs:
     """Programs of samples ``a`` against samples ``b``."""
     if not a or not b:
         raise ValueError("each side needs a sample")
     rows = [(s, 1.0 / len(a)) for s in a] + [(s, -1.0 / len(b)) for s in b]
     coefficients = bundle.spots.sparkSession.createDataFrame(rows, "part string, coefficient double")
-    return _combined(bundle, radius, coefficients, weighting, pooled, k, center, alpha, gene_center, scope)
+    return _solve(bundle, radius, [(center, 1.0)], per_sample=True, weighting=weighting, coefficients=coefficients, **options)
+
+
+def paired_programs(bundle: Bundle, a: str, b: str, radius: float, **options) -> Programs:
+    """Programs of one sample against another."""
+    return differential_sample_programs(bundle, [a], [b], radius, **options)
+
+
+def condition_programs(bundle: Bundle, conditions: dict[str, str], positive: str, negative: str, radius: float, **options) -> Programs:
+    """Programs of the samples of one condition against those of another; ``conditions`` has each sample's."""
+    of = lambda c: sorted(s for s, x in conditions.items() if x == c)
+    return differential_sample_programs(bundle, of(positive), of(negative), radius, **options)
 
 
 def differential_label_programs(bundle: Bundle, label: str, radius: float, **options) -> Programs:
@@ -109,7 +193,10 @@ def differential_label_programs(bundle: Bundle, label: str, radius: float, **opt
         raise ValueError(f"label {label!r} has no spots, or no others")
     side = spots.select("sample_id", "spot_id", "side")
     move = lambda df: df.join(side, ["sample_id", "spot_id"]).drop("sample_id").withColumnRenamed("side", "sample_id")
-    split = replace(bundle, spots=spots.drop("sample_id").withColumnRenamed("side", "sample_id"), coords=move(bundle.coords), expression=move(bundle.expression))
+    split = replace(
+        bundle, spots=spots.drop("sample_id").withColumnRenamed("side", "sample_id"), coords=move(bundle.coords), expression=move(bundle.expression),
+        layers=move(bundle.layers) if bundle.layers is not None else None,
+    )
     return differential_sample_programs(split, ["label"], ["rest"], radius, scope=str(label), **options)
 
 
@@ -118,44 +205,74 @@ def differential_programs_by_label(bundle: Bundle, radius: float, labels: list |
     return {x: differential_label_programs(bundle, x, radius, **options) for x in _labels(bundle, labels)}
 
 
-def marker_programs(bundle: Bundle, radius: float, k: int = 8, alpha: float = 1.0, gene_center: bool = False, scope: str = "all") -> Programs:
-    """What centring by sample keeps and centring by label removes: the difference of both Grams under the first one's scale."""
-    left, right = spatial.prepare(bundle, radius, "sample"), spatial.prepare(bundle, radius, "label")
-    g, variance, scale = scaled(left, alpha, gene_center)
-    other, minus, _ = scaled(right, alpha, gene_center, scale)
-    total = g.union(other.withColumn("v", -F.col("v"))).groupBy("g", "h").agg(F.sum("v").alias("v"))
-    scores = variance.union(minus.withColumn("variance", -F.col("variance"))).groupBy("part", "g").agg(F.sum("variance").alias("score"))
-    return _finish(left, total, scores, _all(scale), k, True, scope, gene_center)
+def marker_programs(bundle: Bundle, radius: float, between: str = "labels", **options) -> Programs:
+    """What one centring keeps and a finer one removes: by sample less by label, or, ``between="samples"``, none less by sample."""
+    if between not in ("labels", "samples"):
+        raise ValueError(f"unknown contrast {between!r}")
+    left, right = ("sample", "label") if between == "labels" else ("none", "sample")
+    return _solve(bundle, radius, [(left, 1.0), (right, -1.0)], **options)
 
 
-def gene_scores(bundle: Bundle, radius: float, n: int = 20, center: str = "sample") -> DataFrame:
-    """(gene_id, score, rank): the ``n`` genes of the largest spatial variance."""
-    variance = spatial.spatial_variance(spatial.prepare(bundle, radius, center))
-    return ranking.top_genes(variance.select(F.col("g").alias("gene_id"), F.col("variance").alias("score")), n)
+def gene_scores(bundle: Bundle, radius: float, n: int = 20, center: str = "sample", covariates: list[str] | None = None, layer: str | None = None, labels: list | None = None) -> DataFrame:
+    """(scope, gene_id, score, rank): the ``n`` genes of the largest spatial variance, of all spots or of each of ``labels``."""
+
+    def one(b: Bundle, scope: str) -> DataFrame:
+        found = preprocess.covariates(b, covariates, layer) if covariates else None
+        variance = spatial.spatial_variance(spatial.prepare(b, radius, center, layer=layer, covariates=found))
+        rows = ranking.top_genes(variance.select(F.col("g").alias("gene_id"), F.col("variance").alias("score")), n)
+        return rows.select(F.lit(scope).alias("scope"), "gene_id", "score", "rank")
+
+    if labels is None:
+        return one(bundle, "all")
+    out = None
+    for x in _labels(bundle, labels):
+        rows = one(preprocess.subset_by_labels(bundle, [x]), str(x))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _compared(a: DataFrame, b: DataFrame, eigen_a: DataFrame, eigen_b: DataFrame, key: str) -> DataFrame:
+    if a.select("gene_id").join(b.select("gene_id"), "gene_id", "left_semi").isEmpty():
+        raise ValueError("the two analyses share nothing to compare on")
+    shared = a.select("gene_id").distinct().join(b.select("gene_id").distinct(), "gene_id", "left_semi")
+    own = b.join(shared, "gene_id", "left_semi")
+    pairs, within = cut(ranking.compare_components(a, b)), ranking.compare_components(own, own)  # a number for each two modes
+    return ranking.spectral_comparison(pairs, eigen_a, eigen_b, ranking.subspace_overlap(pairs, within), key)
 
 
 def compare_programs(a: Programs, b: Programs) -> DataFrame:
-    """Best matches of two analyses' modes over the genes of both."""
-    loads = lambda p: p.gene_programs.select(F.col("g").alias("gene_id"), "mode", F.col("loading").alias("v"))
-    return ranking.spectral_comparison(ranking.compare_components(loads(a), loads(b)), a.programs, b.programs)
+    """Each mode of A with its best match in B, by their eigenvectors over the genes of both."""
+    vectors = lambda p: p.gene_programs.select(F.col("g").alias("gene_id"), "mode", F.col("eigenvector").alias("v")).distinct()  # noqa: E731  # one for all parts
+    return _compared(vectors(a), vectors(b), a.programs, b.programs, "program")
 
 
 def compare_spot_modes(a: Programs, b: Programs) -> DataFrame:
     """Best matches over the spots that have finite values in both, centred."""
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    ok = lambda p: p.spot_modes.groupBy("i").agg(F.bool_and(finite).alias("ok")).where("ok").select("i")
+    both = cut(ok(a).join(ok(b), "i", "left_semi"))
 
-    def centred(p: Programs, q: Programs) -> DataFrame:
-        ok = lambda x: x.spot_modes.groupBy("i").agg(F.bool_and(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))).alias("ok")).where("ok").select("i")
-        rows = p.spot_modes.join(ok(p), "i", "left_semi").join(ok(q), "i", "left_semi")
+    def centred(p: Programs) -> DataFrame:
+        rows = p.spot_modes.join(both, "i", "left_semi")
         means = rows.groupBy("mode").agg(F.avg("value").alias("mean"))
         return rows.join(means, "mode").select(F.col("i").alias("gene_id"), "mode", (F.col("value") - F.col("mean")).alias("v"))
 
-    return ranking.spectral_comparison(ranking.compare_components(centred(a, b), centred(b, a)), a.programs, b.programs)
+    return _compared(centred(a), centred(b), a.programs, b.programs, "spot_mode")
+
+
+def compare_stored(spark: SparkSession, a: tuple[str, str], b: tuple[str, str], kind: str = "programs", components: int | None = None, output: str | None = None) -> DataFrame:
+    """Compares two stored experiments (path, name), their first ``components`` modes; ``output``: a CSV folder of one file, as the result has a row for each mode."""
+    found = {"programs": compare_programs, "spot_modes": compare_spot_modes}[kind](*[read_programs(spark, *x, first=components) for x in (a, b)])
+    if output:
+        found.coalesce(1).write.mode("overwrite").option("header", True).csv(output)
+    return found
 
 
-def gsea(found: Programs, sets: DataFrame, modes: list[int] | None = None) -> DataFrame:
-    """Enrichment of gene sets in each mode's ranking, against random sets."""
+def gsea(found: Programs, sets: DataFrame, modes: list[int] | None = None, permutations: int = 1000) -> DataFrame:
+    """Enrichment of gene sets in each mode's ranking by eigenvector, against random sets."""
     rows = found.gene_programs if modes is None else found.gene_programs.where(F.col("mode").isin(modes))
-    return enrichment.permutation_scores(enrichment.ranked_list(rows.select("mode", F.col("g").alias("gene_id"), F.col("gene_score").alias("score"))), sets)
+    ranked = enrichment.ranked_list(rows.select("mode", F.col("g").alias("gene_id"), F.col("eigenvector").alias("score")))
+    return enrichment.permutation_scores(cut(ranked), sets, permutations)
 
 
 def estimate_spacing(bundle: Bundle, first_radius: float) -> DataFrame:
@@ -173,13 +290,13 @@ def _vectors(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("id")).agg(F.transform(ordered, lambda x: x[value]).alias("v"))
 
 
-def cluster_genes(found: Programs, neighbours: int = 15, resolution: float = 1.0, n_genes: int | None = None) -> DataFrame:
-    rows = found.gene_programs
+def cluster_genes(found: Programs, neighbours: int = 15, resolution: float = 1.0, n_genes: int | None = None, metric: str = "cosine") -> DataFrame:
+    rows = found.gene_programs.select("mode", "g", "gene_score").distinct()
     if n_genes:
-        first = ranking.top_genes(found.scores.groupBy(F.col("g").alias("gene_id")).agg(F.sum("score").alias("score")), n_genes).select(F.col("gene_id").alias("g"))
-        rows = rows.join(first, "g", "left_semi")
-    return clustering.cluster(_vectors(rows, "g", "gene_score"), neighbours, resolution)
+        total = found.scores.where(F.col("part").isin("all", "weighted")).select(F.col("g").alias("gene_id"), "score")
+        rows = rows.join(ranking.top_genes(total, n_genes).select(F.col("gene_id").alias("g")), "g", "left_semi")
+    return clustering.cluster(_vectors(rows, "g", "gene_score"), neighbours, resolution, metric=metric)
 
 
-def cluster_spots(found: Programs, neighbours: int = 15, resolution: float = 1.0) -> DataFrame:
-    return clustering.cluster(_vectors(found.spot_modes, "i", "value"), neighbours, resolution)
+def cluster_spots(found: Programs, neighbours: int = 15, resolution: float = 1.0, metric: str = "cosine") -> DataFrame:
+    return clustering.cluster(_vectors(found.spot_modes, "i", "value"), neighbours, resolution, metric=metric)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import enrichment, kernel, preprocess, ranking, spatial
+from ..operators import enrichment, kernel, neighbours, preprocess, ranking, spatial
 from ..sources.bundle import customers_bundle, embeddings_bundle
 from . import commands
 
@@ -102,8 +102,10 @@ for _base, _bundle, _radius, _tag in ((EMB, embeddings_bundle, EMB_RADIUS, ""),
         "SELECT sample_id, round(avg((n = 1)::INT), 6) + 0.0 AS isolated FROM (SELECT sample_id, i, count(*) AS n FROM pairs GROUP BY 1, 2) GROUP BY 1", _base, _bundle,
     )
 _emb(
-    lambda b: kernel.gaussian_kernel(b.coords, EMB_RADIUS / 6).withColumn("k", _r(F.col("k"))), "gaussian_kernel",
-    f"SELECT sample_id, i, j, round(exp(-d2 / (4.0 * ({EMB_RADIUS} / 6) * ({EMB_RADIUS} / 6))), 6) + 0.0 AS k FROM pairs WHERE d2 < {EMB_RADIUS} * {EMB_RADIUS}",
+    lambda b: kernel.gaussian_kernel(b.coords, EMB_RADIUS / 6).withColumn("k", _r(F.col("k"))).where("k > 0"), "gaussian_kernel",
+    f"""SELECT sample_id, i, j, k FROM (
+      SELECT a.sample_id, a.spot_id AS i, b.spot_id AS j, round(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / (4.0 * ({EMB_RADIUS} / 6) * ({EMB_RADIUS} / 6))), 6) + 0.0 AS k
+      FROM spots a JOIN spots b ON a.sample_id = b.sample_id) WHERE k > 0""",
 )
 _emb(
     lambda b: kernel.mean_spacing(b.coords, EMB_RADIUS).withColumn("spacing", _r(F.col("spacing"))), "mean_spacing",
@@ -119,7 +121,7 @@ _emb(
 )
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return kernel.nearest_by_cosine(rows, 5, queries=rows.where("id % 20 = 0")).select("i", "j", F.col("rank").cast("long"), _r(F.col("similarity")).alias("similarity"))
+    return neighbours.nearest(rows, 5, queries=rows.where("id % 20 = 0")).select("i", "j", F.col("rank").cast("long"), _r(F.col("similarity")).alias("similarity"))
 
 
 # Spatial variance. ``part`` is a sample where parts are solved alone.

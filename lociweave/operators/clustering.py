@@ -1,23 +1,28 @@
-"""Communities of a nearest-neighbour graph by the Leiden method's local moves and aggregation."""
+"""Communities of a nearest-neighbour graph by the Leiden method's local moves and aggregation: as joins while it is large, then in one task."""
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .kernel import nearest_by_cosine
+from ..sources.lineage import cut
+from .neighbours import nearest
 
-#: Vertices that the one-task community step takes.
-LARGEST = 2_000_000
+#: Vertices that the one-task community step takes; rows up to which neighbours are exact.
+LARGEST, EXACT = 100_000, 20_000
 
 
 def _move(heads: np.ndarray, edges: np.ndarray, weights: np.ndarray, degree: np.ndarray, resolution: float, rng: np.random.Generator, bound: np.ndarray | None) -> np.ndarray:
     """Local moves to the neighbouring community of the largest modularity gain; ``bound``: stay inside this partition, and move only while alone."""
     n, total = len(degree), degree.sum()
     label, mass, size = np.arange(n), degree.copy(), np.ones(n, int)
-    queue, waiting = list(rng.permutation(n)), np.ones(n, bool)
+    queue, waiting = deque(rng.permutation(n)), np.ones(n, bool)
     while queue:
         v = int(queue.pop())
         waiting[v] = False
@@ -42,7 +47,7 @@ def _move(heads: np.ndarray, edges: np.ndarray, weights: np.ndarray, degree: np.
                 u = int(edges[e])
                 if not waiting[u] and label[u] != best:
                     waiting[u] = True
-                    queue.insert(0, u)
+                    queue.appendleft(u)
     return np.unique(label, return_inverse=True)[1]
 
 
@@ -73,18 +78,68 @@ def leiden(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, resolution: floa
     return rank[member]
 
 
-def cluster(vectors: DataFrame, neighbours: int = 15, resolution: float = 1.0, seed: int = 0) -> DataFrame:
-    """(id, cluster) of (id, v): neighbours are found by a distributed join; the graph, ``neighbours`` edges for each id, goes to one task."""
+def moved(edges: DataFrame, labels: DataFrame, degrees: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
+    """(v, c): one round of local moves, as joins. The vertices whose turn it is go where modularity gains most, or stay."""
+    mass = labels.join(degrees, "v").groupBy("c").agg(F.sum("degree").alias("mass"))
+    own = labels.join(degrees, "v").select("v", F.col("c").alias("old"), "degree")
+    toward = edges.where("i <> j").join(labels.select(F.col("v").alias("j"), "c"), "j").groupBy(F.col("i").alias("v"), "c").agg(F.sum("s").alias("s"))
+    stay = own.select("v", F.col("old").alias("c"), F.lit(0.0).alias("s"))
+    choices = toward.unionByName(stay).groupBy("v", "c").agg(F.sum("s").alias("s")).join(mass, "c").join(own, "v")
+    rest = F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("degree")).otherwise(0.0)
+    worth = F.round(F.col("s") - resolution * F.col("degree") * rest / total, 9)
+    best = choices.groupBy("v", "old").agg(F.max_by("c", F.struct(worth, F.col("c") == F.col("old"), "c")).alias("new"))
+    mine = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
+    return best.select("v", F.when(mine, F.col("new")).otherwise(F.col("old")).alias("c"))
+
+
+def coarsened(edges: DataFrame, largest: int, resolution: float, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(graph, membership): (i, j, s) with at most ``largest`` vertices, or fewer by no more than a twentieth a level, and (v, c) of all vertices.
+
+    A level is some rounds of moves and one contraction, all joins and sums; each is written to the shared folder.
+    """
+    total = edges.agg(F.sum("s")).first()[0] or 1.0
+    member = None
+    while True:
+        degrees = cut(edges.groupBy(F.col("i").alias("v")).agg(F.sum("s").alias("degree")))
+        n = degrees.count()
+        if n <= largest:
+            break
+        labels = degrees.select("v", F.col("v").alias("c"))
+        for turn in range(rounds):
+            labels = cut(moved(edges, labels, degrees, total, resolution, turn))
+        at = lambda v: labels.select(F.col("v").alias(v), F.col("c").alias(f"c_{v}"))
+        edges = cut(edges.join(at("i"), "i").join(at("j"), "j").groupBy(F.col("c_i").alias("i"), F.col("c_j").alias("j")).agg(F.sum("s").alias("s")))
+        member = labels if member is None else cut(member.withColumnRenamed("c", "m").join(labels.withColumnRenamed("v", "m"), "m").select("v", "c"))
+        if edges.select("i").distinct().count() > 0.95 * n:
+            break
+    return edges, member if member is not None else degrees.select("v", F.col("v").alias("c"))
+
+
+def cluster(vectors: DataFrame, neighbours: int = 15, resolution: float = 1.0, seed: int = 0, metric: str = "cosine", largest: int = LARGEST, exact: int = EXACT) -> DataFrame:
+    """(id, cluster) of (id, v), the largest cluster first.
+
+    Up to ``exact`` rows neighbours are exact; beyond, they come from inverted lists. The graph is moved and contracted by joins
+    until it has ``largest`` vertices at most; one task ends it. Where moves stop contracting it before, its vertices are the clusters.
+    """
     kind = vectors.schema["id"].dataType.simpleString()
-    near = nearest_by_cosine(vectors, neighbours)
-    both = near.select("i", "j", F.greatest("similarity", F.lit(0.0)).alias("s"))
-    both = both.union(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "s")).groupBy("i", "j").agg(F.max("s").alias("s"))
+    n = vectors.count()
+    lists = 1 if n <= exact else min(2048, max(2, round(math.sqrt(n))))
+    near = nearest(vectors, neighbours, metric, lists=lists, probes=max(8, lists // 16))
+    weight = F.greatest(F.col("similarity"), F.lit(0.0)) if metric == "cosine" else 1 / (1 - F.col("similarity"))
+    both = near.select("i", "j", weight.alias("s"))
+    both = cut(both.union(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "s")).groupBy("i", "j").agg(F.max("s").alias("s")))
+    graph, member = coarsened(both, largest, resolution)
+    if graph.select("i").distinct().count() > largest:
+        sizes = member.groupBy("c").agg(F.count("*").alias("n"))
+        ranks = sizes.select("c", (F.row_number().over(W.orderBy(F.desc("n"), "c")) - 1).cast("long").alias("cluster"))
+        return member.join(ranks, "c").select(F.col("v").alias("id"), "cluster")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf["i"].to_numpy())
-        if len(ids) > LARGEST:
-            raise ValueError(f"{len(ids)} vertices: at most {LARGEST} are clustered at once")
         at = lambda c: np.searchsorted(ids, pdf[c].to_numpy())
-        return pd.DataFrame({"id": ids, "cluster": leiden(len(ids), at("i"), at("j"), pdf["s"].to_numpy(float), resolution, seed)})
+        return pd.DataFrame({"c": ids, "label": leiden(len(ids), at("i"), at("j"), pdf["s"].to_numpy(float), resolution, seed)})
 
-    return both.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"id {kind}, cluster long")
+    ended = graph.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"c {kind}, label long")
+    found = cut(member.join(ended, "c").select(F.col("v").alias("id"), "label"))
+    ranks = found.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.row_number().over(W.orderBy(F.desc("n"), "label")) - 1).cast("long").alias("cluster"))
+    return found.join(ranks, "label").select("id", "cluster")  # a row for each cluster

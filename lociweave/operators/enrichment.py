@@ -22,9 +22,12 @@ def running_enrichment(ranked: DataFrame, sets: DataFrame, min_size: int = 15, m
     order = W.partitionBy("mode").orderBy(F.desc("score"), "gene_id")
     hits = ranked.withColumn("rank", F.row_number().over(order)).join(sets, "gene_id").join(sizes, ["mode", "set_name"]).join(totals, "mode")
     along = W.partitionBy("mode", "set_name").orderBy("rank")
-    hits = hits.withColumns({"k": F.row_number().over(along), "hit": F.sum(F.abs("score")).over(along.rowsBetween(W.unboundedPreceding, 0)) / F.col("weight")})
-    miss = (F.col("rank") - F.col("k")) / (F.col("n") - F.col("size"))
-    before: Column = F.col("hit") - F.abs("score") / F.col("weight") - miss
+    hits = hits.withColumn("k", F.row_number().over(along))
+    # scores of zero weigh alike; a set of all genes has no misses
+    step = F.coalesce(F.try_divide(F.abs("score"), "weight"), F.lit(1.0) / F.col("size"))
+    hits = hits.withColumn("step", step).withColumn("hit", F.sum("step").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    miss = (F.col("rank") - F.col("k")) / F.greatest(F.col("n") - F.col("size"), F.lit(1))
+    before: Column = F.col("hit") - F.col("step") - miss
     ends = hits.groupBy("mode", "set_name", "size").agg(F.max(F.col("hit") - miss).alias("top"), F.min(before).alias("bottom"))
     return ends.select("mode", "set_name", "size", F.when(F.col("top") >= -F.col("bottom"), F.col("top")).otherwise(F.col("bottom")).alias("enrichment"))
 
@@ -48,7 +51,8 @@ def permutation_scores(ranked: DataFrame, sets: DataFrame, permutations: int = 1
         n, rng, out = len(weight), np.random.default_rng(seed), []
         for _ in range(permutations):
             at = np.sort(rng.choice(n, size, replace=False))
-            hit = np.cumsum(weight[at]) / max(weight[at].sum(), 1e-300)
+            own = weight[at] if weight[at].sum() > 0 else np.ones(size)
+            hit = np.cumsum(own) / own.sum()
             miss = (at - np.arange(size)) / max(n - size, 1)
             top, bottom = (hit - miss).max(), (np.concatenate([[0], hit[:-1]]) - miss).min()
             out.append(top if top >= -bottom else bottom)

@@ -1,4 +1,4 @@
-"""Spatial neighbourhoods: radius joins over a grid, kernels, spacing and nearest neighbours.
+"""Spatial neighbourhoods: radius joins over a grid, kernels and spacing.
 
 A plain distance join is a nested loop over all pairs. Here space is cut into cells as wide
 as the radius; a spot meets the spots of its own and the adjacent cells by an equi-join,
@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.kernels import gaussian, wendland
+from ..sources.lineage import cut
 
 
-def radius_pairs(coords: DataFrame, radius: float, inclusive: bool = False) -> DataFrame:
-    """(sample_id, i, j, d2) for all spots of a sample within ``radius``, themselves included, both directions."""
+def radius_pairs(coords: DataFrame, radius: float, inclusive: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """(sample_id, i, j, d2) for all spots of a sample within ``radius``, themselves included, both directions. ``of``: only pairs of these spots i."""
     cell = lambda c: F.floor(F.col(c) / radius)
-    left = coords.select("sample_id", F.col("spot_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), cell("x").alias("cx"), cell("y").alias("cy"))
+    left = (coords if of is None else of).select("sample_id", F.col("spot_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.explode(F.array(*[F.struct((F.col("cx") + a).alias("a"), (F.col("cy") + b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     right = coords.select("sample_id", F.col("spot_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x").alias("cx"), cell("y").alias("cy"))
     right = right.withColumn("near", around).select("sample_id", "j", "xj", "yj", F.col("near.a").alias("cx"), F.col("near.b").alias("cy"))
@@ -32,8 +32,8 @@ def wendland_kernel(coords: DataFrame, radius: float) -> DataFrame:
     return radius_pairs(coords, radius).select("sample_id", "i", "j", wendland(F.sqrt("d2") / radius).alias("k"))
 
 
-def gaussian_kernel(coords: DataFrame, sigma: float, reach: float = 6.0) -> DataFrame:
-    """Gaussian weights within ``reach`` sigmas, beyond which they are under 2e-4 of the diagonal."""
+def gaussian_kernel(coords: DataFrame, sigma: float, reach: float = 12.0) -> DataFrame:
+    """Gaussian weights within ``reach`` sigmas; at 12, those beyond are under 3e-16 of the diagonal, which sums in doubles do not see."""
     return radius_pairs(coords, reach * sigma).select("sample_id", "i", "j", gaussian(F.col("d2"), sigma).alias("k"))
 
 
@@ -46,34 +46,16 @@ def isolated_fraction(coords: DataFrame, radius: float) -> DataFrame:
 def mean_spacing(coords: DataFrame, first_radius: float) -> DataFrame:
     """(sample_id, spacing): mean distance to the nearest other spot.
 
-    Spots that find none within the radius go on to one twice as wide, so each step joins few spots with near cells.
+    Spots that find none within the radius go on to one four times as wide, so each step joins few spots with near cells.
     """
     left, radius, done = coords, first_radius, None
     span = coords.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     widest = 2 * max(span[0] or 0.0, span[1] or 0.0, first_radius)
     while True:
-        pairs = radius_pairs(coords, radius, inclusive=True).where("i <> j").join(left.select("sample_id", F.col("spot_id").alias("i")), ["sample_id", "i"], "left_semi")
-        found = pairs.groupBy("sample_id", "i").agg(F.sqrt(F.min("d2")).alias("d"))
+        pairs = radius_pairs(coords, radius, inclusive=True, of=left).where("i <> j")
+        found = cut(pairs.groupBy("sample_id", "i").agg(F.sqrt(F.min("d2")).alias("d")))
         done = found if done is None else done.union(found)
-        left = left.join(found.select("sample_id", F.col("i").alias("spot_id")), ["sample_id", "spot_id"], "left_anti")
+        left = cut(left.join(found.select("sample_id", F.col("i").alias("spot_id")), ["sample_id", "spot_id"], "left_anti"))
         if radius > widest or left.isEmpty():
             return done.groupBy("sample_id").agg(F.avg("d").alias("spacing"))
         radius *= 4
-
-
-def nearest_by_cosine(vectors: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 16) -> DataFrame:
-    """(i, j, rank, similarity): the ``k`` most similar other rows of (id, v ARRAY<DOUBLE>), ties by id. ``queries``: only theirs.
-
-    Rows meet in blocks: every row goes to one block as a query and to all as a candidate. Each block
-    keeps its own best k before the blocks' are merged, so what is shuffled is k rows a block.
-    """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit_of = lambda df: df.withColumn("n", norm).select("id", F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("v"))
-    unit = unit_of(vectors)
-    asked = (unit if queries is None else unit_of(queries)).select(F.col("id").alias("i"), F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    against = unit.select(F.col("id").alias("j"), F.col("v").alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = asked.join(against, "block").where("i <> j").select("block", "i", "j", F.round(dot, 9).alias("similarity"))
-    best = lambda *by: F.row_number().over(W.partitionBy(*by, "i").orderBy(F.desc("similarity"), "j"))
-    part = scored.withColumn("rank", best("block")).where(F.col("rank") <= k)
-    return part.withColumn("rank", best()).where(F.col("rank") <= k).select("i", "j", "rank", "similarity")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .spatial import Prepared
 
 MODES = "scope string, mode int, eigenvalue double, mode_sign int, g string, eigenvector double, gene_score double"
-#: Genes of which the dense solver takes one table; it needs the cube of them in time.
-DENSE_GENES = 4000
+#: Genes of which the dense solver takes one table; it needs the cube of them in time. More go to ``krylov``.
+DENSE_GENES = 2000
 
 
 def oriented(v: np.ndarray) -> np.ndarray:
@@ -23,14 +23,14 @@ def oriented(v: np.ndarray) -> np.ndarray:
 def leading_modes(g: DataFrame, k: int = 8, signed: bool = False, scope: str = "all") -> DataFrame:
     """Top ``k`` eigenpairs of (g, h, v): largest values first, or with ``signed`` the largest by size.
 
-    The table is genes by genes, whatever the number of spots; one task solves it. More than
-    ``DENSE_GENES`` genes raise an error, as filtering genes is what such data needs.
+    The table is genes by genes, whatever the number of spots; one task solves it, of ``DENSE_GENES`` genes at most.
+    ``krylov.leading_modes`` solves what is larger.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["g"].to_numpy(str), pdf["h"].to_numpy(str)]))
         if len(names) > DENSE_GENES:
-            raise ValueError(f"{len(names)} genes: filter them to {DENSE_GENES} first")
+            raise ValueError(f"{len(names)} genes: krylov.leading_modes takes more than {DENSE_GENES}")
         m = np.zeros((len(names), len(names)))
         m[np.searchsorted(names, pdf["g"].to_numpy(str)), np.searchsorted(names, pdf["h"].to_numpy(str))] = pdf["v"]
         values, vectors = np.linalg.eigh((m + m.T) / 2)
@@ -48,22 +48,26 @@ def leading_modes(g: DataFrame, k: int = 8, signed: bool = False, scope: str = "
     return g.select("g", "h", "v", F.lit(0).alias("one")).groupBy("one").applyInPandas(solve, MODES)
 
 
-def gene_loadings(modes: DataFrame, scale: DataFrame, center: bool = False) -> DataFrame:
-    """(scope, [part,] g, mode, loading): D H v / sqrt|eigenvalue|."""
+def gene_loadings(modes: DataFrame, scale: DataFrame, center: DataFrame | None = None) -> DataFrame:
+    """(scope, [part,] g, mode, loading): D H v / sqrt|eigenvalue|, with ``center`` (all genes) for H."""
     v = F.col("eigenvector")
     rows = modes
-    if center:
-        means = modes.groupBy("scope", "mode").agg(F.avg("eigenvector").alias("mean"))
-        rows, v = modes.join(means, ["scope", "mode"]), F.col("eigenvector") - F.col("mean")
+    if center is not None:
+        means = modes.groupBy("scope", "mode").agg((F.sum("eigenvector") / center.count()).alias("mean"))
+        rows, v = modes.join(F.broadcast(means), ["scope", "mode"]), F.col("eigenvector") - F.col("mean")  # a row for each mode
     on = ["part"] if "part" in scale.columns else []
     lifted = rows.join(scale, "g").withColumn("loading", v * F.col("d") / F.sqrt(F.greatest(F.abs("eigenvalue"), F.lit(1e-12))))
     return lifted.select("scope", *on, "g", "mode", "loading")
 
 
 def spot_modes(p: Prepared, loadings: DataFrame) -> DataFrame:
-    """(scope, part, i, mode, value): W times the loadings, on the raw values."""
+    """(scope, part, i, mode, value): W times the loadings, on the raw values; zero for a spot of the scope without expression."""
     on = ["part", "g"] if "part" in loadings.columns else ["g"]
-    return p.w.join(loadings, on).groupBy("scope", "part", "i", "mode").agg(F.sum(F.col("value") * F.col("loading")).alias("value"))
+    found = p.w.join(loadings, on).groupBy("scope", "part", "i", "mode").agg(F.sum(F.col("value") * F.col("loading")).alias("value"))
+    empty = p.spots.join(found.select("part", "i"), ["part", "i"], "left_anti")
+    known = [F.struct(F.lit(r["scope"]).alias("scope"), F.lit(r["mode"]).alias("mode")) for r in loadings.select("scope", "mode").distinct().collect()]  # a few modes
+    zeros = empty.withColumn("m", F.explode(F.array(*known).cast("array<struct<scope:string,mode:int>>")))
+    return found.unionByName(zeros.select("m.scope", "part", "i", "m.mode", F.lit(0.0).alias("value")))
 
 
 def full_modes(modes: DataFrame, spots: DataFrame) -> DataFrame:

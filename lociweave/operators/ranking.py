@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,11 +18,12 @@ def top_genes(scores: DataFrame, n: int = 8, kind: str = "pos", by: list[str] |
 
 
 def cumulative_contribution(loadings: DataFrame) -> DataFrame:
-    """(mode, gene_id, rank, share): running share of squared loadings, largest first."""
+    """(mode, gene_id, rank, share): running share of squared loadings, largest first; zero throughout for a mode of zeros."""
     square = F.col("v") * F.col("v")
     along = W.partitionBy("mode").orderBy(F.desc(square), "gene_id")
     total = F.sum(square).over(W.partitionBy("mode"))
-    return loadings.select("mode", "gene_id", F.row_number().over(along).alias("rank"), (F.sum(square).over(along.rowsBetween(W.unboundedPreceding, 0)) / total).alias("share"))
+    share = F.try_divide(F.sum(square).over(along.rowsBetween(W.unboundedPreceding, 0)), total)
+    return loadings.select("mode", "gene_id", F.row_number().over(along).alias("rank"), F.coalesce(share, F.lit(0.0)).alias("share"))
 
 
 def fractional_energy(modes: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def choose_k_energy(eigenvalues: DataFrame, energy: float = 0.9) -> DataFrame:
     """(k): the first k whose share of the total reaches ``energy``; one more than all if none does, 0 without any weight."""
     along = W.orderBy("mode").rowsBetween(W.unboundedPreceding, 0)
     rows = eigenvalues.select("mode", F.sum("eigenvalue").over(along).alias("run"), F.sum("eigenvalue").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
-    reached = F.min(F.when(F.col("run") / F.col("total") >= energy, F.col("mode") + 1))
+    reached = F.min(F.when(F.try_divide("run", "total") >= energy, F.col("mode") + 1))
     return rows.agg(F.when((F.count("*") == 0) | (F.max("total") <= 0), F.lit(0)).otherwise(F.coalesce(reached, F.count("*") + 1)).cast("long").alias("k"))
 
 
@@ -86,18 +88,42 @@ def gene_cluster_sums(expression: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def compare_components(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(mode_a, mode_b, cosine, best) of loadings (gene_id, mode, v): all modes against all, on the genes of both."""
+    """(mode_a, mode_b, cosine, best) of loadings (gene_id, mode, v): all modes against all, on the genes of both.
+
+    A mode that is zero on those genes has no direction: reading the result then fails with an error that says so.
+    """
     shared = a.select("gene_id").distinct().join(b.select("gene_id").distinct(), "gene_id", "left_semi")
+    size = lambda m: F.when(F.col(f"n_{m}") > 0, F.col(f"n_{m}")).otherwise(F.raise_error(F.concat(F.lit(f"no comparison: zero norm of {m} "), F.col(m).cast("string"))))
     norm = lambda df, m: df.join(shared, "gene_id", "left_semi").groupBy(F.col("mode").alias(m)).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias(f"n_{m}"))
     left, right = a.select("gene_id", F.col("mode").alias("mode_a"), F.col("v").alias("x")), b.select("gene_id", F.col("mode").alias("mode_b"), F.col("v").alias("y"))
     dots = left.join(right, "gene_id").groupBy("mode_a", "mode_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    rows = dots.join(norm(a, "mode_a"), "mode_a").join(norm(b, "mode_b"), "mode_b").withColumn("cosine", F.col("dot") / (F.col("n_mode_a") * F.col("n_mode_b")))
+    rows = dots.join(norm(a, "mode_a"), "mode_a").join(norm(b, "mode_b"), "mode_b").withColumn("cosine", F.col("dot") / (size("mode_a") * size("mode_b")))
     best = F.row_number().over(W.partitionBy("mode_a").orderBy(F.desc(F.abs("cosine")), "mode_b")) == 1
     return rows.select("mode_a", "mode_b", "cosine", best.alias("best"))
 
 
-def spectral_comparison(pairs: DataFrame, eigen_a: DataFrame, eigen_b: DataFrame) -> DataFrame:
-    """One row for each mode of A: its best match, and B's eigenvalues weighted by squared cosines."""
+def subspace_overlap(pairs: DataFrame, within_b: DataFrame) -> DataFrame:
+    """(mode_a, overlap): the share of each mode of A, squared, that lies in the span of B's modes, between 0 and 1.
+
+    ``pairs`` are A's cosines with B's modes, ``within_b`` those of B's modes with each other, which need not be
+    orthogonal: the inverse of that table, a number for each two modes, is taken on the driver.
+    """
+    rows = within_b.select("mode_a", "mode_b", "cosine").collect()
+    modes = sorted({r["mode_a"] for r in rows})
+    gram = np.zeros((len(modes), len(modes)))
+    for r in rows:
+        gram[modes.index(r["mode_a"]), modes.index(r["mode_b"])] = r["cosine"]
+    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    table = within_b.sparkSession.createDataFrame([(i, j, float(inverse[x, y])) for x, i in enumerate(modes) for y, j in enumerate(modes)], "mode_b int, mode_c int, inverse double")
+    first = pairs.select("mode_a", "mode_b", F.col("cosine").alias("cb"))
+    second = pairs.select("mode_a", F.col("mode_b").alias("mode_c"), F.col("cosine").alias("cc"))
+    both = first.join(F.broadcast(table), "mode_b").join(second, ["mode_a", "mode_c"])
+    share = F.sum(F.col("cb") * F.col("inverse") * F.col("cc"))
+    return both.groupBy("mode_a").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)).alias("overlap"))
+
+
+def spectral_comparison(pairs: DataFrame, eigen_a: DataFrame, eigen_b: DataFrame, overlap: DataFrame, key: str = "program") -> DataFrame:
+    """One row for each mode of A: its best match, its overlap with B's span, and B's eigenvalues weighted by squared cosines."""
     square = F.col("cosine") * F.col("cosine")
     scores = pairs.join(F.broadcast(eigen_b.select(F.col("mode").alias("mode_b"), F.col("eigenvalue").alias("lb"))), "mode_b")
     sums = scores.groupBy("mode_a").agg(
@@ -105,7 +131,20 @@ def spectral_comparison(pairs: DataFrame, eigen_a: DataFrame, eigen_b: DataFrame
         F.max(F.when(F.col("best"), F.abs("cosine"))).alias("absolute_cosine"), F.max(F.when(F.col("best"), F.col("lb"))).alias("eigenvalue_b"),
         F.sum(square * F.col("lb")).alias("signed_spectral_score_b"), F.sum(square * F.abs("lb")).alias("absolute_spectral_score_b"),
     )
-    share = lambda df: F.abs("eigenvalue") / F.sum(F.abs("eigenvalue")).over(W.partitionBy())
+    share = lambda df: F.coalesce(F.try_divide(F.abs("eigenvalue"), F.sum(F.abs("eigenvalue")).over(W.partitionBy())), F.lit(0.0))
     a = eigen_a.select(F.col("mode").alias("mode_a"), F.col("eigenvalue").alias("eigenvalue_a"), share(eigen_a).alias("spectral_fraction_a"))
     b = eigen_b.select(F.col("mode").alias("best_b"), share(eigen_b).alias("spectral_fraction_b"))
-    return sums.join(a, "mode_a").join(b, "best_b")
+    found = sums.join(a, "mode_a").join(b, "best_b").join(overlap, "mode_a")
+    return found.select(
+        F.col("mode_a").alias(f"{key}_a"), F.col("best_b").alias(f"best_{key}_b"), "signed_cosine", "absolute_cosine", F.col("overlap").alias("subspace_overlap_b"),
+        "eigenvalue_a", "eigenvalue_b", "spectral_fraction_a", "spectral_fraction_b", "signed_spectral_score_b", "absolute_spectral_score_b",
+    )
+
+
+def gene_report(scores: DataFrame, n: int = 8) -> DataFrame:
+    """(mode, rank, abs_gene, abs_score, pos_gene, ...): each mode's first genes by size, from the top and from the bottom, side by side."""
+    out = None
+    for kind in ("abs", "pos", "neg"):
+        part = top_genes(scores, n, kind, ["mode"]).select("mode", "rank", F.col("gene_id").alias(f"{kind}_gene"), F.col("score").alias(f"{kind}_score"))
+        out = part if out is None else out.join(part, ["mode", "rank"])
+    return out

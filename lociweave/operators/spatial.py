@@ -12,7 +12,7 @@ is ever stored: W'SW is put together from W'KW and small tables of group sums.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,13 +26,14 @@ EPS = 1e-12
 
 @dataclass(frozen=True)
 class Prepared:
-    """Expression rows w(part, i, g, value), kernel k(part, i, j, k), groups(part, i, c, n_c) and the basis q(part, i, ix, q), if any."""
+    """Expression rows w(part, i, g, value), kernel k(part, i, j, k), groups(part, i, c, n_c), the basis q(part, i, ix, q), if any, and all spots (part, i)."""
 
     w: DataFrame
     k: DataFrame
     groups: DataFrame | None
     genes: DataFrame
     basis: DataFrame | None = None
+    spots: DataFrame | None = None
 
 
 def prepare(bundle: Bundle, radius: float, center: str = "sample", per_sample: bool = False, layer: str | None = None, covariates: DataFrame | None = None) -> Prepared:
@@ -47,10 +48,10 @@ def prepare(bundle: Bundle, radius: float, center: str = "sample", per_sample: b
         name = F.col("sample_id") if center == "sample" else F.concat_ws("|", "sample_id", F.coalesce(F.col("label").cast("string"), F.lit("\0")))
         rows = bundle.spots.select(part, F.col("spot_id").alias("i"), name.alias("c"))
         groups = rows.join(rows.groupBy("part", "c").agg(F.count("*").alias("n_c")), ["part", "c"]).select("part", "i", "c", "n_c")
-    made = Prepared(w, k, groups, bundle.genes.select(F.col("gene_id").alias("g")))
+    made = Prepared(w, k, groups, bundle.genes.select(F.col("gene_id").alias("g")), spots=bundle.spots.select(part, F.col("spot_id").alias("i")))
     if covariates is not None:
         flat = covariates.select(part, F.col("spot_id").alias("i"), *[c for c in covariates.columns if c not in SPOT])
-        made = Prepared(w, k, groups, made.genes, orthonormal(made, flat))
+        made = replace(made, basis=orthonormal(made, flat))
     return made
 
 
@@ -200,7 +201,9 @@ def scaled_gram(g: DataFrame, scale: DataFrame, center: DataFrame | None = None)
     if center is None:
         return out
     n = center.count()
-    rows = out.groupBy("part", "g").agg((F.sum("v") / n).alias("rm"))
+    sums = out.groupBy("part", "g").agg((F.sum("v") / n).alias("rm"))
+    every = center.select("g", F.explode(F.array(*[F.lit(r["part"]) for r in sums.select("part").distinct().collect()])).alias("part"))  # parts are samples
+    rows = every.join(sums, ["part", "g"], "left").select("part", "g", F.coalesce("rm", F.lit(0.0)).alias("rm"))
     mean = rows.groupBy("part").agg((F.sum("rm") / n).alias("mm"))
     cols = rows.select("part", F.col("g").alias("h"), F.col("rm").alias("cm"))
     full = rows.join(cols, "part").join(out, ["part", "g", "h"], "left").join(mean, "part")

@@ -49,25 +49,40 @@ class Bundle:
 def read_bundle(spark: SparkSession, path: str) -> Bundle:
     """A bundle from Parquet folders spots, coords, genes, expression and, where there are any, layers."""
     table = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Bundle(table("spots"), table("coords"), table("genes"), table("expression"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/layers")
+    has_layers = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return Bundle(table("spots"), table("coords"), table("genes"), table("expression"), table("layers") if has_layers else None)
 
 
 def write_bundle(bundle: Bundle, path: str) -> None:
-    for name in ("spots", "coords", "genes", "expression"):
-        getattr(bundle, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    for name in ("spots", "coords", "genes", "expression", "layers"):
+        if (df := getattr(bundle, name)) is not None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def union_samples(bundles: dict[str, Bundle]) -> Bundle:
-    """Samples side by side under their names; spot ids get the name as a suffix, genes are those of all."""
+    """Samples side by side under their names; spot ids get the name as a suffix, genes and layers are those of all."""
     if len(bundles) < 2:
         raise ValueError("more than one sample is needed")
 
     def named(name: str, df: DataFrame) -> DataFrame:
         return df.withColumns({"spot_id": F.concat_ws("-", F.col("spot_id").cast("string"), F.lit(name)), "sample_id": F.lit(name)})
 
-    both = lambda part: reduce(lambda a, b: a.unionByName(b), [named(n, getattr(b, part)) for n, b in bundles.items()])
+    both = lambda part: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [named(n, getattr(b, part)) for n, b in bundles.items()])
     genes = reduce(lambda a, b: a.join(b, "gene_id", "left_semi"), [b.genes for b in bundles.values()])
-    return Bundle(both("spots"), both("coords"), genes, both("expression").join(genes, "gene_id", "left_semi"))
+    layers = None
+    if all(b.layers is not None for b in bundles.values()):
+        shared = reduce(lambda a, b: a.join(b, "layer", "left_semi"), [b.layers.select("layer").distinct() for b in bundles.values()])
+        layers = both("layers").join(shared, "layer", "left_semi").join(genes, "gene_id", "left_semi")
+    return Bundle(both("spots"), both("coords"), genes, both("expression").join(genes, "gene_id", "left_semi"), layers)
+
+
+def sample_names(paths: list[str], names: list[str] | None = None) -> list[str]:
+    """A name for each bundle's path: the given ones, or the last part of the path without its ending; none twice."""
+    found = names or [p.rstrip("/").rsplit("/", 1)[-1].split(".")[0] for p in paths]
+    if len(found) != len(paths) or len(set(found)) != len(found):
+        raise ValueError(f"{len(paths)} samples need as many different names: {found}")
+    return found
 
 
 def embeddings_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
