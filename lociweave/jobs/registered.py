@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrichment, kernel, neighbours, preprocess, ranking, spatial
-from ..sources.bundle import customers_bundle, embeddings_bundle
+from ..sources.bundle import customers_bundle, embeddings_bundle, union_samples
+from ..sources.lineage import cut
 from . import commands
 
 EMB_RADIUS, CUST_RADIUS = 0.05, 0.5
@@ -393,6 +394,92 @@ def gsea_running_sum(spark: SparkSession, d: str) -> DataFrame:
     return enrichment.running_enrichment(ranked, sets).withColumn("enrichment", _r(F.col("enrichment")))
 
 
+# What whole commands must give whatever the eigenvectors' signs: traces, residuals, scores.
+
+_WT = "wt AS (SELECT part, 1 / greatest(sum(variance), 1e-12) AS weight FROM diag GROUP BY 1)"
+
+
+@register("gene_scores", f"WITH {EMB}, {_gram_terms('sample', 'all')}, {_DIAGONAL} SELECT 'all' AS scope, g AS gene_id, round(variance, 2) + 0.0 AS score, row_number() OVER (ORDER BY variance DESC, g)::BIGINT AS rank FROM diag QUALIFY rank <= 20")
+def gene_scores(spark: SparkSession, d: str) -> DataFrame:
+    return commands.gene_scores(embeddings_bundle(spark, d), EMB_RADIUS).select("scope", "gene_id", _r(F.col("score"), 2).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("weighted_gene_scores", f"{_SAMPLES}, {_WT} SELECT g, round(1e6 * sum(weight * variance), 5) + 0.0 AS score FROM diag JOIN wt USING (part) GROUP BY 1")
+def weighted_gene_scores(spark: SparkSession, d: str) -> DataFrame:
+    found = commands.shared_programs(embeddings_bundle(spark, d), EMB_RADIUS)
+    return found.scores.where("part = 'weighted'").select("g", _r(F.col("score") * 1e6, 5).alias("score"))
+
+
+@register("shared_program_trace", f"{_SAMPLES}, {_SCALED}, {_WT} SELECT count(DISTINCT g)::BIGINT AS modes, round(1e6 * sum(weight * v), 4) + 0.0 AS trace FROM scaled JOIN wt USING (part) WHERE g = h")
+def shared_program_trace(spark: SparkSession, d: str) -> DataFrame:
+    """All eigenvalues of the shared operator, which add up to its trace."""
+    found = commands.shared_programs(embeddings_bundle(spark, d), EMB_RADIUS, k=62)
+    return found.programs.agg(F.count("*").alias("modes"), _r(F.sum("eigenvalue") * 1e6, 4).alias("trace"))
+
+
+@register("contrast_program_trace", f"{_SAMPLES}, {_SCALED}, {_WT}, {_COEFFICIENTS} SELECT count(DISTINCT g)::BIGINT AS modes, round(1e6 * sum(coefficient * weight * v), 4) + 0.0 AS trace FROM scaled JOIN wt USING (part) JOIN coef USING (part) WHERE g = h")
+def contrast_program_trace(spark: SparkSession, d: str) -> DataFrame:
+    found = commands.differential_sample_programs(embeddings_bundle(spark, d), ["S0"], ["S1", "S2"], EMB_RADIUS, k=62)
+    return found.programs.agg(F.count("*").alias("modes"), _r(F.sum("eigenvalue") * 1e6, 4).alias("trace"))
+
+
+@register("program_residuals", f"WITH {EMB} SELECT m::INT AS mode, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS residual FROM (SELECT unnest(range(0, least(8, count(DISTINCT gene_id)))) AS m FROM w)")
+def program_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """The length of each eigenvector, and of G v less its eigenvalue times v."""
+    b = embeddings_bundle(spark, d)
+    g = commands.scaled(spatial.prepare(b, EMB_RADIUS, "sample"))[0]
+    found = commands.spatial_programs(b, EMB_RADIUS)
+    v = found.gene_programs.select("mode", "g", "eigenvector")
+    gv = g.join(v.withColumnRenamed("g", "h"), "h").groupBy("mode", "g").agg(F.sum(F.col("v") * F.col("eigenvector")).alias("gv"))
+    rows = v.join(gv, ["mode", "g"]).join(found.programs.select("mode", "eigenvalue"), "mode")
+    off = F.col("gv") - F.col("eigenvalue") * F.col("eigenvector")
+    return rows.groupBy("mode").agg(_r(F.sqrt(F.sum(F.col("eigenvector") * F.col("eigenvector")))).alias("norm"), _r(F.sqrt(F.sum(off * off))).alias("residual"))
+
+
+@register(
+    "spectral_comparison",
+    f"""WITH {_LOAD}, a AS (SELECT gene_id, mode AS mode_a, v AS x FROM load WHERE mode < 32), b AS (SELECT gene_id, mode - 32 AS mode_b, v AS y FROM load WHERE mode >= 32),
+    ea AS (SELECT mode_a, sum(x * x) AS la FROM a GROUP BY 1), eb AS (SELECT mode_b, sum(y * y) AS lb FROM b GROUP BY 1),
+    c AS (SELECT mode_a, mode_b, sum(x * y) / (sqrt(any_value(la)) * sqrt(any_value(lb))) AS cosine FROM a JOIN b USING (gene_id) JOIN ea USING (mode_a) JOIN eb USING (mode_b) GROUP BY 1, 2),
+    best AS (SELECT *, row_number() OVER (PARTITION BY mode_a ORDER BY abs(cosine) DESC, mode_b) AS r FROM c),
+    sums AS (SELECT mode_a, sum(cosine * cosine * lb) AS s FROM c JOIN eb USING (mode_b) GROUP BY 1)
+    SELECT mode_a AS program_a, mode_b AS best_program_b, round(cosine, 6) + 0.0 AS signed_cosine, round(abs(cosine), 6) + 0.0 AS absolute_cosine, round(la, 5) + 0.0 AS eigenvalue_a, round(lb, 5) + 0.0 AS eigenvalue_b,
+           round(la / (SELECT sum(la) FROM ea), 6) + 0.0 AS spectral_fraction_a, round(lb / (SELECT sum(lb) FROM eb), 6) + 0.0 AS spectral_fraction_b,
+           round(s, 5) + 0.0 AS signed_spectral_score_b, round(s, 5) + 0.0 AS absolute_spectral_score_b
+    FROM best JOIN ea USING (mode_a) JOIN eb USING (mode_b) JOIN sums USING (mode_a) WHERE r = 1""",
+)
+def spectral_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of a comparison but the overlap of subspaces, which needs an inverse."""
+    rows = _loadings(spark, d).select("gene_id", "mode", "v")
+    a, b = rows.where("mode < 32"), rows.where("mode >= 32").withColumn("mode", F.col("mode") - 32)
+    eigen = lambda df: df.groupBy("mode").agg(F.sum(F.col("v") * F.col("v")).alias("eigenvalue"))
+    pairs = cut(ranking.compare_components(a, b))
+    found = ranking.spectral_comparison(pairs, eigen(a), eigen(b), ranking.subspace_overlap(pairs, ranking.compare_components(b, b))).drop("subspace_overlap_b")
+    digits = {"eigenvalue_a": 5, "eigenvalue_b": 5, "signed_spectral_score_b": 5, "absolute_spectral_score_b": 5}
+    return found.select(*[F.col(c) if c.endswith("program_a") or c.endswith("program_b") else _r(F.col(c), digits.get(c, 6)).alias(c) for c in found.columns])
+
+
+_TOP = "SELECT mode, gene_id, round(v, 6) + 0.0 AS score, row_number() OVER (PARTITION BY mode ORDER BY {}, gene_id) AS rank FROM load QUALIFY rank <= 8"
+
+
+@register(
+    "gene_report",
+    f"""WITH {_LOAD}, x AS ({_TOP.format("abs(v) DESC")}), p AS ({_TOP.format("v DESC")}), n AS ({_TOP.format("v ASC")})
+    SELECT mode, rank::BIGINT AS rank, x.gene_id AS abs_gene, x.score AS abs_score, p.gene_id AS pos_gene, p.score AS pos_score, n.gene_id AS neg_gene, n.score AS neg_score
+    FROM x JOIN p USING (mode, rank) JOIN n USING (mode, rank)""",
+)
+def gene_report(spark: SparkSession, d: str) -> DataFrame:
+    found = ranking.gene_report(_loadings(spark, d).select("mode", "gene_id", F.col("v").alias("score")))
+    return found.withColumns({"rank": F.col("rank").cast("long"), **{f"{k}_score": _r(F.col(f"{k}_score")) for k in ("abs", "pos", "neg")}})
+
+
+@register("union_samples", f"WITH {EMB} SELECT substr(sample_id, 2, 1) AS sample_id, spot_id || '-' || substr(sample_id, 2, 1) AS spot_id, gene_id, value FROM w WHERE gene_id IN (SELECT gene_id FROM genes)")
+def union_of_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of a bundle taken apart and put side by side again."""
+    b = embeddings_bundle(spark, d)
+    return union_samples({s: b.keep_spots(b.spots.where(F.col("sample_id") == f"S{s}")) for s in "012"}).expression.select("sample_id", "spot_id", "gene_id", "value")
+
+
 # Whole commands: eigenvectors and clusters have no SQL.
 
 register("spatial_programs")(lambda spark, d: commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
@@ -401,6 +488,21 @@ register("shared_programs")(lambda spark, d: commands.shared_programs(embeddings
 register("differential_sample_programs")(lambda spark, d: commands.differential_sample_programs(embeddings_bundle(spark, d), ["S0"], ["S1", "S2"], EMB_RADIUS).gene_programs)
 register("differential_label_programs")(lambda spark, d: reduce(DataFrame.unionByName, [x.gene_programs for x in commands.differential_programs_by_label(embeddings_bundle(spark, d), EMB_RADIUS).values()]))
 register("marker_programs")(lambda spark, d: commands.marker_programs(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
-register("gene_scores")(lambda spark, d: commands.gene_scores(embeddings_bundle(spark, d), EMB_RADIUS))
 register("cluster_genes")(lambda spark, d: commands.cluster_genes(commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS)))
 register("cluster_spots")(lambda spark, d: commands.cluster_spots(commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS)))
+register("label_programs")(lambda spark, d: reduce(DataFrame.unionByName, [x.gene_programs for x in commands.label_programs(embeddings_bundle(spark, d), EMB_RADIUS).values()]))
+register("marker_programs_between_samples")(lambda spark, d: commands.marker_programs(embeddings_bundle(spark, d), EMB_RADIUS, "samples", covariates=["log_total_counts"]).gene_programs)
+
+
+def _two(spark: SparkSession, d: str) -> tuple[commands.Programs, commands.Programs]:
+    b = embeddings_bundle(spark, d)
+    return commands.spatial_programs(b, EMB_RADIUS), commands.shared_programs(b, EMB_RADIUS)
+
+
+register("compare_programs")(lambda spark, d: commands.compare_programs(*_two(spark, d)))
+register("compare_spot_modes")(lambda spark, d: commands.compare_spot_modes(*_two(spark, d)))
+
+
+@register("gsea")
+def gsea(spark: SparkSession, d: str) -> DataFrame:
+    return commands.gsea(commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS), _ranked(spark, d)[1])
