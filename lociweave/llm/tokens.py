@@ -29,9 +29,9 @@ from tokenizers import Tokenizer
 from .words import LOWER, mix, ragged_arange
 
 #: Pieces and ids that a worker keeps at most; then it begins anew.
-KEPT_PIECES, KEPT_IDS = 1_500_000, 8_000_000
+KEPT_PIECES, KEPT_IDS = 1_000_000, 8_000_000
 #: Bytes of texts whose pieces are looked up together. A longer text goes alone.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 #: White space, controls and joiners other than the two blanks, and the sigma.
 _ODD = (
