@@ -45,6 +45,8 @@ ZERO_BITS, MANTISSA_BITS = 4, 4
 BLOCK_MEMBERS, BLOCK_SETS = 1024, 32_000_000
 #: Standard errors of an estimate that a pair may lie under the threshold and still be confirmed on sets.
 SLACK = 6.0
+#: Members of a block whose sets are held against one set at a time.
+TOGETHER = 64
 
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,25 +108,25 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def chance_matches(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The share of registers that agree by chance between unlike sets of these sizes: equal leading zeros, then equal mantissas."""
-    levels = np.arange(1 << ZERO_BITS)
+def zero_levels(n: np.ndarray) -> np.ndarray:
+    """For sets of these sizes, the share of registers at each count of leading zeros."""
+    load = np.maximum(1.0, np.asarray(n, float) / REGISTERS)[..., None]
+    above = (1 - np.exp2(-np.arange(1 << ZERO_BITS))) ** load  # no hash of the bucket has so many leading zeros
+    return np.diff(np.concatenate([above, np.ones_like(load)], axis=-1), axis=-1)
 
-    def spread(n: np.ndarray) -> np.ndarray:
-        load = np.maximum(1.0, np.asarray(n, float) / REGISTERS)[..., None]
-        above = (1 - np.exp2(-levels)) ** load  # no hash of the bucket has so many leading zeros
-        return np.diff(np.concatenate([above, np.ones_like(load)], axis=-1), axis=-1)
 
-    return (spread(n_a) * spread(n_b)).sum(axis=-1) / (1 << MANTISSA_BITS)
+def chance_matches(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """The share of registers that agree by chance between unlike sets of these sizes: equal leading zeros, then equal mantissas."""
+    return (zero_levels(n_a) * zero_levels(n_b)).sum(axis=-1) / (1 << MANTISSA_BITS)
 
 
-def estimate(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def estimate(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, chance: np.ndarray | None = None) -> np.ndarray:
     """Jaccard similarity from the number of agreeing registers, corrected for chance collisions."""
-    chance = chance_matches(n_a, n_b)
+    chance = chance_matches(n_a, n_b) if chance is None else chance
     return (agree / REGISTERS - chance) / (1 - chance)
 
 
-def worth_confirming(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+def worth_confirming(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, chance: np.ndarray | None = None) -> np.ndarray:
     """False only where sizes rule a link out, or the estimate lies ``SLACK`` standard errors under the threshold.
 
     Few distinct hashes make many equal registers, so the error follows the smaller of the set's and the registers' number.
@@ -132,7 +134,7 @@ def worth_confirming(agree: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thresh
     n = np.minimum(REGISTERS, np.minimum(n_a, n_b))
     error = np.sqrt(threshold * (1 - threshold) / np.maximum(n, 1)) * np.where(n < REGISTERS, 1.5, 1.0)
     sizes = np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9
-    return sizes & (estimate(agree, n_a, n_b) >= threshold - SLACK * error)
+    return sizes & (estimate(agree, n_a, n_b, chance) >= threshold - SLACK * error)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -226,39 +228,49 @@ def _confirm_stars(percent: int):
     return run
 
 
+def block_links(rows: list[dict], left: int, right: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all components of one block that links connect: left members with right ones, by registers, then on sets."""
+    regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint8).reshape(-1, REGISTERS)
+    hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
+    sizes = np.array([len(r["hashes"]) // 8 for r in rows])
+    first = np.cumsum(sizes) - sizes
+    levels = zero_levels(sizes)
+    ids = [r["doc"] for r in rows]
+    side = np.array([r["part"] for r in rows])
+    values, member_of, counts = np.unique([r["component"] for r in rows], return_inverse=True, return_counts=True)
+    root = np.arange(len(values))  # of each component
+    largest = np.argmax(counts) if left == right else -1  # its pairs are met from the other components' side
+    open_ = side == right
+    found = []
+    for i in np.flatnonzero((side == left) & (member_of != largest)):
+        others = np.flatnonzero(open_ & (root[member_of] != root[member_of[i]]))
+        agree = (regs[others] == regs[i]).sum(axis=1, dtype=np.int16)
+        chance = levels[others] @ levels[i] / (1 << MANTISSA_BITS)
+        likely = worth_confirming(agree, sizes[i], sizes[others], percent / 100, chance)
+        likely = others[likely][np.argsort(-agree[likely], kind="stable")]
+        own = hashes[first[i] : first[i] + sizes[i]]
+        while len(likely):
+            now, likely = likely[:TOGETHER], likely[TOGETHER:]
+            theirs = np.concatenate([hashes[first[j] : first[j] + sizes[j]] for j in now])
+            same = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(same, np.cumsum(sizes[now]) - sizes[now], dtype=np.int64)
+            for j in now[100 * both >= percent * (sizes[i] + sizes[now] - both)]:
+                a, b = sorted((root[member_of[i]], root[member_of[j]]))
+                if a != b:
+                    root[root == b] = a
+                    found.append((ids[i], ids[j]))
+            likely = likely[root[member_of[likely]] != root[member_of[i]]]
+        if left == right:
+            open_[i] = False  # all its pairs have been met
+    return found
+
+
 def _confirm_blocks(percent: int):
-    """Rows of one (key, left, right) block at a time: links between components, compared by registers, then on sets."""
+    """Rows of one (key, left, right) block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, left, right), rows in _runs(batches, ("key", "left", "right")):
-            regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint8).reshape(-1, REGISTERS)
-            sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-            sizes = np.array([len(s) for s in sets])
-            ids = [r["doc"] for r in rows]
-            side = np.array([r["part"] for r in rows])
-            root = {r["component"]: r["component"] for r in rows}
-
-            def top(c: int, root: dict = root) -> int:
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            parts = np.array([r["component"] for r in rows])
-            values, sizes_of = np.unique(parts, return_counts=True)
-            largest = values[np.argmax(sizes_of)] if left == right else None
-            found = []
-            for i in np.flatnonzero(side == left):
-                if parts[i] == largest:
-                    continue  # its pairs with other components are met from their side
-                others = np.flatnonzero((side == right) & (parts != parts[i]))
-                agree = (regs[others] == regs[i]).sum(axis=1)
-                likely = worth_confirming(agree, np.full(len(others), sizes[i]), sizes[others], percent / 100)
-                for j in others[likely][np.argsort(-agree[likely], kind="stable")]:
-                    a, b = top(parts[i]), top(parts[j])
-                    if a != b and linked(sets[i], sets[j], percent):
-                        root[max(a, b)] = min(a, b)
-                        found.append((ids[i], ids[j]))
-            if found:
+            if found := block_links(rows, left, right, percent):
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 

@@ -633,3 +633,27 @@ def test_near_duplicates_with_repeated_and_missing_ids(spark, monkeypatch):
     for order in (df, df.orderBy(F.desc("doc_id")).repartition(7)):
         got = sorted(((r["doc_id"], r["component_id"]) for r in hyperminhash.near_duplicates(order).collect()), key=str)
         assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (4, 4), (None, None), (None, None), (5, 5), *[(10 + i, 1) for i in range(9)]], key=str)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_block_links_join_what_all_pairs_join(sides):
+    """Blocks of members near the threshold, some of them in one component already, against every pair's sets."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(120)[: rng.integers(90, 121)]], rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(150)]
+    first = np.cumsum([0, *map(len, sets)])
+    regs = hyperminhash.registers(np.concatenate(sets), first)
+    component = [0 if i < 40 else i for i in range(len(sets))]
+    rows = [{"doc": i, "component": component[i], "part": i % sides, "regs": regs[i].tobytes(), "hashes": s.tobytes()} for i, s in enumerate(sets)]
+
+    def joined(links):
+        root = list(component)
+        for u, v in links:
+            a, b = sorted((root[u], root[v]))
+            root = [a if x == b else x for x in root]
+        return root
+
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sides == 1 or i % 2 != j % 2]
+    links = [(i, j) for i, j in pairs if hyperminhash.linked(sets[i], sets[j], 80)]
+    assert 0 < len(links) < len(pairs)
+    assert joined(hyperminhash.block_links(rows, 0, sides - 1, 80)) == joined(links)
