@@ -243,17 +243,15 @@ def paths(graph: DataFrame, work: Workspace, least: int = LEAST, longest: int =
     into = edge.withColumn("v", F.substring_index("e", " ", 1 - longest)).join(node, ["lang", "v", "n"])
     out = edge.select("lang", F.col("e").alias("next"), "n", F.substring_index("e", " ", longest - 1).alias("v")).join(node, ["lang", "v", "n"])
     links = into.join(out, ["lang", "v", "n"]).select("lang", F.col("next").alias("e"), F.col("e").alias("back"))
-    way = work.table(edge.join(links, ["lang", "e"], "left").select("lang", "e", "n", "back", F.col("back").isNotNull().cast("long").alias("steps")), "way-0")
-    turn = 0
+    # back: an edge ``steps`` before, null at the chain's first one, which is then in ``head``
+    start = edge.join(links, ["lang", "e"], "left").select("lang", "e", "n", "back", F.col("back").isNotNull().cast("long").alias("steps"), F.when(F.col("back").isNull(), F.col("e")).alias("head"))
+    way, turn = work.table(start, "way-0"), 0
     while not way.where("back IS NOT NULL").isEmpty():
-        further = way.select("lang", F.col("e").alias("back"), F.col("back").alias("far"), F.col("steps").alias("more"))
-        joined = way.join(further, ["lang", "back"], "left")
-        # an edge that has come to its chain's first one keeps it in ``head``
-        head = F.when(F.col("far").isNull(), F.coalesce("back", "head")) if "head" in way.columns else F.when(F.col("far").isNull(), F.col("back"))
+        further = way.select("lang", F.col("e").alias("back"), F.col("back").alias("far"), F.col("steps").alias("more"), F.col("head").alias("there"))
         turn += 1
-        way = work.table(joined.select("lang", "e", "n", F.col("far").alias("back"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), head.alias("head")), f"way-{turn}")
-    head = F.coalesce("head", "e") if "head" in way.columns else F.col("e")
-    chains = way.groupBy("lang", head.alias("head")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("steps", F.substring_index("e", " ", -1).alias("w")))).alias("rest"))
+        moved = way.join(further, ["lang", "back"], "left").select("lang", "e", "n", F.col("far").alias("back"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("head", "there").alias("head"))
+        way = work.table(moved, f"way-{turn}")
+    chains = way.groupBy("lang", "head").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("steps", F.substring_index("e", " ", -1).alias("w")))).alias("rest"))
     tail = F.array_join(F.slice(F.col("rest.w"), F.lit(2), F.size("rest")), " ")
     return chains.select("lang", "n", (F.size("rest") + longest - 1).alias("words"), F.concat_ws(" ", "head", F.when(F.size("rest") > 1, tail)).alias("phrase"))
 
