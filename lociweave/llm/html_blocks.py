@@ -48,6 +48,7 @@ RAW = frozenset("script style noscript iframe textarea".split())
 SKIPPED = RAW | frozenset("template svg select object canvas".split())
 #: Elements that the start of a block ends, where they are open.
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_LISTS = ("ul", "ol", "dl", "table")
 
 #: A quote opens a value only right after an equals sign, and only where another one ends it.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.DOTALL)
@@ -62,10 +63,48 @@ PAGES, EPOCHS = 700, 5
 CELLS, PART = 40_000, 5_000
 
 
+class Path:
+    """Tags and names above a block, each once: those that an element adds to the path ``above`` it. Blocks share the paths above them."""
+
+    __slots__ = ("above", "added", "size", "table", "total")
+
+    def __init__(self, above: Path | None, added: tuple[str, ...]):
+        self.above, self.added, self.size, self.table, self.total = above, added, len(added) + (above.size if above else 0), None, None
+
+    def vector(self, table: np.ndarray) -> np.ndarray:
+        """The sum of the entries' rows of ``table``, from the sum of the path above; kept for as long as ``table`` is the same."""
+        chain, at = [], self
+        while at is not None and at.table is not table:
+            chain.append(at)
+            at = at.above
+        total = at.total if at is not None else np.zeros(table.shape[1])
+        for node in reversed(chain):
+            for x in node.added:
+                total = total + table[_hash(x, PATHS)]
+            node.table, node.total = table, total
+        return total
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[str]:
+        chain, at = [], self
+        while at is not None:
+            chain.append(at.added)
+            at = at.above
+        return (x for added in reversed(chain) for x in added)
+
+    def __eq__(self, other: object) -> bool:
+        return tuple(self) == tuple(other)
+
+    def __hash__(self) -> int:
+        return hash(tuple(self))
+
+
 class Block(NamedTuple):
     """``path``: each tag and name above the block once; ``leaf``: the last of them."""
 
-    path: tuple[str, ...]
+    path: Path
     leaf: str
     text: str
     link_chars: int
@@ -127,38 +166,35 @@ def _tokens(page: str) -> tuple[list[Token], dict[int, int]]:
 
 
 class _Stack:
-    """Open elements, and how often each tag, and each tag or name of the path, is among them: no step looks at the whole path."""
+    """Open elements, the places of each tag among them, and how often each tag or name of the path is there: no step looks at the whole path."""
 
     def __init__(self):
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.tags: Counter[str] = Counter()
-        self.entries: dict[str, int] = {}
-        self.known: tuple[str, ...] | None = ()
+        self.open: list[tuple[str, tuple[str, ...], Path]] = []
+        self.places: dict[str, list[int]] = {}
+        self.entries: Counter[str] = Counter()
+        self.path = Path(None, ())
 
     def push(self, tag: str, names: tuple[str, ...]) -> None:
-        self.open.append((tag, names))
-        self.tags[tag] += 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, names, self.path))
+        added = []
         for x in (tag, *names):
-            n = self.entries.get(x, 0)
-            self.entries[x] = n + 1
-            if not n:
-                self.known = None
+            if not self.entries[x]:
+                added.append(x)
+            self.entries[x] += 1
+        if added:
+            self.path = Path(self.path, tuple(added))
 
     def pop(self) -> str:
-        tag, names = self.open.pop()
-        self.tags[tag] -= 1
+        tag, names, self.path = self.open.pop()
+        self.places[tag].pop()
         for x in (tag, *names):
-            if self.entries[x] == 1:
-                del self.entries[x]
-                self.known = None
-            else:
-                self.entries[x] -= 1
+            self.entries[x] -= 1
         return tag
 
-    def path(self) -> tuple[str, ...]:
-        if self.known is None:
-            self.known = tuple(self.entries)
-        return self.known
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags, -1 if there is none."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
 
     def leaf(self) -> str:
         return (self.open[-1][1] or self.open[-1][:1])[-1] if self.open else ""
@@ -175,7 +211,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal held, links
         if held and (text := " ".join("".join(held).split())):
-            out.append(Block(stack.path(), stack.leaf(), text, links))
+            out.append(Block(stack.path, stack.leaf(), text, links))
         held, links = [], 0
 
     def add(raw: str) -> None:
@@ -183,7 +219,7 @@ def blocks(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
-            if stack.tags["a"]:
+            if stack.places.get("a"):
                 links += len(text)
 
     tokens, pairs = _tokens(page)
@@ -208,17 +244,16 @@ def blocks(page: str) -> list[Block]:
             elif name not in RAW and not (rest.rstrip().endswith("/") and name == "svg"):
                 unclosed = True
         elif closing:
-            if stack.tags[name]:
+            if stack.places.get(name):
                 while stack.pop() != name:
                     pass
         elif name not in VOID and name not in SKIPPED:
             if name in BLOCK:
                 ends = _CLOSED_BY.get(name, ()) or ("p",)
-                if any(stack.tags[x] for x in ends):
-                    open_ = next(k for k in range(len(stack.open) - 1, -1, -1) if stack.open[k][0] in ends)
-                    if ends == ("p",) or not any(t in ("ul", "ol", "dl", "table") for t, _ in stack.open[open_:]):
-                        while len(stack.open) > open_:
-                            stack.pop()
+                open_ = stack.last(ends)
+                if open_ >= 0 and (ends == ("p",) or stack.last(_LISTS) < open_):
+                    while len(stack.open) > open_:
+                        stack.pop()
             stack.push(name, tuple(f".{x}" for g in _NAMES.findall(rest) for x in _SPLIT.split("".join(g).lower()) if x) if "=" in rest else ())
     if not unclosed:
         add(page[at:])
@@ -248,14 +283,15 @@ class Inputs(NamedTuple):
     numbers: np.ndarray
 
 
-def describe(pages: list[list[Block]], first: int = 0, last: int | None = None) -> Inputs:
-    """Of the pages' blocks, or of those with places ``first`` to ``last`` in each page."""
+def describe(pages: list[list[Block]], first: int = 0, last: int | None = None, bags: bool = True) -> Inputs:
+    """Of the pages' blocks, or of those with places ``first`` to ``last`` in each page. Without ``bags``, paths are left out."""
     paths, path_ends, words, word_ends, numbers = [], [0], [], [0], []
     for page in pages:
         total = len(page)
         for k, b in enumerate(page[first:last], first):
-            paths += [_hash(x, PATHS) for x in b.path] + [_hash(f"leaf {b.leaf}", PATHS)]  # of wrappers as deep as they come, each kind once
-            path_ends.append(len(paths))
+            if bags:
+                paths += [*(_hash(x, PATHS) for x in b.path), _hash(f"leaf {b.leaf}", PATHS)]  # of wrappers as deep as they come, each kind once
+                path_ends.append(len(paths))
             split = b.text.lower().split()
             words += [_hash(w.strip(".,:;!?()\"'"), WORDS) for w in split]
             word_ends.append(len(words))
@@ -334,8 +370,16 @@ class Labeller:
         top = np.concatenate([hf[step, pages], hb[step, pages], rows], axis=1)
         return x, step, pages, kf, kb, top, top @ self.w["o"] + self.w["ob"]
 
-    def _rows(self, inputs: Inputs) -> np.ndarray:
-        return np.concatenate([_bag(self.w["p"], inputs.paths, inputs.path_ends), _bag(self.w["v"], inputs.words, inputs.word_ends), inputs.numbers], axis=1)
+    def _rows(self, inputs: Inputs, paths: np.ndarray | None = None) -> np.ndarray:
+        paths = _bag(self.w["p"], inputs.paths, inputs.path_ends) if paths is None else paths
+        return np.concatenate([paths, _bag(self.w["v"], inputs.words, inputs.word_ends), inputs.numbers], axis=1)
+
+    def _described(self, pages: list[list[Block]], first: int = 0, last: int | None = None) -> np.ndarray:
+        """``_rows`` of blocks, with the paths' means from sums that blocks share."""
+        table, own = self.w["p"], [b for page in pages for b in page[first:last]]
+        leaves = table[[_hash(f"leaf {b.leaf}", PATHS) for b in own]]
+        paths = (np.array([b.path.vector(table) for b in own]) + leaves) / np.array([[len(b.path) + 1] for b in own])
+        return self._rows(describe(pages, first, last, bags=False), paths)
 
     def train(self, pages: list[list[Block]], labels: list[list[int]], epochs: int = EPOCHS, seed: int = 5) -> None:
         rng, count = np.random.default_rng(seed), 0
@@ -378,9 +422,9 @@ class Labeller:
         """Probabilities of pages that run as one padded batch."""
         counts = np.array([len(p) for p in own])
         if len(own) == 1:  # a long page is described in parts
-            rows = np.concatenate([self._rows(describe(own, k, k + PART)) for k in range(0, len(own[0]), PART)])
+            rows = np.concatenate([self._described(own, k, k + PART) for k in range(0, len(own[0]), PART)])
         else:
-            rows = self._rows(describe(own))
+            rows = self._described(own)
         pages = np.repeat(np.arange(len(counts)), counts)
         step = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
         x, live = np.zeros((int(counts.max()), len(counts), rows.shape[1])), np.zeros((int(counts.max()), len(counts)))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from typing import ClassVar
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Workspaces that the innermost ``scratch`` block of this thread has seen opened.
+_opened: ContextVar[list[Workspace] | None] = ContextVar("opened", default=None)
+
+
 class Workspace:
     """Tables that cut lineage, as Parquet in the shared folder: a lost executor costs the running stage only.
 
@@ -34,12 +38,11 @@ class Workspace:
     when the result is written, calls ``remove`` or leaves a ``scratch`` block.
     """
 
-    opened: ClassVar[list[Workspace]] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.opened.append(self)
+        if (opened := _opened.get()) is not None:
+            opened.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what was written; the schema is known, so nothing is inferred."""
@@ -54,8 +57,6 @@ class Workspace:
     def remove(self) -> None:
         """Delete all tables."""
         self._delete(self.path)
-        if self in self.opened:
-            self.opened.remove(self)
 
     def _delete(self, path: str) -> None:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,12 +65,14 @@ class Workspace:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Removes, at its end, the workspaces that were opened inside."""
-    before = list(Workspace.opened)
+    """Removes, at its end, the workspaces that this thread opened inside; other threads' tables stay."""
+    mine: list[Workspace] = []
+    token = _opened.set(mine)
     try:
         yield
     finally:
-        for w in [w for w in Workspace.opened if w not in before]:
+        _opened.reset(token)
+        for w in mine:
             w.remove()
 
 
