@@ -124,7 +124,7 @@ def keep(docs: DataFrame) -> DataFrame:
     Spark would push the filter below the statistics and write out each of them wherever the verdict
     names it; a row number in the same projection holds the filter above, so each is computed once.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    rows = docs.select(F.struct(*["`" + c.replace("`", "``") + "`" for c in docs.columns]).alias("_row"), F.col("text"))
     judged = judge(rows).withColumn("_id", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("_id") >= 0)).select("_row.*")
 
