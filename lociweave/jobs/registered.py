@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -394,6 +393,22 @@ def gsea_running_sum(spark: SparkSession, d: str) -> DataFrame:
     return enrichment.running_enrichment(ranked, sets).withColumn("enrichment", _r(F.col("enrichment")))
 
 
+@register(
+    "gsea_leading_edge",
+    f"""WITH {EMB}, {_RANKED}, sets AS (SELECT 'set' || (substr(gene_id, 2)::INT % 3) AS set_name, gene_id FROM genes WHERE gene_id LIKE 'G%'),
+    names AS (SELECT DISTINCT set_name FROM sets),
+    rows AS (SELECT mode, set_name, gene_id, score, row_number() OVER (PARTITION BY mode, set_name ORDER BY score DESC, gene_id) AS rank, (SELECT count(*) FROM sets s WHERE s.set_name = names.set_name AND s.gene_id = ranked.gene_id) AS inside FROM ranked, names),
+    tot AS (SELECT mode, set_name, count(*) AS n, sum(inside) AS size, sum(inside * abs(score)) AS weight FROM rows GROUP BY 1, 2),
+    run AS (SELECT r.*, size, sum(inside * abs(score) / weight - (1 - inside) / (n - size)::DOUBLE) OVER (PARTITION BY r.mode, r.set_name ORDER BY rank) AS s, inside * abs(score) / weight AS step FROM rows r JOIN tot USING (mode, set_name)),
+    hits AS (SELECT *, s - step AS before FROM run WHERE inside = 1 AND size BETWEEN 15 AND 500),
+    ends AS (SELECT mode, set_name, max(s) AS top, min(before) AS bottom, arg_max(rank, s) AS peak, arg_min(rank, before) AS trough FROM hits GROUP BY 1, 2)
+    SELECT mode, set_name, string_agg(gene_id, ',' ORDER BY rank) AS leading FROM hits JOIN ends USING (mode, set_name) WHERE CASE WHEN top >= -bottom THEN rank <= peak ELSE rank >= trough END GROUP BY 1, 2""",
+)
+def gsea_leading_edge(spark: SparkSession, d: str) -> DataFrame:
+    ranked, sets = _ranked(spark, d)
+    return enrichment.leading_edges(ranked, sets).select("mode", "set_name", F.array_join("leading", ",").alias("leading"))
+
+
 # What whole commands must give whatever the eigenvectors' signs: traces, residuals, scores.
 
 _WT = "wt AS (SELECT part, 1 / greatest(sum(variance), 1e-12) AS weight FROM diag GROUP BY 1)"
@@ -424,11 +439,11 @@ def contrast_program_trace(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("program_residuals", f"WITH {EMB} SELECT m::INT AS mode, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS residual FROM (SELECT unnest(range(0, least(8, count(DISTINCT gene_id)))) AS m FROM w)")
-def program_residuals(spark: SparkSession, d: str) -> DataFrame:
+def program_residuals(spark: SparkSession, d: str, **options) -> DataFrame:
     """The length of each eigenvector, and of G v less its eigenvalue times v."""
     b = embeddings_bundle(spark, d)
     g = commands.scaled(spatial.prepare(b, EMB_RADIUS, "sample"))[0]
-    found = commands.spatial_programs(b, EMB_RADIUS)
+    found = commands.spatial_programs(b, EMB_RADIUS, **options)
     v = found.gene_programs.select("mode", "g", "eigenvector")
     gv = g.join(v.withColumnRenamed("g", "h"), "h").groupBy("mode", "g").agg(F.sum(F.col("v") * F.col("eigenvector")).alias("gv"))
     rows = v.join(gv, ["mode", "g"]).join(found.programs.select("mode", "eigenvalue"), "mode")
@@ -436,6 +451,76 @@ def program_residuals(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("mode").agg(_r(F.sqrt(F.sum(F.col("eigenvector") * F.col("eigenvector")))).alias("norm"), _r(F.sqrt(F.sum(off * off))).alias("residual"))
 
 
+_FREE = {"solver": "free", "tolerance": 1e-10}
+
+
+@register("program_residuals_free", SQL["program_residuals"])
+def program_residuals_free(spark: SparkSession, d: str) -> DataFrame:
+    """As ``program_residuals``, by the solver that makes no table of genes by genes."""
+    return program_residuals(spark, d, **_FREE)
+
+
+@register("shared_program_trace_free", SQL["shared_program_trace"])
+def shared_program_trace_free(spark: SparkSession, d: str) -> DataFrame:
+    found = commands.shared_programs(embeddings_bundle(spark, d), EMB_RADIUS, k=62, **_FREE)
+    return found.programs.agg(F.count("*").alias("modes"), _r(F.sum("eigenvalue") * 1e6, 4).alias("trace"))
+
+
+def _label_variance(side: str) -> str:
+    """CTEs up to {side}_v(scope, v): the sum over genes of the spatial variance of a label's spots, or of all others, centred by sample."""
+    inside = "l.scope = s.label" if side == "own" else "l.scope <> s.label"
+    return f"""{side}_s AS (SELECT l.scope, s.sample_id, s.spot_id, count(*) OVER (PARTITION BY l.scope, s.sample_id) AS n FROM spots s JOIN labels l ON {inside}),
+    {side}_k AS (SELECT a.scope, k.sample_id, i, j, k FROM k JOIN {side}_s a ON a.spot_id = k.i JOIN {side}_s b ON b.spot_id = k.j AND b.scope = a.scope),
+    {side}_w AS (SELECT scope, w.sample_id, spot_id, gene_id, value, n FROM w JOIN {side}_s USING (sample_id, spot_id)),
+    {side}_m AS (SELECT scope, sample_id, gene_id, sum(value) / any_value(n) AS m FROM {side}_w GROUP BY 1, 2, 3),
+    {side}_kw AS (SELECT k.scope, k.sample_id, i, gene_id, sum(k * value) AS kw FROM {side}_k k JOIN {side}_w w ON w.scope = k.scope AND w.spot_id = k.j GROUP BY 1, 2, 3, 4),
+    {side}_a AS (SELECT scope, sample_id, sum(k) AS a FROM {side}_k GROUP BY 1, 2),
+    {side}_v AS (SELECT scope, sum(v) AS v FROM (
+        SELECT w.scope, sum(value * kw) AS v FROM {side}_w w JOIN {side}_kw q ON q.scope = w.scope AND q.i = w.spot_id AND q.gene_id = w.gene_id GROUP BY 1 UNION ALL
+        SELECT m.scope, -2 * sum(m * kw) FROM {side}_m m JOIN {side}_kw q USING (scope, sample_id, gene_id) GROUP BY 1 UNION ALL
+        SELECT scope, sum(a * m * m) FROM {side}_m JOIN {side}_a USING (scope, sample_id) GROUP BY 1) GROUP BY 1)"""
+
+
+_LABELS = f"WITH {EMB}, labels AS (SELECT DISTINCT label AS scope FROM spots), {_label_variance('own')}"
+_TRACE = {"k": 62, "alpha": 0.0}
+
+
+def _traces(found: commands.Programs) -> DataFrame:
+    return found.programs.groupBy("scope").agg(_r(F.sum("eigenvalue"), 1).alias("trace"))
+
+
+@register("label_program_traces", f"{_LABELS} SELECT scope, round(v, 1) + 0.0 AS trace FROM own_v")
+def label_program_traces(spark: SparkSession, d: str) -> DataFrame:
+    """All eigenvalues of each label's operator, which add up to its trace: all labels in one plan."""
+    return _traces(commands.programs_by_label(embeddings_bundle(spark, d), EMB_RADIUS, **_TRACE))
+
+
+@register("label_contrast_traces", f"{_LABELS}, {_label_variance('rest')} SELECT scope, round(o.v - r.v, 1) + 0.0 AS trace FROM own_v o JOIN rest_v r USING (scope)")
+def label_contrast_traces(spark: SparkSession, d: str) -> DataFrame:
+    """The same of each label against all others, whose neighbours are spots of the same sample and side."""
+    return _traces(commands.label_contrasts(embeddings_bundle(spark, d), EMB_RADIUS, weighting="none", **_TRACE))
+
+
+@register("label_gene_scores", f"""WITH {EMB}, labels AS (SELECT 'L1' AS scope UNION ALL SELECT 'L2'), {_label_variance('own').replace("SELECT scope, sum(v) AS v FROM (", "SELECT scope, gene_id, sum(v) AS v FROM (").replace("SELECT w.scope, sum(value * kw)", "SELECT w.scope, w.gene_id, sum(value * kw)").replace("SELECT m.scope, -2", "SELECT m.scope, gene_id, -2").replace("SELECT scope, sum(a * m * m)", "SELECT scope, gene_id, sum(a * m * m)").replace("GROUP BY 1 UNION ALL", "GROUP BY 1, 2 UNION ALL").replace("USING (scope, sample_id) GROUP BY 1) GROUP BY 1)", "USING (scope, sample_id) GROUP BY 1, 2) GROUP BY 1, 2)")}
+    SELECT scope, gene_id, round(v, 2) + 0.0 AS score, row_number() OVER (PARTITION BY scope ORDER BY v DESC, gene_id)::BIGINT AS rank FROM own_v QUALIFY rank <= 20""")
+def label_gene_scores(spark: SparkSession, d: str) -> DataFrame:
+    found = commands.gene_scores(embeddings_bundle(spark, d), EMB_RADIUS, labels="L1, L2")
+    return found.select("scope", "gene_id", _r(F.col("score"), 2).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register(
+    "preprocessed_gene_scores",
+    f"""WITH {EMB.replace("w AS (", "w0 AS (")}, w AS (SELECT sample_id, spot_id, gene_id, ln(1 + value * 1e4 / sum(value) OVER (PARTITION BY sample_id, spot_id)) AS value FROM w0
+        WHERE gene_id IN (SELECT gene_id FROM w0 JOIN spots USING (spot_id) WHERE label <> 'L3' GROUP BY 1 HAVING sum(value) >= 2100) AND spot_id IN (SELECT spot_id FROM spots WHERE label <> 'L3')),
+    labels AS (SELECT 'all' AS scope), {_label_variance('own').replace("l.scope = s.label", "s.label <> 'L3'").replace("SELECT scope, sum(v) AS v FROM (", "SELECT scope, gene_id, sum(v) AS v FROM (").replace("SELECT w.scope, sum(value * kw)", "SELECT w.scope, w.gene_id, sum(value * kw)").replace("SELECT m.scope, -2", "SELECT m.scope, gene_id, -2").replace("SELECT scope, sum(a * m * m)", "SELECT scope, gene_id, sum(a * m * m)").replace("GROUP BY 1 UNION ALL", "GROUP BY 1, 2 UNION ALL").replace("USING (scope, sample_id) GROUP BY 1) GROUP BY 1)", "USING (scope, sample_id) GROUP BY 1, 2) GROUP BY 1, 2)")}
+    SELECT scope, gene_id, round(v, 4) + 0.0 AS score, row_number() OVER (ORDER BY v DESC, gene_id)::BIGINT AS rank FROM own_v QUALIFY rank <= 20""",
+)
+def preprocessed_gene_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The chain of a command: spots by label, genes by counts, totals, transform."""
+    found = commands.gene_scores(embeddings_bundle(spark, d), EMB_RADIUS, preprocessing={"exclude": ["L3"], "min_counts": 2100, "kind": "log1p"})
+    return found.select("scope", "gene_id", _r(F.col("score"), 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @register(
     "spectral_comparison",
     f"""WITH {_LOAD}, a AS (SELECT gene_id, mode AS mode_a, v AS x FROM load WHERE mode < 32), b AS (SELECT gene_id, mode - 32 AS mode_b, v AS y FROM load WHERE mode >= 32),
@@ -486,11 +571,11 @@ register("spatial_programs")(lambda spark, d: commands.spatial_programs(embeddin
 register("spot_modes")(lambda spark, d: commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS).spot_modes)
 register("shared_programs")(lambda spark, d: commands.shared_programs(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
 register("differential_sample_programs")(lambda spark, d: commands.differential_sample_programs(embeddings_bundle(spark, d), ["S0"], ["S1", "S2"], EMB_RADIUS).gene_programs)
-register("differential_label_programs")(lambda spark, d: reduce(DataFrame.unionByName, [x.gene_programs for x in commands.differential_programs_by_label(embeddings_bundle(spark, d), EMB_RADIUS).values()]))
+register("differential_label_programs")(lambda spark, d: commands.label_contrasts(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
 register("marker_programs")(lambda spark, d: commands.marker_programs(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
 register("cluster_genes")(lambda spark, d: commands.cluster_genes(commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS)))
 register("cluster_spots")(lambda spark, d: commands.cluster_spots(commands.spatial_programs(embeddings_bundle(spark, d), EMB_RADIUS)))
-register("label_programs")(lambda spark, d: reduce(DataFrame.unionByName, [x.gene_programs for x in commands.label_programs(embeddings_bundle(spark, d), EMB_RADIUS).values()]))
+register("label_programs")(lambda spark, d: commands.programs_by_label(embeddings_bundle(spark, d), EMB_RADIUS).gene_programs)
 register("marker_programs_between_samples")(lambda spark, d: commands.marker_programs(embeddings_bundle(spark, d), EMB_RADIUS, "samples", covariates=["log_total_counts"]).gene_programs)
 
 

@@ -4,7 +4,11 @@ A step multiplies a block of vectors, a few numbers for each gene, through H D W
 as joins and sums; the block is then made orthogonal to the earlier ones, two passes over the
 rows of genes. What reaches the driver are the blocks' inner products, a few hundred numbers
 on a side whatever the number of genes or spots. Steps end when the residuals of the wanted
-modes are below a tolerance. Each step's basis is written to the shared folder.
+modes are below a tolerance. When the basis has ``WIDTH`` blocks it is drawn together to the best
+vectors in it, as many as a block has, and goes on from there with the block at hand (a thick
+restart), so a gene never carries more numbers than that. Where the basis spans all that a start
+leads to, another start goes on, so modes of value zero are found too. Each step's basis is
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
+from .programs import MODES
 from .spatial import Prepared
 
 #: Vectors of a block beyond the modes that are asked for, most steps, and residuals in shares of the largest value.
-EXTRA, STEPS, TOLERANCE = 8, 60, 1e-9
+EXTRA, STEPS, TOLERANCE = 8, 200, 1e-9
+#: Blocks in the basis at most.
+WIDTH = 5
 
 
 @dataclass(frozen=True)
@@ -113,14 +120,16 @@ def leading_modes(terms: list[Term], genes: DataFrame, k: int = 8, signed: bool
     Ends with an error if ``steps`` do not bring the residuals of all ``k`` modes below ``tolerance``.
     """
     n = genes.count()
+    if not n:
+        return genes.sparkSession.createDataFrame([], MODES)
     k = min(k, n)
     b = min(k + EXTRA, n)
-    start = F.array(*[F.xxhash64("g", F.lit(x)) / F.lit(2.0**63) for x in range(b)])
-    rows = genes.select("g", F.array().cast("array<double>").alias("q"), start.alias("y"))
+    start = lambda x: F.xxhash64("g", F.lit(x)) / F.lit(2.0**63)
+    rows = genes.select("g", F.array().cast("array<double>").alias("q"), F.array(*[start(x) for x in range(b)]).alias("y"))
     if gene_center:
         first = _centred(rows.select("g", *[F.col("y")[x].alias(f"v{x}") for x in range(b)]), genes, n, b)
         rows = first.select("g", F.array().cast("array<double>").alias("q"), F.array(*_names(b)).alias("y"))
-    small, last, width, scale = np.zeros((0, 0)), 0, 0, 1.0
+    small, last, width, scale, starts = np.zeros((0, 0)), 0, 0, 1.0, b
     for _ in range(steps):
         # the new block, orthogonal to the basis and within itself: twice, for accuracy
         factor = None
@@ -140,12 +149,18 @@ def leading_modes(terms: list[Term], genes: DataFrame, k: int = 8, signed: bool
         # Ritz values of the basis so far; ``factor`` carries the residuals
         if width:
             values, vectors = np.linalg.eigh((small + small.T) / 2)
-            order = np.argsort(-(np.abs(values) if signed else values), kind="stable")[:k]
-            left = np.linalg.norm(factor @ vectors[-last:, order], axis=0)
-            if len(order) == k and (not factor.size or left.max() <= tolerance * np.abs(values).max()):
-                return _modes(rows, values[order], vectors[:, order], signed, scope)
-            if not factor.size:
-                raise RuntimeError(f"only {width} independent modes, {k} are wanted")
+            order = np.argsort(-(np.abs(values) if signed else values), kind="stable")
+            left = np.linalg.norm(factor @ vectors[-last:, order[:k]], axis=0) if last else np.zeros(k)
+            if width >= k and (not factor.size or left.max() <= tolerance * np.abs(values).max()):
+                return _modes(rows, values[order[:k]], vectors[:, order[:k]], signed, scope)
+            if not factor.size:  # all that the starts lead to is there, and it is not enough
+                fresh = F.array(*[start(starts + x) for x in range(b)])
+                rows, last, scale, starts = cut(rows.select("g", "q", fresh.alias("y"))), 0, 1.0, starts + b
+                continue
+            if width + factor.shape[0] > WIDTH * b:
+                best = order[:b]
+                rows = cut(_mapped(rows, lambda q, y, best=vectors[:, best]: (q @ best, y), ("q", "y")))
+                small, width = np.diag(values[best]), len(best)
         size = factor.shape[0]
         block = rows.select("g", *[F.col("y")[x].alias(f"v{x}") for x in range(size)])
         inside = _centred(block, genes, n, size) if gene_center else block

@@ -99,14 +99,28 @@ def transform(expression: DataFrame, kind: str | None) -> DataFrame:
     return expression.withColumn("value", (F.log1p if kind == "log1p" else F.sqrt)("value"))
 
 
-def preprocess(bundle: Bundle, include: list | None = None, exclude: list | None = None, min_counts: float | None = 10, min_spot_fraction: float | None = None, target: float | None = 1e4, kind: str | None = None, shared: bool = False) -> Bundle:
-    """Filters, then transforms of the expression; layers are never transformed. Include goes before exclude."""
-    if include:
-        bundle = subset_by_labels(bundle, include)
-    elif exclude:
-        bundle = subset_by_labels(bundle, exclude, exclude=True)
+def filtered(bundle: Bundle, include: list | None = None, exclude: list | None = None, min_counts: float | None = 10, min_spot_fraction: float | None = None, shared: bool = False, label: str = "label") -> Bundle:
+    """Spots by label, exclude only where include is not given, and then genes by their counts, with ``shared`` in each sample."""
+    if include or exclude:
+        bundle = subset_by_labels(bundle, include or exclude, exclude=not include, label=label)
     if shared and min_counts:
-        bundle = bundle.keep_genes(shared_genes(bundle, min_counts))
-    else:
-        bundle = filter_genes(bundle, min_counts, min_spot_fraction)
+        return filter_genes(bundle.keep_genes(shared_genes(bundle, min_counts)), None, min_spot_fraction)
+    return filter_genes(bundle, min_counts, min_spot_fraction)
+
+
+def transformed(bundle: Bundle, target: float | None = 1e4, kind: str | None = None) -> Bundle:
+    """The expression scaled to a total for each spot, and transformed; layers stay."""
     return replace(bundle, expression=transform(normalise(bundle.expression, target), kind))
+
+
+#: What a command takes for its preprocessing: by ``filtered`` before covariates are found, by ``transformed`` after.
+BEFORE, AFTER = ("include", "exclude", "min_counts", "min_spot_fraction", "shared", "label"), ("target", "kind")
+
+
+def preprocess(bundle: Bundle, names: list[str] | None = None, layer: str | None = None, **options) -> tuple[Bundle, DataFrame | None]:
+    """The bundle filtered and transformed, and the covariates ``names`` of the counts between the two steps."""
+    if unknown := set(options) - {*BEFORE, *AFTER}:
+        raise ValueError(f"unknown preprocessing: {sorted(unknown)}")
+    bundle = filtered(bundle, **{k: v for k, v in options.items() if k in BEFORE})
+    found = covariates(bundle, names, layer) if names else None
+    return transformed(bundle, **{k: v for k, v in options.items() if k in AFTER}), found

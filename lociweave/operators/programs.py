@@ -20,54 +20,60 @@ def oriented(v: np.ndarray) -> np.ndarray:
     return v * np.where(positive >= negative, 1.0, -1.0)
 
 
-def leading_modes(g: DataFrame, k: int = 8, signed: bool = False, scope: str = "all") -> DataFrame:
-    """Top ``k`` eigenpairs of (g, h, v): largest values first, or with ``signed`` the largest by size.
+def leading_modes(g: DataFrame, k: int = 8, signed: bool = False, scope: str = "all", genes: DataFrame | None = None) -> DataFrame:
+    """Top ``k`` eigenpairs of (g, h, v), or of each scope's (scope, g, h, v): largest values first, or with ``signed`` the largest by size.
 
-    The table is genes by genes, whatever the number of spots; one task solves it, of ``DENSE_GENES`` genes at most.
-    ``krylov.leading_modes`` solves what is larger.
+    A table is genes by genes, whatever the number of spots; one task solves each scope's, of ``DENSE_GENES`` genes at most.
+    ``krylov.leading_modes`` solves what is larger. ``genes`` (g): all genes, where the caller knows them.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["g"].to_numpy(str), pdf["h"].to_numpy(str)]))
-        if len(names) > DENSE_GENES:
-            raise ValueError(f"{len(names)} genes: krylov.leading_modes takes more than {DENSE_GENES}")
-        m = np.zeros((len(names), len(names)))
-        m[np.searchsorted(names, pdf["g"].to_numpy(str)), np.searchsorted(names, pdf["h"].to_numpy(str))] = pdf["v"]
+    known = genes if genes is not None else g
+    names = np.array([r["g"] for r in known.select("g").distinct().orderBy("g").limit(DENSE_GENES + 1).collect()], str)
+    if len(names) > DENSE_GENES:
+        raise ValueError(f"more than {DENSE_GENES} genes: krylov.leading_modes takes them")
+    spark = g.sparkSession
+    if not len(names):
+        return spark.createDataFrame([], MODES)
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        own = np.unique(np.concatenate([x, y]))
+        m = np.zeros((len(own), len(own)))
+        m[np.searchsorted(own, x), np.searchsorted(own, y)] = pdf["v"]
         values, vectors = np.linalg.eigh((m + m.T) / 2)
-        order = np.argsort(-(np.abs(values) if signed else values), kind="stable")[: min(k, len(names))]
+        order = np.argsort(-(np.abs(values) if signed else values), kind="stable")[: min(k, len(own))]
         values, vectors = values[order], oriented(vectors[:, order])
         if not signed:
             values = np.maximum(values, 0)
         scores = vectors * np.sqrt(np.abs(values))
         n = len(order)
         return pd.DataFrame({
-            "scope": scope, "mode": np.tile(np.arange(n), len(names)), "eigenvalue": np.tile(values, len(names)), "mode_sign": np.tile(np.sign(values).astype(int), len(names)),
-            "g": np.repeat(names, n), "eigenvector": vectors.ravel(), "gene_score": scores.ravel(),
+            "scope": key[0], "mode": np.tile(np.arange(n), len(own)), "eigenvalue": np.tile(values, len(own)), "mode_sign": np.tile(np.sign(values).astype(int), len(own)),
+            "g": np.repeat(names[own], n), "eigenvector": vectors.ravel(), "gene_score": scores.ravel(),
         })
 
-    return g.select("g", "h", "v", F.lit(0).alias("one")).groupBy("one").applyInPandas(solve, MODES)
+    rows = g if "scope" in g.columns else g.withColumn("scope", F.lit(scope))
+    numbered = spark.createDataFrame([(i, str(n)) for i, n in enumerate(names)], "x int, g string")
+    rows = rows.join(numbered, "g").join(numbered.select(F.col("x").alias("y"), F.col("g").alias("h")), "h")
+    return rows.select("scope", "x", "y", "v").groupBy("scope").applyInPandas(solve, MODES)
 
 
 def gene_loadings(modes: DataFrame, scale: DataFrame, center: DataFrame | None = None) -> DataFrame:
-    """(scope, [part,] g, mode, loading): D H v / sqrt|eigenvalue|, with ``center`` (all genes) for H."""
+    """([scope,] [part,] g, mode, loading): D H v / sqrt|eigenvalue|, with ``center`` (all genes) for H. ``scale`` may be of scopes, of parts, of both or one for all."""
     v = F.col("eigenvector")
     rows = modes
     if center is not None:
         means = modes.groupBy("scope", "mode").agg((F.sum("eigenvector") / center.count()).alias("mean"))
         rows, v = modes.join(F.broadcast(means), ["scope", "mode"]), F.col("eigenvector") - F.col("mean")  # a row for each mode
     on = ["part"] if "part" in scale.columns else []
-    lifted = rows.join(scale, "g").withColumn("loading", v * F.col("d") / F.sqrt(F.greatest(F.abs("eigenvalue"), F.lit(1e-12))))
+    lifted = rows.join(scale, [*(["scope"] if "scope" in scale.columns else []), "g"]).withColumn("loading", v * F.col("d") / F.sqrt(F.greatest(F.abs("eigenvalue"), F.lit(1e-12))))
     return lifted.select("scope", *on, "g", "mode", "loading")
 
 
 def spot_modes(p: Prepared, loadings: DataFrame) -> DataFrame:
-    """(scope, part, i, mode, value): W times the loadings, on the raw values; zero for a spot of the scope without expression."""
-    on = ["part", "g"] if "part" in loadings.columns else ["g"]
-    found = p.w.join(loadings, on).groupBy("scope", "part", "i", "mode").agg(F.sum(F.col("value") * F.col("loading")).alias("value"))
-    empty = p.spots.join(found.select("part", "i"), ["part", "i"], "left_anti")
-    known = [F.struct(F.lit(r["scope"]).alias("scope"), F.lit(r["mode"]).alias("mode")) for r in loadings.select("scope", "mode").distinct().collect()]  # a few modes
-    zeros = empty.withColumn("m", F.explode(F.array(*known).cast("array<struct<scope:string,mode:int>>")))
-    return found.unionByName(zeros.select("m.scope", "part", "i", "m.mode", F.lit(0.0).alias("value")))
+    """(scope, part, i, mode, value): W times the loadings (scope, part, g, mode, loading), on the raw values; zero for a spot of the part without expression."""
+    found = p.w.join(loadings, ["part", "g"]).groupBy("scope", "part", "i", "mode").agg(F.sum(F.col("value") * F.col("loading")).alias("value"))
+    every = p.spots.join(loadings.select("scope", "part", "mode").distinct(), "part")  # a few modes for each part
+    return every.join(found, ["scope", "part", "i", "mode"], "left").select("scope", "part", "i", "mode", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def full_modes(modes: DataFrame, spots: DataFrame) -> DataFrame:

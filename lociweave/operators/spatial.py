@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.bundle import SPOT, Bundle
 from .kernel import wendland_kernel
+from .products import spot_products
 
 EPS = 1e-12
 
@@ -36,13 +37,26 @@ class Prepared:
     spots: DataFrame | None = None
 
 
-def prepare(bundle: Bundle, radius: float, center: str = "sample", per_sample: bool = False, layer: str | None = None, covariates: DataFrame | None = None) -> Prepared:
-    """``center``: none, sample or label. Spot ids are unique over the samples."""
+def prepare(
+    bundle: Bundle, radius: float, center: str = "sample", per_sample: bool = False, layer: str | None = None, covariates: DataFrame | None = None, members: DataFrame | None = None,
+) -> Prepared:
+    """``center``: none, sample or label. Spot ids are unique over the samples.
+
+    ``members`` (sample_id, spot_id, part): parts of any kind, which may overlap; neighbours are spots of one sample and
+    one part, and groups are samples or labels within a part.
+    """
     if center not in ("none", "sample", "label"):
         raise ValueError(f"unknown centring {center!r}")
-    part = (F.col("sample_id") if per_sample else F.lit("all")).alias("part")
-    w = bundle.matrix(layer).select(part, F.col("spot_id").alias("i"), F.col("gene_id").alias("g"), "value")
-    k = wendland_kernel(bundle.coords, radius).select(part, "i", "j", "k")
+    part, matrix = (F.col("sample_id") if per_sample else F.lit("all")).alias("part"), bundle.matrix(layer)
+    if members is not None:
+        part, of = F.col("part"), lambda df: df.drop("part").join(members, SPOT)
+        bundle, matrix = replace(bundle, spots=of(bundle.spots)), of(matrix)
+        covariates = of(covariates) if covariates is not None else None
+        inside = of(bundle.coords).withColumn("sample_id", F.struct("part", "sample_id"))  # the part is a key of the radius join
+        k = wendland_kernel(inside, radius).select("sample_id.part", "i", "j", "k")
+    else:
+        k = wendland_kernel(bundle.coords, radius).select(part, "i", "j", "k")
+    w = matrix.select(part, F.col("spot_id").alias("i"), F.col("gene_id").alias("g"), "value")
     groups = None
     if center != "none":
         name = F.col("sample_id") if center == "sample" else F.concat_ws("|", "sample_id", F.coalesce(F.col("label").cast("string"), F.lit("\0")))
@@ -50,17 +64,11 @@ def prepare(bundle: Bundle, radius: float, center: str = "sample", per_sample: b
         groups = rows.join(rows.groupBy("part", "c").agg(F.count("*").alias("n_c")), ["part", "c"]).select("part", "i", "c", "n_c")
     made = Prepared(w, k, groups, bundle.genes.select(F.col("gene_id").alias("g")), spots=bundle.spots.select(part, F.col("spot_id").alias("i")))
     if covariates is not None:
-        flat = covariates.select(part, F.col("spot_id").alias("i"), *[c for c in covariates.columns if c not in SPOT])
+        flat = covariates.select(part, F.col("spot_id").alias("i"), *[c for c in covariates.columns if c not in (*SPOT, "part")])
         made = replace(made, basis=orthonormal(made, flat))
     return made
 
 
-def smoothed(p: Prepared) -> DataFrame:
-    """kw(part, i, g, kw): neighbours' values, weighted; aggregated before anything else meets it."""
-    near = p.k.join(p.w.withColumnRenamed("i", "j"), ["part", "j"])
-    return near.groupBy("part", "i", "g").agg(F.sum(F.col("k") * F.col("value")).alias("kw"))
-
-
 def orthonormal(p: Prepared, covariates: DataFrame, tol: float = 1e-10) -> DataFrame:
     """(part, i, ix, q): an orthonormal basis of the centred covariates of each part.
 
@@ -113,11 +121,12 @@ def group_means(p: Prepared) -> DataFrame:
     return p.w.join(p.groups, ["part", "i"]).groupBy("part", "c", "g").agg((F.sum("value") / F.first("n_c")).alias("m"))
 
 
-def _group_sums(p: Prepared, kw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _group_sums(p: Prepared) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Group means, group sums of KW, and kernel mass times means; from what each spot has of the kernel in each group."""
     m = group_means(p)
-    c = kw.join(p.groups, ["part", "i"]).groupBy("part", "c", "g").agg(F.sum("kw").alias("cc"))
-    gi, gj = p.groups.select("part", "i", F.col("c").alias("c1")), p.groups.select("part", F.col("i").alias("j"), F.col("c").alias("c2"))
-    a = p.k.join(gi, ["part", "i"]).join(gj, ["part", "j"]).groupBy("part", "c1", "c2").agg(F.sum("k").alias("a"))
+    mass = p.k.join(p.groups.select("part", "i", "c"), ["part", "i"]).groupBy("part", F.col("j").alias("i"), "c").agg(F.sum("k").alias("a"))
+    c = p.w.join(mass, ["part", "i"]).groupBy("part", "c", "g").agg(F.sum(F.col("a") * F.col("value")).alias("cc"))
+    a = mass.withColumnRenamed("c", "c1").join(p.groups.select("part", "i", F.col("c").alias("c2")), ["part", "i"]).groupBy("part", "c1", "c2").agg(F.sum("a").alias("a"))
     am = a.join(m.withColumnRenamed("c", "c2"), ["part", "c2"]).groupBy("part", F.col("c1").alias("c"), "g").agg(F.sum(F.col("a") * F.col("m")).alias("am"))
     return m, c, am
 
@@ -134,10 +143,9 @@ def _loads(p: Prepared) -> tuple[DataFrame, DataFrame]:
 
 def spatial_variance(p: Prepared) -> DataFrame:
     """(part, g, variance): the diagonal of W'SW for every gene with a count; the variance of other genes is zero."""
-    kw = smoothed(p)
-    terms = [p.w.join(kw, ["part", "i", "g"]).select("part", "g", (F.col("value") * F.col("kw")).alias("v"))]
+    terms = [spot_products(p.w, p.k, p.genes, diagonal=True)]
     if p.groups is not None:
-        m, c, am = _group_sums(p, kw)
+        m, c, am = _group_sums(p)
         mixed = m.join(c, ["part", "c", "g"], "left").join(am, ["part", "c", "g"], "left")
         terms.append(mixed.select("part", "g", (F.col("m") * F.coalesce("am", F.lit(0.0)) - 2 * F.col("m") * F.coalesce("cc", F.lit(0.0))).alias("v")))
     if p.basis is not None:
@@ -152,12 +160,11 @@ def spatial_variance(p: Prepared) -> DataFrame:
 
 
 def gram(p: Prepared) -> DataFrame:
-    """(part, g, h, v): W'SW."""
-    kw = smoothed(p)
+    """(part, g, h, v): W'SW. Its size is genes by genes for each part: for ``programs.DENSE_GENES`` genes at most."""
     h = lambda df: df.withColumnRenamed("g", "h")
-    out = [p.w.join(h(kw), ["part", "i"]).groupBy("part", "g", "h").agg(F.sum(F.col("value") * F.col("kw")).alias("v"))]
+    out = [spot_products(p.w, p.k, p.genes)]
     if p.groups is not None:
-        m, c, am = _group_sums(p, kw)
+        m, c, am = _group_sums(p)
         mc = m.join(h(c), ["part", "c"]).groupBy("part", "g", "h").agg(F.sum(-F.col("m") * F.col("cc")).alias("v"))
         out += [mc, mc.select("part", F.col("h").alias("g"), F.col("g").alias("h"), "v")]
         out.append(m.join(h(am), ["part", "c"]).groupBy("part", "g", "h").agg(F.sum(F.col("m") * F.col("am")).alias("v")))
