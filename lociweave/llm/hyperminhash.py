@@ -22,7 +22,8 @@ The tables between the steps lie in the shared folder as Parquet. Nothing is col
 Defined results: null or empty texts have an empty set, link with nothing and are kept.
 Rows of one set of shingles are one class, named by its smallest doc_id; where rows with that
 id name several classes, these are one, and the row with the smallest hash of its text is
-compared for it. ``n_shingles`` and the class are each row's own. A null doc_id is in no component (null ids) and kept. Other columns are ignored. An empty table gives an empty table.
+compared for it. ``n_shingles`` and the class are each row's own. A null doc_id is in no component (null ids) and kept. A doc_id is a whole number, or a text
+of one; others end with Spark's cast error. Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations

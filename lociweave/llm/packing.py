@@ -12,7 +12,8 @@ the later steps read its narrow columns. Ranks come from counts of each (part, c
 class, however many pieces it has, meets in one task. A sequence has ``LENGTH`` tokens at most.
 
 Defined results: null or empty texts are the end id alone. Repeated rows are documents of
-their own. Other columns are ignored. An empty table gives no rows.
+their own. A doc_id is a whole number, or a text
+of one; others end with Spark's cast error. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Shards are written by Spark, so a lost executor's part is written again and file
 as a whole. The position of a shard follows from (part, seq).
 
 Defined results: null or empty texts are the end id alone. A null doc_id comes first;
-equal doc_ids are ordered by text. Other columns are ignored. An empty table gives no rows.
+equal doc_ids are ordered by text. A doc_id is a whole number, or a text
+of one; others end with Spark's cast error. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
