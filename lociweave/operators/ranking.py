@@ -66,11 +66,63 @@ def choose_k(eigenvalues: DataFrame, energy: float = 0.9, k_max: int = 50) -> Da
     return both.join(size, how="cross").select(F.greatest(F.lit(2), F.least("a", "b", "n")).cast("long").alias("k"))  # one row each
 
 
-def mode_clip_limits(modes: DataFrame) -> DataFrame:
+#: Values of a mode that one task's buffer holds at most, and cells that a step of ``quantiles`` cuts a range into.
+HELD, GRID = 100_000, 256
+
+
+def quantiles(rows: DataFrame, shares: tuple[float, ...], held: int = HELD) -> DataFrame:
+    """(mode, p0, p1, ..): exact quantiles of (mode, value), interpolated between neighbours in rank; no buffer holds more than ``held`` values.
+
+    For modes of more values each quantile's range is narrowed: a sketch of the range cuts it into cells, those about the
+    wanted rank become the range, and exact counts of what lies below and inside say whether the rank is in it. What
+    reaches the driver is a row for each mode and quantile.
+    """
+    spark, kind = rows.sparkSession, rows.schema["mode"].dataType.simpleString()
+    sizes = {r["mode"]: r["n"] for r in rows.groupBy("mode").agg(F.count("*").alias("n")).collect()}
+    ranks = {(m, k): p * (n - 1) for m, n in sizes.items() for k, p in enumerate(shares)}
+    # of each mode and quantile the range that has the values of both ranks about it, and how many values lie below
+    ranges = {t: (float("-inf"), float("inf"), 0, sizes[t[0]]) for t in ranks}
+    grid = F.array(*[F.lit(x / GRID) for x in range(GRID + 1)])
+
+    def inside() -> DataFrame:
+        table = spark.createDataFrame([(m, k, lo, hi) for (m, k), (lo, hi, *_) in ranges.items()], f"mode {kind}, k int, lo double, hi double")
+        return rows.join(F.broadcast(table), "mode").where("value BETWEEN lo AND hi")  # a row for each mode and quantile
+
+    wide = {t for t, x in ranges.items() if x[3] > held}
+    while wide:
+        cells = {(r["mode"], r["k"]): r["c"] for r in inside().groupBy("mode", "k").agg(F.percentile_approx("value", grid, F.lit(100 * GRID)).alias("c")).collect()}
+        reach, left = 2, set(wide)
+        tried: dict = {}
+        while left:
+            for t in left:
+                lo, hi, below, n = ranges[t]
+                at = int((ranks[t] - below) / n * GRID)
+                tried[t] = (cells[t][max(at - reach, 0)] if at > reach else lo, cells[t][min(at + 1 + reach, GRID)] if at + 1 + reach < GRID else hi)
+            table = spark.createDataFrame([(*t, *tried[t]) for t in left], f"mode {kind}, k int, a double, b double")
+            found = rows.join(F.broadcast(table), "mode").groupBy("mode", "k").agg(F.count_if(F.col("value") < F.col("a")).alias("below"), F.count_if(F.col("value").between(F.col("a"), F.col("b"))).alias("n")).collect()
+            for r in found:
+                t = (r["mode"], r["k"])
+                if r["below"] <= int(ranks[t]) and r["below"] + r["n"] >= min(int(ranks[t]) + 2, sizes[t[0]]):
+                    # one value, however often, takes one place; a range that does not get narrower is such values
+                    if tried[t][0] == tried[t][1] or r["n"] <= held or r["n"] >= ranges[t][3]:
+                        wide.discard(t)
+                    ranges[t] = (*tried[t], r["below"], r["n"])
+                    left.discard(t)
+            reach *= 4
+    table = spark.createDataFrame([(m, k, int(ranks[m, k]) - x[2], ranks[m, k] - int(ranks[m, k])) for (m, k), x in ranges.items()], f"mode {kind}, k int, at long, part double")
+    # equal values are one row with their number, so ranks are sums over few rows
+    counted = inside().groupBy("mode", "k", "value").agg(F.count("*").alias("n")).withColumn("end", F.sum("n").over(W.partitionBy("mode", "k").orderBy("value")))
+    ends = counted.join(F.broadcast(table), ["mode", "k"]).groupBy("mode", "k", "part").agg(
+        F.min(F.when(F.col("end") > F.col("at"), F.col("value"))).alias("x"), F.min(F.when(F.col("end") > F.col("at") + 1, F.col("value"))).alias("y"),
+    )
+    value = F.col("x") + F.when(F.col("part") > 0, F.col("part") * (F.col("y") - F.col("x"))).otherwise(F.lit(0.0))
+    return ends.groupBy("mode").agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"p{k}") for k in range(len(shares))])
+
+
+def mode_clip_limits(modes: DataFrame, held: int = HELD) -> DataFrame:
     """(mode, low, high): 1st and 99th percentile of the values that are numbers, on either side of zero."""
-    p = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
-    rows = modes.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("mode").agg(p.alias("p"))
-    return rows.select("mode", F.least(F.col("p")[0], F.lit(-1e-12)).alias("low"), F.greatest(F.col("p")[1], F.lit(1e-12)).alias("high"))
+    found = quantiles(modes.where(F.col("value").isNotNull() & ~F.isnan("value")).select("mode", "value"), (0.01, 0.99), held)
+    return found.select("mode", F.least(F.col("p0"), F.lit(-1e-12)).alias("low"), F.greatest(F.col("p1"), F.lit(1e-12)).alias("high"))
 
 
 def match_labels(spots: DataFrame, label: str, reference: str) -> DataFrame:

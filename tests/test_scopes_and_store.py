@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_spatial import RADIUS, centring, check, dense_kernel, make, whiten
 
 from lociweave.jobs import commands
-from lociweave.operators import enrichment, krylov, preprocess, products, spatial
+from lociweave.operators import enrichment, krylov, preprocess, products, ranking
 
 
 @pytest.fixture(scope="module")
@@ -245,3 +245,17 @@ def test_false_discovery_and_leading_edges_by_numpy(spark):
             q = min(1.0, (random >= x * s - 1e-12).mean() / (own >= x * s - 1e-12).mean())
             assert got[m, name]["q"] == pytest.approx(q)
     assert got[0, "top"]["q"] < 0.05
+
+
+# Quantiles
+
+
+@pytest.mark.parametrize("held", [10, 300, 100_000])
+def test_quantiles_by_narrowing(spark, held):
+    rng = np.random.default_rng(5)
+    values = {0: rng.normal(0, 1, 2000), 1: np.repeat([-1.0, 0.0, 2.0], [5, 900, 95]), 2: np.array([3.0]), 3: rng.standard_cauchy(1500) ** 3, 4: np.zeros(700), 5: np.array([1.0, 2.0]), 6: np.append(rng.random(800), [np.inf, -np.inf])}
+    rows = spark.createDataFrame([(m, float(v)) for m, own in values.items() for v in own], "mode int, value double")
+    got = {r["mode"]: (r["p0"], r["p1"], r["p2"]) for r in ranking.quantiles(rows, (0.01, 0.5, 0.99), held).collect()}
+    for m, own in values.items():
+        np.testing.assert_allclose(got[m], np.quantile(own, [0.01, 0.5, 0.99]), rtol=1e-12, atol=1e-12)
+    assert ranking.quantiles(rows.where("mode > 9"), (0.5,), held).count() == 0
