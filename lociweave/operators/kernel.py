@@ -47,10 +47,12 @@ def mean_spacing(coords: DataFrame, first_radius: float) -> DataFrame:
     """(sample_id, spacing): mean distance to the nearest other spot.
 
     Spots that find none within the radius go on to one four times as wide, so each step joins few spots with near cells.
+    A first radius that is wider than the densest sample's spots lie apart on average is cut down to that, so a cell holds few.
     """
-    left, radius, done = coords, first_radius, None
-    span = coords.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    widest = 2 * max(span[0] or 0.0, span[1] or 0.0, first_radius)
+    spans = coords.groupBy("sample_id").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("x"), (F.max("y") - F.min("y")).alias("y")).collect()  # samples
+    apart = [2 * max((r["x"] * r["y"] / r["n"]) ** 0.5, max(r["x"], r["y"]) / r["n"]) for r in spans]
+    widest = 2 * max([first_radius, *[max(r["x"], r["y"]) for r in spans]])
+    left, radius, done = coords, min([first_radius, *[a for a in apart if a > 0]]), None
     while True:
         pairs = radius_pairs(coords, radius, inclusive=True, of=left).where("i <> j")
         found = cut(pairs.groupBy("sample_id", "i").agg(F.sqrt(F.min("d2")).alias("d")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_spatial import RADIUS, centring, check, dense_kernel, make, whiten
 
 from lociweave.jobs import commands
-from lociweave.operators import enrichment, krylov, preprocess, products, ranking
+from lociweave.operators import enrichment, kernel, krylov, preprocess, products, ranking
 
 
 @pytest.fixture(scope="module")
@@ -259,3 +259,18 @@ def test_quantiles_by_narrowing(spark, held):
     for m, own in values.items():
         np.testing.assert_allclose(got[m], np.quantile(own, [0.01, 0.5, 0.99]), rtol=1e-12, atol=1e-12)
     assert ranking.quantiles(rows.where("mode > 9"), (0.5,), held).count() == 0
+
+
+# Spacing
+
+
+def test_spacing_by_a_radius_far_too_wide_joins_few_spots(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    xy = rng.random((3000, 2))
+    coords = spark.createDataFrame([("S", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "sample_id string, spot_id long, x double, y double")
+    made = []
+    plain = kernel.radius_pairs
+    monkeypatch.setattr(kernel, "radius_pairs", lambda *a, **k: (made.append((df := plain(*a, **k)).count()), df)[1])
+    got = kernel.mean_spacing(coords, 100.0).first()["spacing"]
+    near = np.array([np.sort(((xy - p) ** 2).sum(1))[1] ** 0.5 for p in xy])
+    assert got == pytest.approx(near.mean()) and sum(made) < 100 * len(xy)
