@@ -1,4 +1,4 @@
-"""Communities of a nearest-neighbour graph by the Leiden method's local moves and aggregation: as joins while it is large, then in one task."""
+"""Communities of a nearest-neighbour graph by the Leiden method's local moves, refinement and aggregation: as joins while it is large, then in one task."""
 
 from __future__ import annotations
 
@@ -78,48 +78,114 @@ def leiden(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, resolution: floa
     return rank[member]
 
 
-def moved(edges: DataFrame, labels: DataFrame, degrees: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """(v, c): one round of local moves, as joins. The vertices whose turn it is go where modularity gains most, or stay."""
-    mass = labels.join(degrees, "v").groupBy("c").agg(F.sum("degree").alias("mass"))
-    own = labels.join(degrees, "v").select("v", F.col("c").alias("old"), "degree")
-    toward = edges.where("i <> j").join(labels.select(F.col("v").alias("j"), "c"), "j").groupBy(F.col("i").alias("v"), "c").agg(F.sum("s").alias("s"))
-    stay = own.select("v", F.col("old").alias("c"), F.lit(0.0).alias("s"))
-    choices = toward.unionByName(stay).groupBy("v", "c").agg(F.sum("s").alias("s")).join(mass, "c").join(own, "v")
-    rest = F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("degree")).otherwise(0.0)
-    worth = F.round(F.col("s") - resolution * F.col("degree") * rest / total, 9)
-    best = choices.groupBy("v", "old").agg(F.max_by("c", F.struct(worth, F.col("c") == F.col("old"), "c")).alias("new"))
-    mine = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
-    return best.select("v", F.when(mine, F.col("new")).otherwise(F.col("old")).alias("c"))
+def moved(edges: DataFrame, labels: DataFrame, degrees: DataFrame, total: float, resolution: float, turn: int, alone: bool = False, thin: int = 1) -> tuple[DataFrame, int, int]:
+    """(v, c) after one turn of local moves, as joins, and how many vertices wished to move and did; modularity never falls.
+
+    A turn's communities are by chance ones that vertices may leave or ones that they may join, and a vertex goes where its
+    gain is largest. It is let go only if it gains even when all others go that want to: what it joins then weighs
+    more, what it leaves weighs less. Gains so counted are at most the moves' true ones, together too. ``thin``: only
+    one vertex in so many may move. ``alone``: only vertices that are communities of their own move.
+    """
+    joins = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0
+    placed = labels.join(degrees, "v")
+    mass = placed.groupBy("c").agg(F.sum("degree").alias("mass"), F.count("*").alias("size"))
+    may = ~joins("c") & (F.pmod(F.xxhash64("v", F.lit(-1 - turn)), F.lit(thin)) == 0)
+    movers = placed.where(may).join(mass, "c").where("size = 1" if alone else "size > 0")
+    movers = movers.select("v", F.col("c").alias("old"), "degree", F.col("mass").alias("old_mass"))
+    toward = edges.where("i <> j").withColumnRenamed("i", "v").join(movers, "v").join(labels.select(F.col("v").alias("j"), "c"), "j")
+    toward = toward.where((F.col("c") == F.col("old")) | joins("c")).groupBy("v", "old", "degree", "old_mass", "c").agg(F.sum("s").alias("s")).join(mass.select("c", "mass"), "c")
+    heavy = lambda m: resolution / total * F.col("degree") * m
+    here = F.col("c") == F.col("old")
+    worth = F.round(F.col("s") - heavy(F.col("mass")), 9)
+    best = toward.groupBy("v", "old", "degree", "old_mass").agg(F.sum(F.when(here, F.col("s")).otherwise(0.0)).alias("near"), F.max(F.when(~here, F.struct(worth.alias("worth"), "c", "s", "mass"))).alias("to"))
+    gain = lambda joined, left: F.col("to.s") - F.col("near") - heavy(F.col("to.mass") + joined) + heavy(F.col("old_mass") - left)
+    wish = cut(best.where("to IS NOT NULL").where(gain(F.lit(0.0), F.col("degree")) > 1e-9).withColumn("c", F.col("to.c")))
+    joined = wish.groupBy("c").agg(F.sum("degree").alias("joined"))
+    left = wish.groupBy("old").agg(F.sum("degree").alias("left"))
+    go = wish.join(joined, "c").join(left, "old").where(gain(F.col("joined") - F.col("degree"), F.col("left")) > 1e-9).select("v", F.col("c").alias("new"))
+    after = cut(labels.join(go, "v", "left").select("v", F.coalesce("new", "c").alias("c"), F.col("new").isNotNull().alias("went")))
+    return after.select("v", "c"), wish.count(), after.where("went").count()
+
+
+def _turns(edges: DataFrame, labels: DataFrame, degrees: DataFrame, total: float, resolution: float, alone: bool = False, most: int = 24) -> DataFrame:
+    """Turns of moves until in three running under one in a thousand vertices wish to move; where most wishes are refused, fewer may move at once."""
+    n, thin, quiet = degrees.count(), 1, 0
+    for turn in range(most):
+        labels, wished, went = moved(edges, labels, degrees, total, resolution, turn, alone, thin)
+        quiet = quiet + 1 if 1000 * wished * thin <= n else 0
+        if quiet == 3:
+            break
+        thin = min(64, thin * 2) if 2 * went < wished else max(1, thin // 2)
+    return labels
+
+
+def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(v, c): the connected parts of each community of ``labels``, each named by its smallest vertex. Such a cut never lowers modularity."""
+    own, other = labels, labels.select(F.col("v").alias("j"), F.col("c").alias("d"))
+    inner = cut(edges.where("i <> j").join(own.withColumnRenamed("v", "i"), "i").join(other, "j").where("c = d").select("i", "j"))
+    part = labels.select("v", F.col("v").alias("c"))
+    while True:
+        near = inner.join(part.select(F.col("v").alias("j"), "c"), "j").groupBy(F.col("i").alias("v")).agg(F.min("c").alias("m"))
+        low = part.join(near, "v", "left").select("v", "c", F.least("c", "m").alias("m"))
+        ahead = part.select(F.col("v").alias("m"), F.col("c").alias("n"))  # whom the new name's vertex names: paths get shorter by half
+        after = cut(low.join(ahead, "m").select("v", F.least("m", "n").alias("to"), "c"))
+        part = after.select("v", F.col("to").alias("c"))
+        if after.where("to <> c").isEmpty():
+            return part
 
 
-def coarsened(edges: DataFrame, largest: int, resolution: float, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(graph, membership): (i, j, s) with at most ``largest`` vertices, or fewer by no more than a twentieth a level, and (v, c) of all vertices.
+def _at(labels: DataFrame, v: str) -> DataFrame:
+    return labels.select(F.col("v").alias(v), F.col("c").alias(f"c_{v}"))
 
-    A level is some rounds of moves and one contraction, all joins and sums; each is written to the shared folder.
+
+def _contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(i, j, s) between the groups of ``labels``, inner weights as loops."""
+    both = edges.join(_at(labels, "i"), "i").join(_at(labels, "j"), "j")
+    return cut(both.groupBy(F.col("c_i").alias("i"), F.col("c_j").alias("j")).agg(F.sum("s").alias("s")))
+
+
+def coarsened(edges: DataFrame, largest: int, resolution: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(graph, membership, communities): (i, j, s) of parts of communities, (v, c) of all vertices' parts and (v, c) of the parts' communities.
+
+    A level moves vertices, refines, and contracts, all by joins and sums; each is written to the shared folder. Refinement starts
+    again from single vertices and joins them inside their communities only, along edges, so a part hangs together; parts
+    are the next level's vertices, which begin in the communities found. Levels end where at most ``largest`` vertices are left, each
+    community is one part, or parts are no longer fewer by a twentieth.
     """
     total = edges.agg(F.sum("s")).first()[0] or 1.0
-    member = None
+    member = labels = None
     while True:
         degrees = cut(edges.groupBy(F.col("i").alias("v")).agg(F.sum("s").alias("degree")))
         n = degrees.count()
+        alone = degrees.select("v", F.col("v").alias("c"))
+        labels = alone if labels is None else labels
         if n <= largest:
             break
-        labels = degrees.select("v", F.col("v").alias("c"))
-        for turn in range(rounds):
-            labels = cut(moved(edges, labels, degrees, total, resolution, turn))
-        at = lambda v: labels.select(F.col("v").alias(v), F.col("c").alias(f"c_{v}"))
-        edges = cut(edges.join(at("i"), "i").join(at("j"), "j").groupBy(F.col("c_i").alias("i"), F.col("c_j").alias("j")).agg(F.sum("s").alias("s")))
-        member = labels if member is None else cut(member.withColumnRenamed("c", "m").join(labels.withColumnRenamed("v", "m"), "m").select("v", "c"))
-        if edges.select("i").distinct().count() > 0.95 * n:
+        labels = _turns(edges, labels, degrees, total, resolution)
+        inner = cut(edges.join(_at(labels, "i"), "i").join(_at(labels, "j"), "j").where("c_i = c_j").select("i", "j", "s"))
+        parts = _turns(inner, alone, degrees, total, resolution, alone=True, most=6)
+        labels = cut(parts.join(labels.withColumnRenamed("c", "into"), "v").groupBy(F.col("c").alias("v")).agg(F.first("into").alias("c")))
+        edges = _contracted(edges, parts)
+        member = parts if member is None else cut(member.withColumnRenamed("c", "m").join(parts.withColumnRenamed("v", "m"), "m").select("v", "c"))
+        left = labels.count()
+        if left > 0.95 * n or left == labels.select("c").distinct().count():
             break
-    return edges, member if member is not None else degrees.select("v", F.col("v").alias("c"))
+    return edges, member if member is not None else alone, labels
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    """(id, cluster) of (id, label), the largest first; the window holds a row for each cluster."""
+    sizes = found.groupBy("label").agg(F.count("*").alias("n"))
+    ranks = sizes.select("label", (F.row_number().over(W.orderBy(F.desc("n"), "label")) - 1).cast("long").alias("cluster"))
+    return found.join(ranks, "label").select("id", "cluster")
 
 
 def cluster(vectors: DataFrame, neighbours: int = 15, resolution: float = 1.0, seed: int = 0, metric: str = "cosine", largest: int = LARGEST, exact: int = EXACT) -> DataFrame:
     """(id, cluster) of (id, v), the largest cluster first.
 
     Up to ``exact`` rows neighbours are exact; beyond, they come from inverted lists. The graph is moved and contracted by joins
-    until it has ``largest`` vertices at most; one task ends it. Where moves stop contracting it before, its vertices are the clusters.
+    until it has ``largest`` vertices at most; one task ends it. Where it is not contracted so far, the joins' own communities,
+    cut where they do not hang together, are the clusters.
     """
     kind = vectors.schema["id"].dataType.simpleString()
     n = vectors.count()
@@ -128,11 +194,10 @@ def cluster(vectors: DataFrame, neighbours: int = 15, resolution: float = 1.0, s
     weight = F.greatest(F.col("similarity"), F.lit(0.0)) if metric == "cosine" else 1 / (1 - F.col("similarity"))
     both = near.select("i", "j", weight.alias("s"))
     both = cut(both.union(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "s")).groupBy("i", "j").agg(F.max("s").alias("s")))
-    graph, member = coarsened(both, largest, resolution)
-    if graph.select("i").distinct().count() > largest:
-        sizes = member.groupBy("c").agg(F.count("*").alias("n"))
-        ranks = sizes.select("c", (F.row_number().over(W.orderBy(F.desc("n"), "c")) - 1).cast("long").alias("cluster"))
-        return member.join(ranks, "c").select(F.col("v").alias("id"), "cluster")
+    graph, member, communities = coarsened(both, largest, resolution)
+    if communities.count() > largest:
+        found = cut(member.join(connected(graph, communities).select(F.col("v").alias("c"), F.col("c").alias("label")), "c").select(F.col("v").alias("id"), "label"))
+        return _ranked(found)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf["i"].to_numpy())
@@ -141,5 +206,4 @@ def cluster(vectors: DataFrame, neighbours: int = 15, resolution: float = 1.0, s
 
     ended = graph.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"c {kind}, label long")
     found = cut(member.join(ended, "c").select(F.col("v").alias("id"), "label"))
-    ranks = found.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.row_number().over(W.orderBy(F.desc("n"), "label")) - 1).cast("long").alias("cluster"))
-    return found.join(ranks, "label").select("id", "cluster")  # a row for each cluster
+    return _ranked(found)

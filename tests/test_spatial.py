@@ -338,3 +338,57 @@ def test_clusters_by_joins_are_those_of_one_task(spark):
         groups = [{got[f"n{i:03d}"] for i in range(40 * k, 40 * k + 40)} for k in range(4)]
         assert len(got) == 160 and not any(groups[a] & groups[b] for a in range(4) for b in range(a))
         assert sum(map(len, groups)) <= (4 if not options else 40)
+
+
+def test_clusters_by_joins_alone_are_the_groups(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 5, (4, 5))
+    v = np.concatenate([rng.normal(c, 0.2, (40, 5)) for c in centres])
+    df = spark.createDataFrame([(f"n{i:03d}", [float(y) for y in x]) for i, x in enumerate(v)], "id string, v array<double>")
+    for options in ({"largest": 0},):
+        got = {r["id"]: r["cluster"] for r in clustering.cluster(df, 10, 0.1, **options).collect()}
+        groups = [{got[f"n{i:03d}"] for i in range(40 * k, 40 * k + 40)} for k in range(4)]
+        assert len(got) == 160 and all(len(g) == 1 for g in groups) and set().union(*groups) == {0, 1, 2, 3}
+
+
+def test_communities_by_joins_come_near_the_modularity_of_one_task_and_hang_together(spark):
+    rng, n = np.random.default_rng(9), 200
+    group = rng.permutation(n) % 8
+    inside = group[:, None] == group[None, :]
+    a = np.triu(rng.random((n, n)) < np.where(inside, 0.35, 0.01), 1)
+    a = a * np.round(rng.uniform(0.5, 1.5, (n, n)), 3)
+    a = a + a.T
+    i, j = np.nonzero(a)
+    edges = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j)], "i long, j long, s double")
+    degree, total = a.sum(1), a.sum()
+
+    def modularity(label):
+        same = label[:, None] == label[None, :]
+        return ((a - np.outer(degree, degree) / total) * same).sum() / total
+
+    def in_pieces(vertices):
+        left, pieces = set(vertices), 0
+        while left:
+            pieces, queue = pieces + 1, [left.pop()]
+            while queue:
+                near = {int(y) for y in np.flatnonzero(a[queue.pop()]) if int(y) in left}
+                left -= near
+                queue += near
+        return pieces
+
+    graph, member, communities = clustering.coarsened(edges, 0, 1.0)
+    part = {r["v"]: r["c"] for r in member.collect()}
+    assert all(in_pieces([v for v in part if part[v] == c]) == 1 for c in set(part.values()))  # refined parts
+    into = {r["v"]: r["c"] for r in clustering.connected(graph, communities).collect()}
+    label = np.array([into[part[v]] for v in range(n)])
+    assert all(in_pieces(np.flatnonzero(label == c).tolist()) == 1 for c in set(label.tolist()))
+    assert modularity(label) >= 0.97 * modularity(clustering.leiden(n, i, j, a[i, j]))
+    # a turn never lowers it
+    degrees = spark.createDataFrame([(v, float(d)) for v, d in enumerate(degree)], "v long, degree double")
+    labels, before = spark.range(n).selectExpr("id AS v", "id AS c"), modularity(np.arange(n))
+    for turn in range(2):
+        labels, *_ = clustering.moved(edges, labels, degrees, float(total), 1.0, turn)
+        got = {r["v"]: r["c"] for r in labels.collect()}
+        after = modularity(np.array([got[v] for v in range(n)]))
+        assert after >= before - 1e-12
+        before = after
