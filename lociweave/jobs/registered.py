@@ -107,6 +107,22 @@ _emb(
       SELECT a.sample_id, a.spot_id AS i, b.spot_id AS j, round(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / (4.0 * ({EMB_RADIUS} / 6) * ({EMB_RADIUS} / 6))), 6) + 0.0 AS k
       FROM spots a JOIN spots b ON a.sample_id = b.sample_id) WHERE k > 0""",
 )
+
+
+@register(
+    "wendland_kernel_3d",
+    """WITH spots AS (SELECT 'S' || (vec_id % 3) AS sample_id, vec_id AS spot_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+    pairs AS (
+      SELECT a.sample_id, a.spot_id AS i, b.spot_id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / 0.1 AS r
+      FROM spots a JOIN spots b ON a.sample_id = b.sample_id)
+    SELECT sample_id, i, j, round(pow(1 - r, 4) * (4 * r + 1), 6) + 0.0 AS k FROM pairs WHERE r < 1""",
+)
+def wendland_kernel_3d(spark: SparkSession, d: str) -> DataFrame:
+    third = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("spot_id"), F.col("embedding")[2].cast("double").alias("z"))
+    coords = embeddings_bundle(spark, d).coords.join(third, "spot_id")
+    return kernel.wendland_kernel(coords, 2 * EMB_RADIUS).select("sample_id", "i", "j", _r(F.col("k")).alias("k"))
+
+
 _emb(
     lambda b: kernel.mean_spacing(b.coords, EMB_RADIUS).withColumn("spacing", _r(F.col("spacing"))), "mean_spacing",
     "SELECT sample_id, round(avg(d), 6) + 0.0 AS spacing FROM (SELECT a.sample_id, a.spot_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.spot_id <> b.spot_id GROUP BY 1, 2) GROUP BY 1",

@@ -2,27 +2,59 @@
 
 A plain distance join is a nested loop over all pairs. Here space is cut into cells as wide
 as the radius; a spot meets the spots of its own and the adjacent cells by an equi-join,
-which Spark hash-partitions and, where a cell is crowded, splits at run time.
+which Spark hash-partitions and, where a cell is crowded, splits at run time. Coordinates are
+x, y and, where there is such a column, z; a null z is a zero.
+
+Spots of equal coordinates have the same neighbours and weights. ``places`` makes one of them,
+so what is made for pairs does not grow with the square of a crowd at one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import product
+from math import prod
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import gaussian, wendland
 from ..sources.lineage import cut
 
 
+def axes(coords: DataFrame) -> list[str]:
+    return [a for a in ("x", "y", "z") if a in coords.columns]
+
+
+def _place(coords: DataFrame) -> list[Column]:
+    """The columns that make a place; zeros without a sign."""
+    value = lambda a: F.coalesce(a, F.lit(0.0)) if a == "z" else F.col(a)
+    return [F.col("sample_id"), *[F.when(value(a) == 0, F.lit(0.0)).otherwise(value(a)).alias(a) for a in axes(coords)]]
+
+
+def places(coords: DataFrame) -> DataFrame:
+    """(sample_id, spot_id, x, y, z if any, n): the spots of a sample at equal coordinates as one, under the least of their ids, and how many they are."""
+    return coords.groupBy(*_place(coords)).agg(F.min("spot_id").alias("spot_id"), F.count("*").alias("n"))
+
+
+def at_places(coords: DataFrame, found: DataFrame) -> DataFrame:
+    """(sample_id, spot_id, place): of each spot the id of its place among ``found``, the places of ``coords``."""
+    on = ["sample_id", *axes(coords)]
+    return coords.select(*_place(coords), "spot_id").join(found.select(*on, F.col("spot_id").alias("place")), on).select("sample_id", "spot_id", "place")
+
+
 def radius_pairs(coords: DataFrame, radius: float, inclusive: bool = False, of: DataFrame | None = None) -> DataFrame:
     """(sample_id, i, j, d2) for all spots of a sample within ``radius``, themselves included, both directions. ``of``: only pairs of these spots i."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    left = (coords if of is None else of).select("sample_id", F.col("spot_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = F.explode(F.array(*[F.struct((F.col("cx") + a).alias("a"), (F.col("cy") + b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    right = coords.select("sample_id", F.col("spot_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x").alias("cx"), cell("y").alias("cy"))
-    right = right.withColumn("near", around).select("sample_id", "j", "xj", "yj", F.col("near.a").alias("cx"), F.col("near.b").alias("cy"))
-    dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-    pairs = left.join(right, ["sample_id", "cx", "cy"]).withColumn("d2", dx * dx + dy * dy)
+    names = axes(coords)
+    at = lambda side: [(F.coalesce(a, F.lit(0.0)) if a == "z" else F.col(a)).alias(f"{a}{side}") for a in names]
+    cell = lambda a, side: F.floor(F.col(f"{a}{side}") / radius).alias(f"c{a}")
+    left = (coords if of is None else of).select("sample_id", F.col("spot_id").alias("i"), *at("i"))
+    left = left.select("*", *[cell(a, "i") for a in names])
+    right = coords.select("sample_id", F.col("spot_id").alias("j"), *at("j"))
+    right = right.select("*", *[cell(a, "j") for a in names])
+    around = F.array(*[F.struct(*[(F.col(f"c{a}") + step).alias(f"c{a}") for a, step in zip(names, steps, strict=True)]) for steps in product((-1, 0, 1), repeat=len(names))])
+    right = right.withColumn("near", F.explode(around)).select("sample_id", "j", *[f"{a}j" for a in names], "near.*")
+    squares = [(F.col(f"{a}i") - F.col(f"{a}j")) * (F.col(f"{a}i") - F.col(f"{a}j")) for a in names]
+    pairs = left.join(right, ["sample_id", *[f"c{a}" for a in names]]).withColumn("d2", sum(squares[1:], squares[0]))
     limit = F.lit(radius * radius)
     return pairs.where(F.col("d2") <= limit if inclusive else F.col("d2") < limit).select("sample_id", "i", "j", "d2")
 
@@ -39,25 +71,34 @@ def gaussian_kernel(coords: DataFrame, sigma: float, reach: float = 12.0) -> Dat
 
 def isolated_fraction(coords: DataFrame, radius: float) -> DataFrame:
     """(sample_id, isolated): the share of spots with no other spot at or within the radius."""
-    counts = radius_pairs(coords, radius, inclusive=True).groupBy("sample_id", "i").agg(F.count("*").alias("n"))
-    return counts.groupBy("sample_id").agg(F.avg((F.col("n") == 1).cast("double")).alias("isolated"))
+    at = places(coords)
+    counts = radius_pairs(at, radius, inclusive=True).groupBy("sample_id", F.col("i").alias("spot_id")).agg(F.count("*").alias("near"))
+    rows = at.join(counts, ["sample_id", "spot_id"])
+    alone = ((F.col("near") == 1) & (F.col("n") == 1)).cast("double")
+    return rows.groupBy("sample_id").agg((F.sum(alone) / F.sum("n")).alias("isolated"))
 
 
 def mean_spacing(coords: DataFrame, first_radius: float) -> DataFrame:
     """(sample_id, spacing): mean distance to the nearest other spot.
 
-    Spots that find none within the radius go on to one four times as wide, so each step joins few spots with near cells.
+    Spots at one place are nought apart. Spots that find none within the radius go on to one four times as wide, so each step joins few spots with near cells.
     A first radius that is wider than the densest sample's spots lie apart on average is cut down to that, so a cell holds few.
     """
-    spans = coords.groupBy("sample_id").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("x"), (F.max("y") - F.min("y")).alias("y")).collect()  # samples
-    apart = [2 * max((r["x"] * r["y"] / r["n"]) ** 0.5, max(r["x"], r["y"]) / r["n"]) for r in spans]
-    widest = 2 * max([first_radius, *[max(r["x"], r["y"]) for r in spans]])
-    left, radius, done = coords, min([first_radius, *[a for a in apart if a > 0]]), None
+    coords = cut(places(coords))
+    names = axes(coords)
+    spans = coords.groupBy("sample_id").agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in names]).collect()  # samples
+    apart = []
+    for r in spans:
+        sides = sorted((r[a] for a in names), reverse=True)
+        apart.append(2 * max((prod(sides[:d]) / r["n"]) ** (1 / d) for d in range(1, len(sides) + 1)))
+    widest = 2 * max([first_radius, *[r[a] for r in spans for a in names]])
+    crowds = coords.where("n > 1").select("sample_id", F.col("spot_id").alias("i"), "n", F.lit(0.0).alias("d"))
+    left, radius, done = coords.where("n = 1"), min([first_radius, *[a for a in apart if a > 0]]), crowds
     while True:
         pairs = radius_pairs(coords, radius, inclusive=True, of=left).where("i <> j")
-        found = cut(pairs.groupBy("sample_id", "i").agg(F.sqrt(F.min("d2")).alias("d")))
-        done = found if done is None else done.union(found)
+        found = cut(pairs.groupBy("sample_id", "i").agg(F.lit(1).cast("long").alias("n"), F.sqrt(F.min("d2")).alias("d")))
+        done = done.union(found)
         left = cut(left.join(found.select("sample_id", F.col("i").alias("spot_id")), ["sample_id", "spot_id"], "left_anti"))
         if radius > widest or left.isEmpty():
-            return done.groupBy("sample_id").agg(F.avg("d").alias("spacing"))
+            return done.groupBy("sample_id").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("spacing"))
         radius *= 4

@@ -15,11 +15,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.bundle import SPOT, Bundle
-from .kernel import wendland_kernel
+from .kernel import at_places, places, wendland_kernel
 from .products import spot_products
 
 EPS = 1e-12
@@ -27,7 +27,11 @@ EPS = 1e-12
 
 @dataclass(frozen=True)
 class Prepared:
-    """Expression rows w(part, i, g, value), kernel k(part, i, j, k), groups(part, i, c, n_c), the basis q(part, i, ix, q), if any, and all spots (part, i)."""
+    """Expression rows w(part, i, g, value), groups(part, i, c, n_c), the basis q(part, i, ix, q), if any, and all spots (part, i).
+
+    The kernel k(part, i, j, k) is between places, under the ids of their least spots; at(part, i, place) has each spot's. As spots
+    of one place share a row of the kernel, W'KW is made of what each place's spots sum up to.
+    """
 
     w: DataFrame
     k: DataFrame
@@ -35,6 +39,15 @@ class Prepared:
     genes: DataFrame
     basis: DataFrame | None = None
     spots: DataFrame | None = None
+    at: DataFrame | None = None
+
+    def summed(self, rows: DataFrame, by: list[str], *sums: Column) -> DataFrame:
+        """(part, i, by, sums) over the spots of each place i, of rows (part, i, ..) of spots."""
+        return rows.join(self.at, ["part", "i"]).groupBy("part", F.col("place").alias("i"), *by).agg(*sums)
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows (part, i, ..) of places for each of their spots."""
+        return self.at.join(rows.withColumnRenamed("i", "place"), ["part", "place"]).drop("place")
 
 
 def prepare(
@@ -53,16 +66,19 @@ def prepare(
         bundle, matrix = replace(bundle, spots=of(bundle.spots)), of(matrix)
         covariates = of(covariates) if covariates is not None else None
         inside = of(bundle.coords).withColumn("sample_id", F.struct("part", "sample_id"))  # the part is a key of the radius join
-        k = wendland_kernel(inside, radius).select("sample_id.part", "i", "j", "k")
+        own = F.col("sample_id.part").alias("part")
     else:
-        k = wendland_kernel(bundle.coords, radius).select(part, "i", "j", "k")
+        inside, own = bundle.coords, part
+    where = places(inside)
+    k = wendland_kernel(where, radius).select(own, "i", "j", "k")
+    at = at_places(inside, where).select(own, F.col("spot_id").alias("i"), "place")
     w = matrix.select(part, F.col("spot_id").alias("i"), F.col("gene_id").alias("g"), "value")
     groups = None
     if center != "none":
         name = F.col("sample_id") if center == "sample" else F.concat_ws("|", "sample_id", F.coalesce(F.col("label").cast("string"), F.lit("\0")))
         rows = bundle.spots.select(part, F.col("spot_id").alias("i"), name.alias("c"))
         groups = rows.join(rows.groupBy("part", "c").agg(F.count("*").alias("n_c")), ["part", "c"]).select("part", "i", "c", "n_c")
-    made = Prepared(w, k, groups, bundle.genes.select(F.col("gene_id").alias("g")), spots=bundle.spots.select(part, F.col("spot_id").alias("i")))
+    made = Prepared(w, k, groups, bundle.genes.select(F.col("gene_id").alias("g")), spots=bundle.spots.select(part, F.col("spot_id").alias("i")), at=at)
     if covariates is not None:
         flat = covariates.select(part, F.col("spot_id").alias("i"), *[c for c in covariates.columns if c not in (*SPOT, "part")])
         made = replace(made, basis=orthonormal(made, flat))
@@ -107,7 +123,8 @@ def orthonormal(p: Prepared, covariates: DataFrame, tol: float = 1e-10) -> DataF
 
 def _centred_kq(p: Prepared) -> DataFrame:
     """(part, i, ix, z): C K Q."""
-    kq = p.k.join(p.basis.withColumnRenamed("i", "j"), ["part", "j"]).groupBy("part", "i", "ix").agg(F.sum(F.col("k") * F.col("q")).alias("kq"))
+    q = p.summed(p.basis, ["ix"], F.sum("q").alias("q")).withColumnRenamed("i", "j")
+    kq = p.spread(p.k.join(q, ["part", "j"]).groupBy("part", "i", "ix").agg(F.sum(F.col("k") * F.col("q")).alias("kq")))
     if p.groups is None:
         return kq.withColumnRenamed("kq", "z")
     rows = kq.join(p.groups, ["part", "i"])
@@ -121,12 +138,18 @@ def group_means(p: Prepared) -> DataFrame:
     return p.w.join(p.groups, ["part", "i"]).groupBy("part", "c", "g").agg((F.sum("value") / F.first("n_c")).alias("m"))
 
 
+def _place_sums(p: Prepared) -> DataFrame:
+    """(part, i, g, value): expression summed up over the spots of each place."""
+    return p.summed(p.w, ["g"], F.sum("value").alias("value"))
+
+
 def _group_sums(p: Prepared) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Group means, group sums of KW, and kernel mass times means; from what each spot has of the kernel in each group."""
+    """Group means, group sums of KW, and kernel mass times means; from what each place has of the kernel in each group."""
     m = group_means(p)
-    mass = p.k.join(p.groups.select("part", "i", "c"), ["part", "i"]).groupBy("part", F.col("j").alias("i"), "c").agg(F.sum("k").alias("a"))
-    c = p.w.join(mass, ["part", "i"]).groupBy("part", "c", "g").agg(F.sum(F.col("a") * F.col("value")).alias("cc"))
-    a = mass.withColumnRenamed("c", "c1").join(p.groups.select("part", "i", F.col("c").alias("c2")), ["part", "i"]).groupBy("part", "c1", "c2").agg(F.sum("a").alias("a"))
+    held = p.summed(p.groups.select("part", "i", "c"), ["c"], F.count("*").alias("n"))
+    mass = p.k.join(held, ["part", "i"]).groupBy("part", F.col("j").alias("i"), "c").agg(F.sum(F.col("k") * F.col("n")).alias("a"))
+    c = _place_sums(p).join(mass, ["part", "i"]).groupBy("part", "c", "g").agg(F.sum(F.col("a") * F.col("value")).alias("cc"))
+    a = mass.withColumnRenamed("c", "c1").join(held.withColumnRenamed("c", "c2"), ["part", "i"]).groupBy("part", "c1", "c2").agg(F.sum(F.col("a") * F.col("n")).alias("a"))
     am = a.join(m.withColumnRenamed("c", "c2"), ["part", "c2"]).groupBy("part", F.col("c1").alias("c"), "g").agg(F.sum(F.col("a") * F.col("m")).alias("am"))
     return m, c, am
 
@@ -143,7 +166,7 @@ def _loads(p: Prepared) -> tuple[DataFrame, DataFrame]:
 
 def spatial_variance(p: Prepared) -> DataFrame:
     """(part, g, variance): the diagonal of W'SW for every gene with a count; the variance of other genes is zero."""
-    terms = [spot_products(p.w, p.k, p.genes, diagonal=True)]
+    terms = [spot_products(_place_sums(p), p.k, p.genes, diagonal=True)]
     if p.groups is not None:
         m, c, am = _group_sums(p)
         mixed = m.join(c, ["part", "c", "g"], "left").join(am, ["part", "c", "g"], "left")
@@ -162,7 +185,7 @@ def spatial_variance(p: Prepared) -> DataFrame:
 def gram(p: Prepared) -> DataFrame:
     """(part, g, h, v): W'SW. Its size is genes by genes for each part: for ``programs.DENSE_GENES`` genes at most."""
     h = lambda df: df.withColumnRenamed("g", "h")
-    out = [spot_products(p.w, p.k, p.genes)]
+    out = [spot_products(_place_sums(p), p.k, p.genes)]
     if p.groups is not None:
         m, c, am = _group_sums(p)
         mc = m.join(h(c), ["part", "c"]).groupBy("part", "g", "h").agg(F.sum(-F.col("m") * F.col("cc")).alias("v"))
