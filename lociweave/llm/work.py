@@ -44,9 +44,9 @@ class Workspace:
         if (opened := _opened.get()) is not None:
             opened.append(self)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write ``df`` and return what was written; the schema is known, so nothing is inferred."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
