@@ -1,10 +1,10 @@
 """Sums over spots of expression times smoothed expression, by blocks of spots inside tasks.
 
-A spot's expression is one row of arrays. It is sent once to each of the spot's neighbours by
-the join with the kernel; a task then has all that a spot needs, its own row among them as the
-kernel's diagonal, makes W_b and (KW)_b of some spots as small matrices and adds up W_b'(KW)_b.
-So what is shuffled is a row for each two neighbours, and at most a number for each task and two
-genes; a row for each two genes of a spot is never made.
+Spots lie in blocks of a bounded size. A spot's expression is one row of arrays; it is sent once
+to each block that has neighbours of it, with their numbers in the block and their weights. A
+task adds up W_b and (KW)_b of one block at a time as small matrices, and W_b'(KW)_b over its blocks.
+So what is shuffled is narrow for each two neighbours, a row of expression for each spot and block
+near it, and at most a number for each task and two genes.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ CELLS, ROWS = 2_000_000, 200_000
 
 
 def _sums(genes: int, diagonal: bool):
-    """From rows (part, i, own, k, gs, vs), those of a spot together and parts one after another, to (part, x, y, v): y >= x, or y = x only."""
+    """From rows (part, b, own, near, gs, vs), those of a block together and parts one after another, to (part, x, y, v): y >= x, or y = x only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total, rest = None, None, None
+        part, block, total = None, None, None
+        plain = smooth = np.zeros((0, genes))
 
         def out() -> Iterator[pa.RecordBatch]:
             if total is None:
@@ -36,55 +37,56 @@ def _sums(genes: int, diagonal: bool):
                 columns = [pa.array([part] * len(x[at]), pa.string()), pa.array(x[at].astype(np.int32)), pa.array(y[at].astype(np.int32)), pa.array(v[at])]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "x", "y", "v"])
 
-        def add(rows: pa.Table, spot: np.ndarray) -> None:
-            """``spot``: the number of each row's spot among these."""
-            gs, vs = rows.column("gs").combine_chunks(), rows.column("vs").combine_chunks()
-            sizes = np.diff(gs.offsets.to_numpy())
-            g, v = gs.flatten().to_numpy(), vs.flatten().to_numpy()
-            own, k = rows.column("own").to_numpy(), rows.column("k").to_numpy()
-            n = int(spot[-1]) + 1
-            at = np.repeat(spot, sizes) * genes + g
-            smooth = np.bincount(at, np.repeat(k, sizes) * v, n * genes).reshape(n, genes)
-            mine = np.repeat(own, sizes)
-            plain = np.bincount(at[mine], v[mine], n * genes).reshape(n, genes)
-            nonlocal total
-            one = np.einsum("sg,sg->g", plain, smooth) if diagonal else plain.T @ smooth
-            total = one if total is None else total + one
-
-        def work(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            """Adds the spots that are there as a whole; what may go on in the next batch is kept."""
-            nonlocal part, total, rest
-            parts, spots = rows.column("part").to_pandas(), rows.column("i").to_pandas()
-            new = ((parts != parts.shift()) | (spots != spots.shift())).to_numpy()
-            borders = np.append(np.flatnonzero(new), len(new))
-            end = len(borders) - 1 if last else len(borders) - 2
-            most, first = max(1, CELLS // genes), 0
-            while first < end:
-                name = parts.iat[borders[first]]
-                stop = first + 1
-                while stop < end and stop - first < most and parts.iat[borders[stop]] == name:
-                    stop += 1
-                if name != part:
-                    yield from out()
-                    part, total = name, None
-                a, b = int(borders[first]), int(borders[stop])
-                add(rows.slice(a, b - a), np.cumsum(new[a:b]) - 1)
-                first = stop
-            rest = rows.slice(int(borders[end]))
+        def close() -> None:
+            """Adds the block that has ended."""
+            nonlocal total, plain, smooth
+            if len(plain):
+                one = np.einsum("sg,sg->g", plain, smooth) if diagonal else plain.T @ smooth
+                total = one if total is None else total + one
+            plain = smooth = np.zeros((0, genes))
+
+        def add(rows: pa.RecordBatch) -> None:
+            """Some rows of the block at hand."""
+            nonlocal plain, smooth
+            gs, vs, near = rows.column("gs"), rows.column("vs"), rows.column("near")
+            m = rows.num_rows
+            w = np.zeros((m, genes))
+            w[np.repeat(np.arange(m), np.diff(gs.offsets.to_numpy())), gs.flatten().to_numpy()] = vs.flatten().to_numpy()
+            x, k = (near.flatten().field(c).to_numpy() for c in ("x", "k"))
+            if (more := int(x.max()) + 1 - len(plain)) > 0:
+                plain, smooth = (np.concatenate([t, np.zeros((more, genes))]) for t in (plain, smooth))
+            weights = np.bincount(x * m + np.repeat(np.arange(m), np.diff(near.offsets.to_numpy())), k, len(plain) * m).reshape(len(plain), m)
+            smooth += weights @ w
+            own = rows.column("own").fill_null(-1).to_numpy(zero_copy_only=False)
+            plain[own[own >= 0]] += w[own >= 0]
 
+        most = max(1, CELLS // max(genes, 256))
         for batch in batches:
-            if batch.num_rows:
-                rows = pa.Table.from_batches([batch])
-                yield from work(rows if rest is None or not len(rest) else pa.concat_tables([rest, rows]), False)
-        if rest is not None and len(rest):
-            yield from work(rest, True)
+            if not batch.num_rows:
+                continue
+            parts, blocks = batch.column("part").to_pandas(), batch.column("b").to_pandas()
+            new = ((parts != parts.shift()) | (blocks != blocks.shift())).to_numpy()
+            borders = np.append(np.flatnonzero(new), len(new))
+            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                if (parts.iat[a], blocks.iat[a]) != (part, block):
+                    close()
+                    if parts.iat[a] != part:
+                        yield from out()
+                        total = None
+                    part, block = parts.iat[a], blocks.iat[a]
+                for first in range(a, b, most):
+                    add(batch.slice(first, min(most, b - first)))
+        close()
         yield from out()
 
     return run
 
 
-def spot_products(w: DataFrame, k: DataFrame, genes: DataFrame, diagonal: bool = False) -> DataFrame:
-    """(part, g, h, v): W'KW of each part for w(part, i, g, value) and k(part, i, j, k), or with ``diagonal`` its (part, g, v)."""
+def spot_products(w: DataFrame, k: DataFrame, genes: DataFrame, diagonal: bool = False, blocks: DataFrame | None = None) -> DataFrame:
+    """(part, g, h, v): W'KW of each part for w(part, i, g, value) and k(part, i, j, k), or with ``diagonal`` its (part, g, v).
+
+    ``blocks`` (part, i, b, x): the block of each i and its number there, from 0; best of spots that have neighbours in common. Else each is one.
+    """
     spark = w.sparkSession
     names = [r["g"] for r in genes.select("g").distinct().orderBy("g").collect()]  # genes: a dimension of the data, not its rows
     kind = "part string, x int, y int, v double"
@@ -94,9 +96,12 @@ def spot_products(w: DataFrame, k: DataFrame, genes: DataFrame, diagonal: bool =
     else:
         entry = F.sort_array(F.collect_list(F.struct("x", "value")))
         spots = w.join(numbered, "g").groupBy("part", "i").agg(entry.alias("e")).select("part", F.col("i").alias("j"), F.col("e.x").alias("gs"), F.col("e.value").alias("vs"))
-        near = k.join(spots, ["part", "j"]).select("part", "i", (F.col("i") == F.col("j")).alias("own"), "k", "gs", "vs")
+        placed = k.withColumns({"b": F.col("i"), "x": F.lit(0)}) if blocks is None else k.join(blocks, ["part", "i"])
+        own = F.max(F.when(F.col("i") == F.col("j"), F.col("x"))).alias("own")
+        near = placed.groupBy("part", "b", "j").agg(own, F.collect_list(F.struct("x", "k")).alias("near"))
+        near = near.join(spots, ["part", "j"]).select("part", "b", "own", "near", "gs", "vs")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        sums = near.repartition(n, "part", "i").sortWithinPartitions("part", "i").mapInArrow(_sums(len(names), diagonal), kind)
+        sums = near.repartition(n, "part", "b").sortWithinPartitions("part", "b").mapInArrow(_sums(len(names), diagonal), kind)
     sums = sums.groupBy("part", "x", "y").agg(F.sum("v").alias("v"))
     named = lambda df, x, g: df.join(numbered.select(F.col("x").alias(x), F.col("g").alias(g)), x)
     if diagonal:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.bundle import SPOT, Bundle
-from .kernel import at_places, places, wendland_kernel
+from .kernel import at_places, blocks, places, wendland_kernel
 from .products import spot_products
 
 EPS = 1e-12
@@ -29,7 +29,8 @@ EPS = 1e-12
 class Prepared:
     """Expression rows w(part, i, g, value), groups(part, i, c, n_c), the basis q(part, i, ix, q), if any, and all spots (part, i).
 
-    The kernel k(part, i, j, k) is between places, under the ids of their least spots; at(part, i, place) has each spot's. As spots
+    The kernel k(part, i, j, k) is between places, under the ids of their least spots; at(part, i, place) has each spot's, blocks(part, i, b, x)
+    has each place's block and number there. As spots
     of one place share a row of the kernel, W'KW is made of what each place's spots sum up to.
     """
 
@@ -40,6 +41,7 @@ class Prepared:
     basis: DataFrame | None = None
     spots: DataFrame | None = None
     at: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     def summed(self, rows: DataFrame, by: list[str], *sums: Column) -> DataFrame:
         """(part, i, by, sums) over the spots of each place i, of rows (part, i, ..) of spots."""
@@ -78,7 +80,8 @@ def prepare(
         name = F.col("sample_id") if center == "sample" else F.concat_ws("|", "sample_id", F.coalesce(F.col("label").cast("string"), F.lit("\0")))
         rows = bundle.spots.select(part, F.col("spot_id").alias("i"), name.alias("c"))
         groups = rows.join(rows.groupBy("part", "c").agg(F.count("*").alias("n_c")), ["part", "c"]).select("part", "i", "c", "n_c")
-    made = Prepared(w, k, groups, bundle.genes.select(F.col("gene_id").alias("g")), spots=bundle.spots.select(part, F.col("spot_id").alias("i")), at=at)
+    held = blocks(where, radius).select(own, F.col("spot_id").alias("i"), F.concat_ws(" ", "b", "sample_id" if members is None else "sample_id.sample_id").alias("b"), "x")
+    made = Prepared(w, k, groups, bundle.genes.select(F.col("gene_id").alias("g")), spots=bundle.spots.select(part, F.col("spot_id").alias("i")), at=at, blocks=held)
     if covariates is not None:
         flat = covariates.select(part, F.col("spot_id").alias("i"), *[c for c in covariates.columns if c not in (*SPOT, "part")])
         made = replace(made, basis=orthonormal(made, flat))
@@ -166,7 +169,7 @@ def _loads(p: Prepared) -> tuple[DataFrame, DataFrame]:
 
 def spatial_variance(p: Prepared) -> DataFrame:
     """(part, g, variance): the diagonal of W'SW for every gene with a count; the variance of other genes is zero."""
-    terms = [spot_products(_place_sums(p), p.k, p.genes, diagonal=True)]
+    terms = [spot_products(_place_sums(p), p.k, p.genes, diagonal=True, blocks=p.blocks)]
     if p.groups is not None:
         m, c, am = _group_sums(p)
         mixed = m.join(c, ["part", "c", "g"], "left").join(am, ["part", "c", "g"], "left")
@@ -185,7 +188,7 @@ def spatial_variance(p: Prepared) -> DataFrame:
 def gram(p: Prepared) -> DataFrame:
     """(part, g, h, v): W'SW. Its size is genes by genes for each part: for ``programs.DENSE_GENES`` genes at most."""
     h = lambda df: df.withColumnRenamed("g", "h")
-    out = [spot_products(_place_sums(p), p.k, p.genes)]
+    out = [spot_products(_place_sums(p), p.k, p.genes, blocks=p.blocks)]
     if p.groups is not None:
         m, c, am = _group_sums(p)
         mc = m.join(h(c), ["part", "c"]).groupBy("part", "g", "h").agg(F.sum(-F.col("m") * F.col("cc")).alias("v"))
