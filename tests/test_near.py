@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_places import dense
 from test_spatial import RADIUS, dense_kernel, make, matrix
 
-from lociweave.operators import preprocess, products, spatial
+from lociweave.operators import kernel, preprocess, products, spatial
 
 
 @pytest.mark.parametrize("center", ["none", "label"])
@@ -40,3 +40,16 @@ def test_rows_sent_do_not_grow_with_the_pairs(spark):
     dealt = products.sent(where, RADIUS, 100).select("i", F.explode("to").alias("to"))
     assert dealt.select("to.b").distinct().count() == 8 and dealt.count() == 800 * 8 and dealt.where("to.own").count() == 800
     assert dealt.where("to.again").count() + dealt.where("NOT to.again AND NOT to.own").count() == 800 * 7
+
+
+def test_isolated_spots_without_all_pairs(spark, monkeypatch):
+    """1,500 spots close together and some far off: only spots that are alone in a small cell are joined with others."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.random((1500, 2)) * 0.5, rng.random((60, 2)) * 40])
+    coords = spark.createDataFrame([("S", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "sample_id string, spot_id long, x double, y double")
+    joined, plain = [], kernel.radius_pairs
+    monkeypatch.setattr(kernel, "radius_pairs", lambda *x, **o: (joined.append(plain(*x, **o)), joined[-1])[1])
+    got = kernel.isolated_fraction(coords, 1.0).first()["isolated"]
+    near = (((xy[:, None] - xy[None]) ** 2).sum(2) <= 1.0).sum(1)
+    assert got == pytest.approx((near == 1).mean()) and 0 < got < 1
+    assert joined[0].count() < 4 * len(xy)  # all pairs: over 1,500 x 1,500
