@@ -14,6 +14,7 @@ Links, without a pair for each two members of a group:
 3. Components of these links. A group that lies in one component needs no more work.
 4. In the other groups, members of different components are compared in blocks inside a
    task: by registers first, then on their whole sets; what connects two components is kept.
+   A component that fills groups is met once with all strangers in them, not group by group.
 5. Components of all links.
 
 Each link is confirmed on full sets of 64-bit hashes; no group is capped or sampled.
@@ -42,7 +43,7 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Bits of a register: leading zeros of the smallest hash, then the bits that follow.
 ZERO_BITS, MANTISSA_BITS = 4, 4
-#: Members of a group, and bytes of their sets, that meet in one task in step 4, as one side of a block.
+#: Members of those that meet, and bytes of their sets, that meet in one task in step 4, as one side of a block.
 BLOCK_MEMBERS, BLOCK_SETS = 1024, 32_000_000
 #: Standard errors of an estimate that a pair may lie under the threshold and still be confirmed on sets.
 SLACK = 6.0
@@ -266,11 +267,54 @@ def block_links(rows: list[dict], left: int, right: int, percent: int) -> list[t
     return found
 
 
+def meetings(parts: DataFrame, first: DataFrame) -> DataFrame:
+    """(of_crowd, key, doc, size, component, few): who are to be compared, from groups parts(key, doc, size, component) and first(doc, component).
+
+    Only groups of more than one component are kept, and of those with the same members one. A group's crowd is the component
+    with most members in it, the others are its few. Where a group has half of its crowd's component or more, which at most
+    twice ``BANDS`` groups can, and no more few than that, the crowd is met under the component's name: it comes once for all these groups, with all their few,
+    and that is at most twice the comparisons. The few of such a group meet under its key, as all of another group do.
+    """
+    held = parts.withColumns({"h": F.xxhash64("doc"), "h2": F.xxhash64("doc", F.lit(1))}).groupBy("key", "component")
+    held = held.agg(F.count("*").alias("c"), F.bit_xor("h").alias("h"), F.bit_xor("h2").alias("h2"))
+    groups = held.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("several"), F.sum("c").alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("h2").alias("h2"))
+    groups = groups.where("several > 1").groupBy("top", "several", "n", "h", "h2").agg(F.min("key").alias("key"))
+    sizes = first.groupBy("component").agg((F.count("*") + 1).alias("all"))  # the one that names it is not in ``first``
+    groups = groups.select("key", "several", "n", F.col("top.c").alias("c"), F.col("top.component").alias("crowd")).join(sizes.withColumnRenamed("component", "crowd"), "crowd", "left")
+    groups = groups.select("key", "several", "crowd", (2 * F.col("c") >= F.greatest("n", F.coalesce("all", F.lit(1)))).alias("of_crowd"))
+    rows = parts.join(groups, "key").withColumn("few", F.col("component") != F.col("crowd"))
+    by_key = rows.where("NOT of_crowd OR (few AND several > 2)").select(F.lit(False).alias("of_crowd"), "key", "doc", "size", "component", "few")
+    by_crowd = rows.where("of_crowd").select(F.lit(True).alias("of_crowd"), F.col("crowd").alias("key"), "doc", "size", "component", "few")
+    return by_key.union(by_crowd.distinct())
+
+
+def dealt(met: DataFrame) -> DataFrame:
+    """(of_crowd, key, left, right, doc, component, part): the rows of ``meetings`` for each block that they lie in.
+
+    All that fit into one block are there together. Else the few are dealt to blocks and the crowd to others; the few's meet each
+    other's, but for those under a component's name, and the crowd's. A crowd's own never meet.
+    """
+    blocks = lambda n, total: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(8 * total / BLOCK_SETS)).cast("int")
+    many = ~F.col("few")
+    side = lambda own: (F.count(F.when(own, 1)), F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)))
+    counts = met.groupBy("of_crowd", "key").agg(
+        blocks(F.count("*"), F.sum("size")).alias("all"), F.greatest(F.lit(1), blocks(*side(F.col("few")))).alias("a"), blocks(*side(many)).alias("b")
+    )
+    deal = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    part = F.when(F.col("all") == 1, 0).when(F.col("few"), deal(F.col("a"))).otherwise(F.col("a") + deal(F.greatest(F.lit(1), F.col("b"))))
+    rows = met.join(counts, ["of_crowd", "key"]).withColumn("part", part)
+    others = F.when(many, F.sequence(F.lit(0), F.col("a") - 1)).otherwise(F.sequence(F.when(F.col("of_crowd"), F.col("a")).otherwise(0), F.col("a") + F.col("b") - 1))
+    other = F.explode(F.when(F.col("all") == 1, F.array(F.lit(0))).otherwise(others)).alias("other")
+    return rows.select("of_crowd", "key", "doc", "component", "part", other).select(
+        "of_crowd", "key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "doc", "component", "part"
+    )
+
+
 def _confirm_blocks(percent: int):
-    """Rows of one (key, left, right) block at a time."""
+    """Rows of one (of_crowd, key, left, right) block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, left, right), rows in _runs(batches, ("key", "left", "right")):
+        for (_, _, left, right), rows in _runs(batches, ("of_crowd", "key", "left", "right")):
             if found := block_links(rows, left, right, percent):
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -316,8 +360,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     heads = some.join(classes, same).where("doc_id = doc").groupBy("doc").agg(F.min(F.struct("text_hash", "n_shingles", "bands")).alias("head"))
     bands = heads.select("doc", "head.text_hash", F.col("head.n_shingles").alias("size"), F.explode("head.bands").alias("key"))
     # 2. stars
-    groups = work.table(bands.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1"), "groups")
-    members = work.table(bands.drop("size").join(groups, "key"), "members")
+    groups = work.table(bands.groupBy("key").agg(F.min("doc").alias("center"), F.count("*").alias("n")).where("n > 1"), "groups")
+    members = work.table(bands.join(groups, "key"), "members")
     wanted = members.select(F.col("doc").alias("doc_id"), "text_hash").distinct()
     chosen = hashed.join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
     sets = work.table(chosen.mapInArrow(_sets(words), "doc_id long, regs binary, hashes binary"), "sets")
@@ -326,18 +370,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     # 3. groups that lie in more than one component
     first = components(work, stars, "first")
     of = members.where("n > 2").join(first, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    of = work.table(of.select("key", "n", "total", "doc", "component"), "parts")
-    mixed = work.table(of.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "mixed")
+    of = work.table(of.select("key", "doc", "size", "component"), "parts")
     # 4. blocks of those groups
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(8 * F.col("total") / BLOCK_SETS)).cast("int")
-    cut = of.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-    places = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.array(F.struct(F.least("part", k).alias("l"), F.greatest("part", k).alias("r"))))))
-    cut = cut.withColumn("place", F.explode(places)).select("key", F.col("place.l").alias("left"), F.col("place.r").alias("right"), "doc", "component", "part")
-    full = cut.join(sets.withColumnRenamed("doc_id", "doc"), "doc").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "doc")
+    met = work.table(meetings(of, first), "met")
+    full = dealt(met).join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    block = ["of_crowd", "key", "left", "right"]
+    full = full.repartition(*block).sortWithinPartitions(*block, "doc")
     more = work.table(full.mapInArrow(_confirm_blocks(percent), "u long, v long"), "more")
     # 5. all links
     final = components(work, stars.union(more), "final")
-    work.drop("groups", "members", "sets", "stars", "parts", "mixed", "more")
+    work.drop("groups", "members", "sets", "stars", "parts", "met", "more")
     ids = classes.join(final, "doc", "left").select(*same, F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc_id", *same).join(ids, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
