@@ -68,10 +68,13 @@ class Ensemble(NamedTuple):
     intercept: float
 
     def score(self) -> Column:
-        """The ensemble as one expression over the feature columns."""
+        """The ensemble as one expression over the feature columns. Terms are added up in pairs: one after another, a few hundred of them would overflow the planner's stack."""
         holds = lambda c: F.col(NAMES[c.feature]) > c.threshold if c.above else F.col(NAMES[c.feature]) <= c.threshold
         terms = [F.when(reduce(lambda a, b: a & b, map(holds, r)), F.lit(w)).otherwise(F.lit(0.0)) for r, w in zip(self.rules, self.weights, strict=True)]
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(self.intercept))))
+        terms = [F.lit(self.intercept), *terms]
+        while len(terms) > 1:
+            terms = [reduce(lambda a, b: a + b, terms[k : k + 2]) for k in range(0, len(terms), 2)]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
 
 def _split(x: np.ndarray, y: np.ndarray, among: np.ndarray, least: int) -> tuple[float, int, float]:
